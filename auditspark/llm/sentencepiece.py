@@ -43,7 +43,8 @@ class Pieces:
         texts = [model.id_to_piece(i) for i in range(n)]
         usual = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.ids = {texts[i]: i for i in usual}
-        self.score = np.array([model.get_score(i) for i in range(n)])
+        self.score = [model.get_score(i) for i in range(n)]
+        self.texts, self.lengths = texts, [len(t) for t in texts]
         self.unknown = model.unk_id()
         self.byte = {int(texts[i][3:5], 16): i for i in range(n) if model.is_byte(i)}
         of_byte = {i: bytes([b]) for b, i in self.byte.items()}
@@ -51,11 +52,12 @@ class Pieces:
         if self.unknown >= 0:
             self.decoded[self.unknown] = " ⁇ ".encode()
         #: A model whose scores are ranks in whole numbers was made by merging.
-        merged = self.score[usual]
-        self.by_merging = bool((merged == np.round(merged)).all())
+        self.by_merging = all(self.score[i] == round(self.score[i]) for i in usual)
         # how the model writes blanks, told from what it makes of a short text
         self.prefix = model.encode("a", out_type=str)[:1] != ["a"] if "a" in self.ids else True
         self.squeeze = model.encode("a  a", out_type=str) == model.encode("a a", out_type=str)
+        #: A character that is no piece.
+        self.outside = re.compile("([^" + "".join(re.escape(t) for t in self.ids if len(t) == 1) + "])", re.S)
         self.automaton = ahocorasick.Automaton()
         for text, i in self.ids.items():
             self.automaton.add_word(text, (i, len(text)))
@@ -66,15 +68,19 @@ class Pieces:
         self.cut = re.compile(f"{BLANK}*[^{BLANK}]*" if lines else f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+", re.S) if not inner else re.compile(".+", re.S)
         self.words: dict[str, list[int]] = {}
         self.pairs: dict[int, bool] = {}
+        self.own_steps: dict[int, tuple | None] = {}
 
     def prepare(self, text: str) -> str:
         if self.squeeze:
             text = re.sub(" +", " ", text).strip(" ")
         return ((" " if self.prefix and text else "") + text).replace(" ", BLANK)
 
-    def merge(self, text: str) -> list[str]:
-        """Merging by score, the left of equals first; only for the short texts of two pieces."""
-        parts, rank = list(text), self.score
+    def steps(self, piece: int) -> tuple[list[float], list[str], list[str]] | None:
+        """Merging a piece's own text: the score of each merge and the first and last symbol before it and after; None if that doesn't give the piece."""
+        if piece in self.own_steps:
+            return self.own_steps[piece]
+        text = self.texts[piece]
+        parts, rank, scores, first, last = list(text), self.score, [], [text[0]], [text[-1]]
         while len(parts) > 1:
             best, at = -np.inf, -1
             for i in range(len(parts) - 1):
@@ -84,69 +90,81 @@ class Pieces:
             if at < 0:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def may_follow(self, left: int, left_text: str, right: int, right_text: str) -> bool:
-        key = left * len(self.score) + right
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= CACHE_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merge(left_text + right_text) == [left_text, right_text]
-        return known
+            scores.append(best)
+            first.append(parts[0])
+            last.append(parts[-1])
+        self.own_steps[piece] = (scores + [-np.inf], first, last) if len(parts) == 1 else None
+        return self.own_steps[piece]
+
+    def may_follow(self, left: int, right: int) -> bool:
+        """Whether merging the joined text of two pieces gives these two.
+
+        Merges within either piece go on as they do alone, those with the higher score first and the left of equals
+        first; what is asked is whether a merge across would ever come first.
+        """
+        a, b = self.steps(left), self.steps(right)
+        if a is None or b is None:
+            return False
+        (scores_a, _, ends), (scores_b, begins, _) = a, b
+        i = j = 0
+        while True:
+            k = self.ids.get(ends[i] + begins[j])
+            if k is not None and self.score[k] > scores_a[i] and self.score[k] >= scores_b[j]:
+                return False
+            if scores_a[i] >= scores_b[j]:
+                if scores_a[i] == -np.inf:
+                    return True
+                i += 1
+            else:
+                j += 1
 
     def search(self, word: str) -> list[int]:
-        """Ids of the best path through a word."""
+        """Ids of the best path through a word; characters without a piece stand alone."""
+        if self.outside.search(word):
+            out: list[int] = []
+            for part in self.outside.split(word):
+                if part:
+                    out += self._path(part) if not self.outside.match(part) else self._spelled(part)
+            return out
+        return self._path(word)
+
+    def _path(self, word: str) -> list[int]:
         n = len(word)
-        last: list[int | None] = [None] * (n + 1)  # the piece that ends at a position on its best path
-        begin = [0] * (n + 1)
-        known = [-1] * (n + 1)  # for merging: where the part without unknown characters began
-        best = [-np.inf] * (n + 1)
-        best[0], at = 0.0, 0
-        known[0] = 0
-        worst = float(self.score.min()) - 10.0
-
-        def unknown(i: int) -> None:
-            last[i], begin[i], known[i] = -1, i - 1, i
-            best[i] = best[i - 1] + worst
-
-        for end, (piece, length) in self.automaton.iter(word):
-            i = end + 1
-            while at < end:  # positions that nothing ended at
-                at += 1
-                if last[at] is None:
-                    unknown(at)
-            j = i - length
-            if self.by_merging:
-                if last[i] is not None or known[j] < 0:
+        last = [-1] * (n + 1)  # the piece that ends at a position on its best path
+        if self.by_merging:
+            pairs, lengths, many = self.pairs, self.lengths, len(self.score)
+            for end, (piece, length) in self.automaton.iter(word):
+                if last[end + 1] >= 0:
                     continue
-                left = last[j]
-                if (j == known[j] and self._alone(piece, word[j:i])) or (j != known[j] and left is not None and left >= 0 and self.may_follow(left, word[begin[j] : j], piece, word[j:i])):
-                    last[i], begin[i], known[i] = piece, j, known[j]
-            elif best[j] + self.score[piece] > best[i]:
-                best[i], last[i], begin[i], known[i] = best[j] + self.score[piece], piece, j, 0
-        while at < n:
-            at += 1
-            if last[at] is None:
-                unknown(at)
+                j = end + 1 - length
+                if j:
+                    key = last[j] * many + piece
+                    good = pairs.get(key)
+                    if good is None:
+                        if len(pairs) >= CACHE_PAIRS:
+                            pairs.clear()
+                        good = pairs[key] = self.may_follow(last[j], piece)
+                else:
+                    good = self.steps(piece) is not None
+                if good:
+                    last[end + 1] = piece
+        else:
+            lengths = self.lengths
+            best = [0.0] + [-np.inf] * n
+            for end, (piece, length) in self.automaton.iter(word):
+                score = best[end + 1 - length] + self.score[piece]
+                if score > best[end + 1]:
+                    best[end + 1], last[end + 1] = score, piece
         out: list[int] = []
-        i = n
-        while i:
-            j, piece = begin[i], last[i]
-            out += [piece] if piece >= 0 else self._spelled(word[j:i])
-            i = j
-        return out[::-1]
-
-    def _alone(self, piece: int, text: str) -> bool:
-        key = -1 - piece
-        known = self.pairs.get(key)
-        if known is None:
-            known = self.pairs[key] = len(text) == 1 or self.merge(text) == [text]
-        return known
+        while n:
+            out.append(last[n])
+            n -= lengths[last[n]]
+        out.reverse()
+        return out
 
     def _spelled(self, char: str) -> list[int]:
-        """Ids of a character outside the vocabulary, last byte first."""
-        return [self.byte[b] for b in reversed(char.encode("utf-8", "surrogatepass"))] if self.byte else [self.unknown]
+        """Ids of a character outside the vocabulary."""
+        return [self.byte[b] for b in char.encode("utf-8", "surrogatepass")] if self.byte else [self.unknown]
 
     def encode(self, text: str) -> list[int]:
         words = self.cut.findall(self.prepare(text))
