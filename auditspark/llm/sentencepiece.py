@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from auditspark.llm.common import slices, text_frame, texts_of
 
 #: Distinct words and pairs of pieces that a worker keeps at most, and the longest word that is kept.
-CACHE_WORDS, CACHE_PAIRS, CACHE_LENGTH = 700_000, 700_000, 48
+CACHE_WORDS, CACHE_PAIRS, CACHE_LENGTH = 250_000, 300_000, 48
 BLANK = "▁"
 
 

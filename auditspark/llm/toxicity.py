@@ -29,9 +29,9 @@ from auditspark.llm.common import slices, text_frame, texts_of
 
 WORD = re.compile(r"\w+")
 #: Labelled documents of either label for training at most, and words of a training window.
-SAMPLE, WINDOW = 4_000, 15
+SAMPLE, WINDOW = 2_500, 15
 #: Letters of the prefixes that are features, entries of the lexicon at most, and distinct words a worker keeps.
-PREFIXES, LEXICON, CACHE = (3, 4, 5), 400, 1_000_000
+PREFIXES, LEXICON, CACHE = (3, 4, 5), 400, 250_000
 
 
 def features(word: str) -> list[str]:
@@ -131,18 +131,23 @@ class _Powers:
         return self.one + self.two * (self.small / self.large) ** k if k else np.eye(2)
 
 
+def _own(text: str) -> set[str]:
+    return {f for w in set(WORD.findall(text)) for f in features(w)}
+
+
 def lexicon(texts: list[str], toxic: np.ndarray) -> set[str]:
     """Features that cover the toxic documents and are all but absent from the others, chosen one by one."""
-    own: list[set[str]] = [{f for w in set(WORD.findall(t)) for f in features(w)} for t in texts]
     clean, bad = Counter(), Counter()
-    for feats, y in zip(own, toxic, strict=True):
-        (bad if y else clean).update(feats)
+    for text, y in zip(texts, toxic, strict=True):
+        (bad if y else clean).update(_own(text))
     n_bad, n_clean = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
     # rarer than a third of a per cent among others, and far more frequent among toxic documents
     able = {f for f, n in bad.items() if n >= 2 and clean[f] / n_clean <= 0.003 and n / n_bad >= 12 * (clean[f] + 0.5) / n_clean}
+    del bad
+    own = {i: _own(texts[i]) & able for i in np.flatnonzero(toxic).tolist()}
     has: dict[str, list[int]] = {f: [] for f in able}
-    for i in np.flatnonzero(toxic).tolist():
-        for f in own[i] & able:
+    for i, found in own.items():
+        for f in found:
             has[f].append(i)
     open_docs, chosen = set(np.flatnonzero(toxic).tolist()), set()
     gain = {f: len(x) for f, x in has.items()}
@@ -155,8 +160,9 @@ def lexicon(texts: list[str], toxic: np.ndarray) -> set[str]:
         for i in has[best]:
             if i in open_docs:
                 open_docs.discard(i)
-                for f in own[i] & able:
-                    gain[f] -= 1
+                for f in own[i]:
+                    if f in gain:
+                        gain[f] -= 1
         del gain[best]
     # what covers as many documents as a chosen entry, and as purely, names the same kind of word
     chosen |= {f for f in able if clean[f] == 0 and len(has[f]) >= max(8, 0.03 * n_bad)}
@@ -169,30 +175,28 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 120, seed: int = 7)
     toxic = np.asarray(toxic, dtype=bool)
     if not len(texts) or toxic.all() or not toxic.any():
         return model
-    words_of = [WORD.findall(t) for t in texts]
     lex = lexicon(texts, toxic)
     known: dict[str, bool] = {}
-    for words in words_of:
-        for w in words:
+    index: dict[str, int] = {}
+    for text, y in zip(texts, toxic, strict=True):
+        for w in sorted(set(WORD.findall(text))):
             if w not in known:
                 known[w] = any(f in lex for f in features(w))
-    index: dict[str, int] = {}
-    for words, y in zip(words_of, toxic, strict=True):
-        if y:
-            for w in set(words):
-                if known[w]:
-                    for f in features(w):
-                        index.setdefault(f, len(index))
-    ids = {w: [index[f] for f in features(w) if f in index] for w in known}
+            if y and known[w]:
+                for f in features(w):
+                    index.setdefault(f, len(index))
+    ids = {w: found for w in known if (found := [index[f] for f in features(w) if f in index])}
+    none: list[int] = []
     rng = np.random.default_rng(seed)
     windows, labels = [], []
-    for words, y in zip(words_of, toxic, strict=True):
-        places = [i for i, w in enumerate(words) if ids[w]][:40]
+    for text, y in zip(texts, toxic, strict=True):
+        words = WORD.findall(text)
+        places = [i for i, w in enumerate(words) if w in ids][:40]
         places += rng.integers(0, len(words), size=3).tolist() if words else []
         for i in places:
             start = max(0, min(i - WINDOW // 2, len(words) - WINDOW))
             part = words[start : start + WINDOW]
-            windows.append([ids[w] for w in part] + [None] * (WINDOW - len(part)))
+            windows.append([ids.get(w, none) for w in part] + [None] * (WINDOW - len(part)))
             labels.append([int(bool(y) and known[w]) for w in part] + [0] * (WINDOW - len(part)))
     n, y = len(windows), np.array(labels)
     real = np.array([[x is not None for x in w] for w in windows])
