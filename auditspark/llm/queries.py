@@ -62,7 +62,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_counts, op2_html_extraction, op3_simhash_near_dedup, op4_benchmark_decontamination, op5_toxicity, op6_sentencepiece, op7_warc, op8_embedding_near_dedup, op9_sharding, op10_quality_classifier)
 }
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLES: dict[str, str] = {
+    "op4_benchmark_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+        i AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+        iw AS (SELECT item_id, ws, least(len(ws), 10) AS n, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS k FROM i WHERE len(ws) > 0),
+        win AS (SELECT DISTINCT item_id, n, array_to_string(ws[k:k + n - 1], ' ') AS g FROM iw),
+        lens AS (SELECT DISTINCT n FROM win),
+        spots AS (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM d CROSS JOIN lens WHERE len(ws) >= n),
+        dg AS (SELECT doc_id, n, k, array_to_string(ws[k:k + n - 1], ' ') AS g FROM spots),
+        hit AS (SELECT DISTINCT doc_id, unnest(range(k, k + n)) AS word FROM dg JOIN (SELECT DISTINCT n AS wn, g AS wg FROM win) x ON dg.n = wn AND dg.g = wg),
+        nh AS (SELECT doc_id, count(*) AS n_hit FROM hit GROUP BY doc_id),
+        own AS (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM dg JOIN win ON dg.n = win.n AND dg.g = win.g),
+        ni AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM own GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN nh ON d.doc_id = nh.doc_id LEFT JOIN ni ON d.doc_id = ni.doc_id""",
+    "op8_embedding_near_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        u AS (SELECT * FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+        r AS (SELECT vec_id AS node, vec_id AS root FROM v UNION SELECT l.b, r.root FROM r JOIN l ON r.node = l.a),
+        c AS (SELECT node, min(root) AS root FROM r GROUP BY node),
+        n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+        SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.root AS component_id, c.root = v.vec_id AS kept
+        FROM v JOIN c ON c.node = v.vec_id LEFT JOIN n ON n.a = v.vec_id""",
     "op7_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),

@@ -521,6 +521,17 @@ def test_quality_of_odd_texts(spark):
     assert quality.score_quality(empty_frame(spark), model, limits).count() == 0
 
 
+# --- SQL
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_is_its_sql(spark, name):
+    from tests.oracle import connect, difference
+
+    sf = "/root/testdata/sf0.01"
+    assert difference(queries.QUERIES[name](spark, sf), connect(sf), queries.ORACLES[name]) is None
+
+
 # --- tiles and the pipeline
 
 
