@@ -63,7 +63,7 @@ def decode_entities(text: Column) -> Column:
     """References decoded in one pass; unknown ones stay."""
     between, found = F.split(text, ENTITY, -1), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
     pairs = F.zip_with(between, F.transform(found, _decoded), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    return F.array_join(pairs, "")
+    return F.when(text.contains("&"), F.array_join(pairs, "")).otherwise(text)
 
 
 def suspicious_entities(text: Column) -> Column:
@@ -90,7 +90,7 @@ def nfkc(text: Column) -> Column:
 
 def half_width(text: Column) -> Column:
     wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
-    return F.translate(text, wide, "".join(chr(ord(c) - 0xFEE0) for c in wide))
+    return F.when(text.rlike(r"[\x{ff01}-\x{ff5e}]"), F.translate(text, wide, "".join(chr(ord(c) - 0xFEE0) for c in wide))).otherwise(text)
 
 
 def homoglyphs(text: Column) -> Column:
@@ -102,7 +102,8 @@ def collapse_repeats(text: Column) -> Column:
 
 
 def fold_space(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, char_class(SPACES) + "+", " "))
+    other = char_class([p for p in SPACES if p != 0x20])
+    return F.when(text.rlike(f"  |^ | $|{other}"), F.trim(F.regexp_replace(text, f" *{other}{char_class(SPACES)}*|  +", " "))).otherwise(text)
 
 
 def for_decoding(text: Column) -> Column:

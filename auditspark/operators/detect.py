@@ -65,8 +65,17 @@ def signals(rows: DataFrame, s: Injection) -> DataFrame:
 def rule_counts(rows: DataFrame, text: str = "norm", rules: list | None = None) -> DataFrame:
     """A row per text and rule that matches: ``rule_no``, ``rule_id``, ``n``."""
     rules = R.DIRECT if rules is None else rules
-    each = F.array(*(F.struct(F.lit(k).alias("rule_no"), F.lit(r[0]).alias("rule_id"), F.regexp_count(F.col(text), F.lit(R.java(r[3]))).alias("n")) for k, r in enumerate(rules)))
-    return rows.withColumn("hit", F.explode(F.filter(each, lambda x: x["n"] > 0))).select(*rows.columns, "hit.*")
+    low = F.col("__low")
+    each = F.array(*(F.struct(F.lit(k).alias("rule_no"), F.lit(r[0]).alias("rule_id"), F.when(may_match(low, r[3]), F.regexp_count(F.col(text), F.lit(R.java(r[3])))).otherwise(0).alias("n")) for k, r in enumerate(rules)))
+    return rows.withColumn("__low", F.lower(text)).withColumn("hit", F.explode(F.filter(each, lambda x: x["n"] > 0))).select(*rows.columns, "hit.*")
+
+
+def may_match(low: Column, pattern: str) -> Column:
+    """Whether a lower-case text holds one of the strings that each match of the pattern needs: far cheaper than the pattern."""
+    found = F.lit(not R.needed(pattern))
+    for word in R.needed(pattern):
+        found = found | low.contains(word)
+    return found
 
 
 def _at(k: Column, values: list) -> Column:
@@ -96,9 +105,9 @@ def direct(rows: DataFrame, text: str = "norm", suffix: str = "", layer: int = 1
 
 
 def has_direct(text: Column) -> Column:
-    out = F.lit(False)
+    out, low = F.lit(False), F.lower(text)
     for r in R.DIRECT:
-        out = out | text.rlike(R.java(r[3]))
+        out = out | (may_match(low, r[3]) & text.rlike(R.java(r[3])))
     return out
 
 
@@ -250,7 +259,7 @@ def fuzzy(rows: DataFrame, threshold: int = 1, text: str = "norm") -> DataFrame:
 def detect(texts: DataFrame, s: Injection | None = None) -> DataFrame:
     """All findings: doc_id and the columns of FINDING."""
     s = s or Injection()
-    rows = prepared(texts, s)
+    rows = prepared(texts, s).persist()  # five layers read it
     live = rows.where(~F.col("blank"))
     base = direct(live)
     encoded = direct(payloads(live, s), "payload", "-encoded", 3)
