@@ -7,8 +7,9 @@ it can. Tiles come from buckets that lose no pair:
 * for a small radius, fingerprints of 64 bits share a bucket for each choice of bands that must agree if at most
   ``radius`` of the bands differ (4 bands, radius 2: any 2 of them agree), so work grows far less than with all pairs;
 * for word-shingle similarity (``near_duplicate_classes``), where the radius is too wide for that, documents share a
-  bucket if the numbers of their distinct shingles allow the similarity, and buckets are cut into tiles; pairs of close
-  fingerprints are then verified on their whole sets of shingles.
+  bucket for each group of least hashes they have in common; similar sets have one in common all but surely, and the
+  number of comparisons grows with the rows, not with their square. Rows that comparison brings together are then
+  verified on their whole sets of shingles.
 
 A tile gives a spanning forest of its links, never all pairs of a group; equal fingerprints (or texts) are one class
 before any comparison, so a group of copies costs one row.
@@ -33,6 +34,8 @@ from auditspark.llm.tiles import TILE, deal_tiles
 SEED = 42
 #: Rows of a chunk of a hot bucket, and rows of a block within a tile.
 TILE_ROWS, BLOCK_ROWS = 32_768, 1024
+#: Least hashes in a group, and the share of pairs of just the wanted similarity that may have no group in common.
+GROUP_HASHES, MISS = 3, 5e-5
 
 
 def shingle_hashes(text: str, words: int, seed: int = SEED) -> np.ndarray:
@@ -59,6 +62,30 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(count * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def n_groups(similarity: float) -> int:
+    """Groups of least hashes after which a pair of that similarity is missed in a share of ``MISS`` at most; 14 for 0.8."""
+    return 1 if similarity >= 1 else math.ceil(math.log(MISS) / math.log1p(-(similarity**GROUP_HASHES)))
+
+
+def group_salts(groups: int) -> np.ndarray:
+    return np.random.default_rng(SEED).integers(0, 2**64, groups * GROUP_HASHES, dtype=np.uint64)[:, None]
+
+
+def least_groups(hashes: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """A key for each group of least hashes of a set: equal if all its least hashes are."""
+    least = np.full(len(salts), 2**64 - 1, dtype=np.uint64)
+    for start in range(0, len(hashes), 4096):
+        mixed = (hashes[None, start : start + 4096] ^ salts) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        least = np.minimum(least, mixed.min(axis=1))
+    keys = np.arange(1, len(salts) // GROUP_HASHES + 1, dtype=np.uint64)
+    for part in least.reshape(-1, GROUP_HASHES).T:
+        keys = (keys ^ part) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(32)
+    return keys.view(np.int64)
+
+
 def simhash(df: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and ``fp``, the fingerprint as a signed long, of each row. A map without a shuffle."""
 
@@ -130,28 +157,38 @@ def band_keys(fp: Column, bands: int, radius: int) -> list[Column]:
     return [F.xxhash64(F.lit(n), *(part[i] for i in chosen)) for n, chosen in enumerate(combinations(range(bands), bands - radius))]
 
 
-def linked_fingerprints(distinct: DataFrame, radius: int = 2, bands: int = 4, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Distinct ``fp`` to links ``(a, b)`` of fingerprints within the radius: a spanning forest of each tile's links."""
-    rows = distinct.select("fp", F.explode(F.array(*band_keys(F.col("fp"), bands, radius))).alias("bucket"))
+def _forest(tiles: DataFrame, node: str, signs: list[str], radius: int, least: float = 0.0) -> DataFrame:
+    """Links ``(a, b)`` between nodes whose signs differ in ``radius`` bits at most: a spanning forest of each tile's links."""
+    sized = "size" in tiles.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, TILE):
             starts = group_starts(rows, TILE)
-            fp, chunk = rows["fp"].to_numpy(), rows["chunk"].to_numpy()
+            words = np.stack([rows[c].to_numpy().view(np.uint64) for c in signs], axis=1)
+            nodes, chunk = rows[node].to_numpy(), rows["chunk"].to_numpy()
             tile_a, tile_b = rows["tile_a"].to_numpy(), rows["tile_b"].to_numpy()
+            sizes = rows["size"].to_numpy() if sized else None
             links: list[tuple[np.ndarray, np.ndarray]] = []
-            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(fp)], strict=True):
-                own = fp[start:end]
-                labels = np.arange(len(own))
-                for x, y in close_pairs(own.view(np.uint64)[:, None], radius, *_tile_sides(chunk[start:end], tile_a[start], tile_b[start])):
-                    labels = merge_labels(labels, x, y)
+            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows], strict=True):
+                labels, own = np.arange(end - start), nodes[start:end]
+                left, right = _tile_sides(chunk[start:end], tile_a[start], tile_b[start])
+                for x, y in close_pairs(words[start:end], radius, left, right, sizes[start:end] if sized else None, least):
+                    new = labels[x] != labels[y]
+                    if new.any():
+                        labels = merge_labels(labels, x[new], y[new])
                 moved = np.flatnonzero(labels != np.arange(len(own)))
                 if len(moved):
                     links.append((own[moved], own[labels[moved]]))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k[i] for k in links])) for i in (0, 1)], names=["a", "b"])
 
-    return deal_tiles(rows, "fp", tile_rows).select("fp", "chunk", *TILE).mapInArrow(run, "a long, b long")
+    return tiles.mapInArrow(run, "a long, b long")
+
+
+def linked_fingerprints(distinct: DataFrame, radius: int = 2, bands: int = 4, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Distinct ``fp`` to links ``(a, b)`` of fingerprints within the radius: a spanning forest of each tile's links."""
+    rows = distinct.select("fp", F.explode(F.array(*band_keys(F.col("fp"), bands, radius))).alias("bucket"))
+    return _forest(deal_tiles(rows, "fp", tile_rows).select("fp", "chunk", *TILE), "fp", ["fp"], radius)
 
 
 def simhash_components(df: DataFrame, words: int = 3, radius: int = 2, bands: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,13 +208,14 @@ def simhash_components(df: DataFrame, words: int = 3, radius: int = 2, bands: in
     return found.join(classes, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _signatures(df: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """``key`` (of equal texts), the id, the number of distinct shingles and two fingerprints of each row."""
+def _signatures(df: DataFrame, words: int, groups: list[str], id_col: str, text_col: str) -> DataFrame:
+    """``key`` (of equal texts), the id, the number of distinct shingles, two fingerprints and the keys of its groups of least hashes of each row."""
+    salts = group_salts(len(groups))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                sizes, one, two = [], [], []
+                sizes, one, two, keys = [], [], [], []
                 for x in texts_of(part, text_col):
                     hashes = np.unique(shingle_hashes(x, words))
                     sizes.append(len(hashes))
@@ -187,11 +225,12 @@ def _signatures(df: DataFrame, words: int, id_col: str, text_col: str) -> DataFr
                     other ^= other >> np.uint64(29)
                     other *= np.uint64(0xBF58476D1CE4E5B9)
                     two.append(fingerprint(other ^ (other >> np.uint64(32))))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(np.array(one, dtype=np.uint64).view(np.int64)), pa.array(np.array(two, dtype=np.uint64).view(np.int64))], names=[id_col, "key", "size", "f1", "f2"]
-                )
+                    keys.append(least_groups(hashes, salts))
+                signs = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (one, two)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes, pa.int64()), *signs, *(pa.array(x) for x in np.array(keys).T)], names=[id_col, "key", "size", "f1", "f2", *groups])
 
-    return text_frame(df, id_col, text_col).withColumn("key", text_key(F.col(text_col))).mapInArrow(run, f"`{id_col}` long, key string, size long, f1 long, f2 long")
+    schema = f"`{id_col}` long, key string, size long, f1 long, f2 long, " + ", ".join(f"{c} long" for c in groups)
+    return text_frame(df, id_col, text_col).withColumn("key", text_key(F.col(text_col))).mapInArrow(run, schema)
 
 
 def text_key(text: Column) -> Column:
@@ -211,44 +250,6 @@ def _sets(df: DataFrame, words: int, text_col: str) -> DataFrame:
     return df.select("node", text_col).mapInArrow(run, "node long, shingles array<long>")
 
 
-def _candidate_rows(tiles: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """Rows of each tile that are close to another of its rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_groups(batches, TILE):
-            starts = group_starts(rows, TILE)
-            signs = np.stack([rows["f1"].to_numpy().view(np.uint64), rows["f2"].to_numpy().view(np.uint64)], axis=1)
-            side, sizes = _side(rows), rows["size"].to_numpy()
-            near = np.zeros(rows.num_rows, dtype=bool)
-            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows], strict=True):
-                for left, right in _comparisons(side[start:end]):
-                    for x, y in close_pairs(signs[start:end], radius, left, right, sizes[start:end], similarity):
-                        near[start + x] = near[start + y] = True
-            if near.any():
-                yield from rows.filter(pa.array(near)).combine_chunks().to_batches()
-
-    return tiles.mapInArrow(run, tiles.schema)
-
-
-def _side(rows: pa.Table) -> np.ndarray:
-    """What a row is in its tile: 0 and 1 for rows of the bucket's own class in chunk a and b, 2 and 3 for those of the class above."""
-    return (rows["chunk"].to_numpy() != rows["tile_a"].to_numpy()) + 2 * rows["guest"].to_numpy()
-
-
-def _comparisons(side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
-    """Own rows with own rows, and own rows with the rows above; the rows above are compared in their own bucket."""
-    part = [np.flatnonzero(side == k) for k in range(4)]
-    if not len(part[1]) and not len(part[3]):  # one chunk
-        if len(part[0]):
-            yield part[0], None
-            if len(part[2]):
-                yield part[0], part[2]
-        return
-    for a, b in ((0, 1), (0, 3), (1, 2)):
-        if len(part[a]) and len(part[b]):
-            yield part[a], part[b]
-
-
 def _verified_links(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
     """Links ``(a, b)`` of nodes with enough shingles in common: a spanning forest of each tile's links."""
 
@@ -256,24 +257,27 @@ def _verified_links(rows: DataFrame, radius: int, similarity: float) -> DataFram
         for rows in whole_groups(batches, TILE):
             starts = group_starts(rows, TILE)
             signs = np.stack([rows["f1"].to_numpy().view(np.uint64), rows["f2"].to_numpy().view(np.uint64)], axis=1)
-            nodes, side, sizes = rows["node"].to_numpy(), _side(rows), rows["size"].to_numpy()
+            nodes, chunk, sizes = rows["node"].to_numpy(), rows["chunk"].to_numpy(), rows["size"].to_numpy()
+            tile_a, tile_b = rows["tile_a"].to_numpy(), rows["tile_b"].to_numpy()
             flat = rows["shingles"].combine_chunks()
             offsets, values = flat.offsets.to_numpy(), flat.values.to_numpy()
             a, b = [], []
             for start, end in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows], strict=True):
-                parent = list(range(start, end))
-                for left, right in _comparisons(side[start:end]):
-                    for x, y in close_pairs(signs[start:end], radius, left, right, sizes[start:end], similarity):
-                        near = np.argsort(np.bitwise_count(signs[start + x] ^ signs[start + y]).sum(axis=1), kind="stable")
-                        for i, j in zip(x[near].tolist(), y[near].tolist(), strict=True):
-                            p, q = _root(parent, i, start), _root(parent, j, start)
-                            if p == q:
+                labels = np.arange(start, end)
+                left, right = _tile_sides(chunk[start:end], tile_a[start], tile_b[start])
+                for x, y in close_pairs(signs[start:end], radius, left, right, sizes[start:end], similarity):
+                    near = np.argsort(np.bitwise_count(signs[start + x] ^ signs[start + y]).sum(axis=1), kind="stable")
+                    for at in range(0, len(near), 4096):
+                        some = near[at : at + 4096]
+                        some = some[labels[x[some]] != labels[y[some]]]
+                        for i, j in zip(x[some].tolist(), y[some].tolist(), strict=True):
+                            if labels[i] == labels[j]:
                                 continue
                             one = values[offsets[start + i] : offsets[start + i + 1]]
                             two = values[offsets[start + j] : offsets[start + j + 1]]
                             common = len(np.intersect1d(one, two, assume_unique=True))
                             if common >= similarity * (len(one) + len(two) - common) - 1e-9:
-                                parent[max(p, q) - start] = min(p, q)
+                                labels[labels == labels[j]] = labels[i]
                                 a.append(nodes[start + i])
                                 b.append(nodes[start + j])
             if a:
@@ -282,36 +286,31 @@ def _verified_links(rows: DataFrame, radius: int, similarity: float) -> DataFram
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _root(parent: list[int], i: int, start: int) -> int:
-    at = start + i
-    while parent[at - start] != at:
-        parent[at - start] = parent[parent[at - start] - start]
-        at = parent[at - start]
-    return at
-
-
 def near_duplicate_classes(df: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", tile_rows: int = TILE_ROWS) -> DataFrame:
     """One row per distinct text: ``key``, ``least`` (its least id), ``n_rows``, and ``root``, the node that stands for its class; ``node`` = ``root`` for one text of each class.
 
     Texts are linked if the Jaccard similarity of their sets of shingles is ``similarity`` or more. Links between different
-    texts are looked for among pairs whose 128 fingerprint bits differ by no more than a radius that a pair of that
-    similarity exceeds in about 1 of 5,000 cases, and kept only if the whole sets agree. Texts without words are linked
-    with equal texts only.
+    texts are looked for among those that share a group of least hashes, pairs whose 128 fingerprint bits differ by no more
+    than a radius that a pair of that similarity exceeds in about 1 of 5,000 cases. Texts that such pairs bring together,
+    directly or over others, are one bucket; in it a pair is linked only if the whole sets agree, so that each set is
+    shuffled once. Texts without words are linked with equal texts only.
     """
     cosine = 2 * similarity / (1 + similarity)
     turn = math.acos(cosine) / math.pi
     radius = math.ceil(128 * turn + 3.5 * math.sqrt(128 * turn * (1 - turn)))
-    rows = checkpoint(_signatures(df, words, id_col, text_col))
-    classes = rows.groupBy("key").agg(F.min(id_col).alias("least"), F.count("*").alias("n_rows"), F.min("size").alias("size"), F.min("f1").alias("f1"), F.min("f2").alias("f2"))
+    keys = [f"m{k}" for k in range(n_groups(similarity))]
+    rows = checkpoint(_signatures(df, words, keys, id_col, text_col))
+    classes = rows.groupBy("key").agg(F.min(id_col).alias("least"), F.count("*").alias("n_rows"), F.min("size").alias("size"), *(F.min(c).alias(c) for c in ("f1", "f2", *keys)))
     # a text's node is its least id; texts that have no id at all, or share one, get a number of their own
     shared = classes.groupBy("least").agg(F.count("*").alias("n")).where("n > 1 and least is not null").select(F.col("least"), F.lit(True).alias("shared"))
     classes = classes.join(shared, "least", "left").withColumn("node", F.when(F.col("least").isNull() | F.col("shared") | (F.col("least") < 0), F.bitwise_not(F.abs(F.xxhash64("key")))).otherwise(F.col("least"))).drop("shared")
     classes = checkpoint(classes)
-    level = F.floor(F.log("size") / F.lit(math.log(1 / similarity) * (1 + 1e-9))).cast("long")
-    sized = classes.where("size > 0").select("node", "size", "f1", "f2", level.alias("level"))
-    doubled = sized.withColumn("guest", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("bucket", F.col("level") - F.col("guest"))
-    tiles = deal_tiles(doubled, "node", tile_rows).select("node", "size", "f1", "f2", "guest", "chunk", *TILE)
-    near = checkpoint(_candidate_rows(tiles, radius, similarity))
+    sized = classes.where("size > 0")
+    dealt = sized.select("node", "size", "f1", "f2", F.explode(F.array(*keys)).alias("bucket"))
+    tiles = deal_tiles(dealt, "node", tile_rows).select("node", "size", "f1", "f2", "chunk", *TILE)
+    groups = connected_components(_forest(tiles, "node", ["f1", "f2"], radius, similarity))
+    grouped = sized.select("node", "size", "f1", "f2").join(groups.withColumnRenamed("root", "bucket"), "node")
+    near = checkpoint(deal_tiles(grouped, "node", tile_rows, deal=False).select("node", "size", "f1", "f2", "chunk", *TILE))
     wanted = near.select("node").distinct().join(classes.select("node", "key", "least"), "node")
     texts = df.select(F.col(id_col).cast("long").alias("least"), text_key(F.col(text_col)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = wanted.join(texts, wanted["key"].eqNullSafe(texts["key"]) & wanted["least"].eqNullSafe(texts["least"])).select("node", "text").dropDuplicates(["node"])
