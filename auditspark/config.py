@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import math
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 
 MODES = ("normal", "simple", "whitelist")
 ACTIONS = ("allow", "ask", "deny")
@@ -78,3 +78,50 @@ def sanitise(text: str | None) -> Settings:
         scoring={k: _number(weights.get(k), v) for k, v in SCORING.items()},
         injection=injection,
     )
+
+
+#: Settings that a flat form has: its name, where the value is kept, and the range of numbers or the choices.
+FLAT = {
+    "enabled": (("enabled",), bool),
+    "mode": (("mode",), MODES),
+    "enforcement": (("enforcement",), ACTIONS),
+    "whitelist_normal": (("whitelist_normal",), bool),
+    "age_query": (("age_query",), bool),
+    **{f"blocklist_{m}": (("blocklist_enabled", m), bool) for m in MODES},
+    "cutoff_year": (("scoring", "cutoff_year"), (2000, 2100)),
+    **{k: (("scoring", k), (0, 100)) for k in ("tld_trust", "pattern", "post_cutoff", "url_ip", "url_shortener", "url_tracking")},
+    "injection": (("injection", "enabled"), bool),
+    "injection_fuzzy": (("injection", "fuzzy"), bool),
+    "injection_fuzzy_threshold": (("injection", "fuzzy_threshold"), (1, 2)),
+    "injection_scan_max_bytes": (("injection", "scan_max_bytes"), (4096, 8 * 2**20)),
+}
+
+
+def to_section(settings: Settings) -> dict:
+    """The flat form of settings."""
+    nested = asdict(settings)
+    return {name: nested[at[0]] if len(at) == 1 else nested[at[0]][at[1]] for name, (at, _) in FLAT.items()}
+
+
+def from_section(section: dict, current: Settings) -> Settings:
+    """Settings with the values of a flat form; numbers are brought into their range, and all that the form lacks or has of the wrong type stays as it is."""
+    nested = asdict(current)
+    for name, (at, kind) in FLAT.items():
+        place = nested if len(at) == 1 else nested[at[0]]
+        old, new = place[at[-1]], section.get(name)
+        if kind is bool:
+            place[at[-1]] = new if isinstance(new, bool) else old
+        elif isinstance(kind[0], str):
+            place[at[-1]] = new if new in kind else old
+        else:
+            place[at[-1]] = _number(new, old, *kind)
+    return Settings(**nested | {"injection": Injection(**nested["injection"])})
+
+
+def patched(current: Settings, patch: object) -> Settings:
+    """Settings after a part of the flat form; ValueError if it holds no field of the right type."""
+    fits = lambda kind, v: isinstance(v, bool) if kind is bool else v in kind if isinstance(kind[0], str) else _number(v, None) is not None
+    clean = {k: v for k, v in patch.items() if k in FLAT and fits(FLAT[k][1], v)} if isinstance(patch, dict) else {}
+    if not clean:
+        raise ValueError("no known setting in the patch")
+    return from_section(to_section(current) | clean, current)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,3 +60,72 @@ def triggers(texts: DataFrame, wait_ms: int = 800) -> DataFrame:
     order = Window.partitionBy("session_id").orderBy("ts", "text")
     rested = texts.withColumn("next", F.lead("ts").over(order)).where(F.col("next").isNull() | (F.unix_micros(F.col("next").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")) >= wait_ms * 1000)).drop("next")
     return rested.withColumn("before", F.lag("text").over(order)).where("before is null or before <> text").drop("before")
+
+
+def first_filled(*arrays: Column) -> Column:
+    """The first of the arrays that has elements: blocks, or nodes, of a record that may keep them in several places; null if all are empty."""
+    return F.coalesce(*(F.when(F.size(a) > 0, a) for a in arrays))
+
+
+def interrupted(status: Column, final: Column, own: Column) -> Column:
+    """Whether a node is no settled answer: interrupted or running by its status, or marked so in its final record or itself."""
+    return F.coalesce(status.isin("interrupted", "running"), F.lit(False)) | F.coalesce(final, F.lit(False)) | F.coalesce(own, F.lit(False))
+
+
+def settled(running: Column, part: Column) -> Column:
+    """Whether nothing is being written: not running, and no part of an answer is held."""
+    return ~F.coalesce(running, F.lit(False)) & part.isNull()
+
+
+def visits(texts: DataFrame) -> DataFrame:
+    """Rows ``(viewer, ts, session_id, text)`` with ``visit``, the number of times the viewer has changed the session so far; what was audited before counts within a visit only."""
+    order = Window.partitionBy("viewer").orderBy("ts", "session_id")
+    changed = (~F.col("session_id").eqNullSafe(F.lag("session_id").over(order))).cast("int")
+    return texts.withColumn("changed", changed).withColumn("visit", F.sum("changed").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("changed")
+
+
+#: How deep the text of a content block, and calls within calls, are followed.
+BLOCK_DEPTH, CALL_DEPTH = 4, 8
+#: Fields of a block that may hold further blocks, in order.
+INNER = ["content", "blocks", "result", "results", "data"]
+
+
+def block_text(block: object, depth: int = 0) -> str:
+    """The text of a content block; the texts of a list by lines; empty if there is none."""
+    if depth > BLOCK_DEPTH or not isinstance(block, list | dict):
+        return ""
+    if isinstance(block, list):
+        return "\n".join(filter(None, (block_text(b, depth + 1) for b in block)))
+    own = block.get("text")
+    return own if isinstance(own, str) and own else next(filter(None, (block_text(block.get(k), depth + 1) for k in INNER)), "")
+
+
+def call_lines(call: object, depth: int = 0) -> Iterator[str]:
+    """Arguments of web tools and text of results, of a call and then of the calls it made."""
+    if not isinstance(call, dict) or depth > CALL_DEPTH:
+        return
+    head = call["call"] if isinstance(call.get("call"), dict) else {}
+    name, args = (head.get(k) if head.get(k) is not None else call.get(k) for k in ("name", "argsRaw"))
+    if isinstance(name, str) and "web" in name.lower() and isinstance(args, str) and args:
+        yield f"{name} {args}"
+    if text := block_text(call.get("content")):
+        yield text
+    inner = call.get("subCalls")
+    for sub in inner if isinstance(inner, list) else []:
+        yield from call_lines(sub, depth + 1)
+
+
+def _parsed(text: str | None) -> object:
+    try:
+        return json.loads(text or "null")
+    except ValueError:
+        return None
+
+
+def tool_text(node: Column) -> Column:
+    """Text of a tool's node, given as JSON; empty for a null or for what is no JSON object."""
+    return F.pandas_udf(_tool_text, "string")(node)
+
+
+def _tool_text(nodes: pd.Series) -> pd.Series:
+    return nodes.map(lambda n: "\n".join(call_lines(_parsed(n))))

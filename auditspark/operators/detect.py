@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from auditspark.config import Injection
 from auditspark.functions import normalise as N
 from auditspark.functions import rules as R
+from auditspark.operators.enforce import is_fetch_tool
 
 OPEN, CLOSE = "\ue000", "\ue001"  # private characters around matches
 NEAR = 400
@@ -278,6 +279,17 @@ def reports(texts: DataFrame, findings: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n_findings").isNull().alias("clean"), F.coalesce("n_findings", F.lit(0)).alias("n_findings"), F.coalesce("n_high", F.lit(0)).alias("n_high"), "scanned_bytes")
 
 
+def guard(blocks: DataFrame, s: Injection | None = None, seed: int | None = None) -> DataFrame:
+    """Blocks ``(response_id, pos, name, text)`` of tools' responses as ``(response_id, pos, text)``: unchanged, and before those of a fetch with findings one notice (pos -1) on all its blocks."""
+    s = s or Injection()
+    same = blocks.select("response_id", F.col("pos").cast("long").alias("pos"), "text")
+    if not s.enabled:
+        return same
+    fetched = blocks.where(is_fetch_tool(F.col("name"))).select(F.struct("response_id", "pos").alias("doc_id"), "text")
+    found = detect(fetched, s).withColumn("doc_id", F.col("doc_id.response_id"))
+    return same.unionByName(notices(found, seed=seed).select(F.col("doc_id").alias("response_id"), F.lit(-1).cast("long").alias("pos"), F.col("notice").alias("text")))
+
+
 def sanitize_untrusted(text: Column, most: int = 300) -> Column:
     flat = F.regexp_replace(N.fold_space(text), r"[\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2066}-\x{2069}\x{feff}]", "")
     clipped = F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most), F.lit("…"))).otherwise(flat)

@@ -83,3 +83,19 @@ def allowed(domains: DataFrame, entries: DataFrame, domain_col: str = "domain")
     """``domains`` with ``whitelisted``: whether the list has exactly this domain."""
     names = small(sets(entries)[0].select(F.col("domain").alias(domain_col), F.lit(True).alias("whitelisted")))
     return domains.join(names, domain_col, "left").select(*domains.columns, F.coalesce("whitelisted", F.lit(False)).alias("whitelisted"))
+
+
+def apply_op(block: DataFrame, allow: DataFrame, op: str, domain: str, reason: str = "manual") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both lists after an operation (block, unblock, whitelist, unwhitelist), and one row on it: whether it was valid, whether an entry was removed, membership and counts after it."""
+    name = domain.strip().lower()
+    change = {"block": add, "whitelist": add, "unblock": remove, "unwhitelist": remove}[op]
+    of_block = op in ("block", "unblock")
+    before = block if of_block else allow
+    after = change(before, name, reason) if change is add else remove(before, name)
+    block, allow = (after, allow) if of_block else (block, after)
+    has = F.coalesce(F.bool_or(F.col("domain") == name), F.lit(False))
+    counted = lambda entries, side: read_list(entries).agg(has.alias(f"in_{side}"), F.count("*").alias(f"n_{side}"))
+    was = read_list(before).agg(has.alias("was"))
+    ok = valid_entry(F.lit(name)) if change is add else F.lit(name != "")
+    row = counted(allow, "whitelist").crossJoin(counted(block, "blocklist")).crossJoin(was)  # one row each
+    return block, allow, row.select(F.lit(op).alias("op"), F.lit(name).alias("domain"), ok.alias("ok"), (F.lit(change is remove) & F.col("was")).alias("removed"), "in_whitelist", "in_blocklist", "n_whitelist", "n_blocklist")

@@ -186,4 +186,15 @@ ORACLES: dict[str, str] = {
         SELECT f.domain, CASE WHEN ok_at IS NULL THEN 'failed' ELSE 'ok' END AS kind, {_AT.format('coalesce(ok_at, failed_at)')} AS seen_at FROM f LEFT JOIN o ON f.domain = o.domain""",
     "age_resolver": chain("SELECT DISTINCT domain, coalesce(status, 'failed') AS status, CAST(CASE WHEN status = 'ok' THEN year END AS INT) AS year FROM facts"),
     "age_lookup_cap": chain("SELECT doc_id, domain, coalesce(status, 'failed') AS age_status FROM facts"),
+    "extend_token": f"WITH t AS (SELECT page_id AS doc_id, regexp_extract(text, '(https?://[a-z0-9.-]+)', 1) AS u, CAST(page_id % 7 AS VARCHAR) AS k FROM (SELECT page_id, {V.CITATION} AS text FROM pages)) SELECT doc_id, u || '。evil' || k || '.xyz' AS url, 'evil' || k || '.xyz' AS domain FROM t WHERE contains(substr(u, 9), '.')",
+    "apply_list_op": "SELECT * FROM (VALUES ('block', 'new.org', true, false, false, true, 2::BIGINT, 8::BIGINT), ('unblock', '.xyz', true, true, false, false, 2, 7), ('whitelist', 'not valid', false, false, false, false, 2, 7), ('unwhitelist', 'none.org', true, false, false, false, 2, 7)) t(op, domain, ok, removed, in_whitelist, in_blocklist, n_whitelist, n_blocklist)",
+    "safe_key": "SELECT page_id, regexp_replace(url, '[^a-zA-Z0-9_-]', '_', 'g') AS key FROM pages",
+    "migrate_legacy": "WITH r AS (SELECT page_id, 'k' || CAST(page_id % 100 AS VARCHAR) AS key FROM pages) SELECT page_id, key FROM r WHERE page_id % 3 <> 0 AND key NOT IN (SELECT key FROM r WHERE page_id % 7 = 0)",
+    "invisible_ratio": f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{_INV}')) / CAST(length(text) AS DOUBLE) > 0.001 AS INT) AS high FROM {_HID}",
+    "invisible_homoglyph": f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{_INV}')) AS BIGINT) AS n_invisible, CAST(len(regexp_extract_all(text, '{_class([ord(c) for c in N.HOMOGLYPHS])}')) AS BIGINT) AS n_homoglyphs FROM {_HID}",
+    "nonce": "SELECT page_id, 1 AS ok FROM pages",
+    "pick_nodes": "SELECT conv_id, CASE WHEN count(*) FILTER (role = 'system') > 0 THEN count(*) FILTER (role = 'system') ELSE count(*) END AS n_nodes FROM conversations GROUP BY conv_id",
+    "is_settled": "SELECT event_id, CAST(event_id % 8 IN (0, 1, 2, 3) AS INT) AS interrupted, CAST(event_id % 8 NOT IN (1, 4) AS INT) AS settled FROM events",
+    "session_reset": "WITH l AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS before FROM events) SELECT user_id AS viewer, CAST(count(*) FILTER (event_type IS DISTINCT FROM before) AS BIGINT) AS n_visits FROM l GROUP BY user_id",
+    "tool_text": f"SELECT page_id AS call_id, CASE WHEN contains({V.CALL_NAME}, 'web') THEN {V.CALL_NAME} || ' ' || {V.CALL_ARGS} || chr(10) ELSE '' END || url AS text FROM pages",
 }

@@ -13,6 +13,7 @@ from auditspark.functions import scoring as S
 from auditspark.functions import urls as U
 from auditspark.operators import ages, audit, conversations, detect, enforce, lists
 from auditspark.plans import views as V
+from auditspark.sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -55,6 +56,12 @@ def extract_domain(spark, sf):
     return _details(spark, sf).select("doc_id", "url", "domain")
 
 
+@query
+def extend_token(spark, sf):
+    dotted = V.citations(spark, sf).select("doc_id", F.concat(F.regexp_extract("text", "(https?://[a-z0-9.-]+)", 1), F.lit("。evil"), (F.col("doc_id") % 7).cast("string"), F.lit(".xyz end")).alias("text"))
+    return audit.url_details(dotted).select("doc_id", "url", "domain")
+
+
 @query
 def is_ip_literal(spark, sf):
     return _details(spark, sf).select("url", U.is_ip(U.host(F.col("url"))).cast("int").alias("is_ip")).distinct()
@@ -239,6 +246,26 @@ def status_payload(spark, sf):
     return lists.read_list(block).agg(F.lit("block").alias("kind"), F.count("*").alias("n")).unionByName(lists.read_list(allow).agg(F.lit("allow").alias("kind"), F.count("*").alias("n")))
 
 
+@query
+def apply_list_op(spark, sf):
+    block, allow = _lists(spark)
+    block, allow, one = lists.apply_op(block, allow, "block", " New.org ")
+    block, allow, two = lists.apply_op(block, allow, "unblock", ".xyz")
+    block, allow, three = lists.apply_op(block, allow, "whitelist", "not valid")
+    return one.unionByName(two).unionByName(three).unionByName(lists.apply_op(block, allow, "unwhitelist", "none.org")[2])
+
+
+@query
+def safe_key(spark, sf):
+    return V.table(spark, sf, "pages").select("page_id", store.safe_key(F.col("url")).alias("key"))
+
+
+@query
+def migrate_legacy(spark, sf):
+    rows = V.table(spark, sf, "pages").select("page_id", F.concat(F.lit("k"), (F.col("page_id") % 100).cast("string")).alias("key"), F.when(F.col("page_id") % 3 != 0, F.col("url")).alias("value"))
+    return store.migrate(rows, rows.where("page_id % 7 = 0")).select("page_id", "key")
+
+
 # --- normalisation
 
 
@@ -247,6 +274,18 @@ def invisible_count(spark, sf):
     return V.hidden(spark, sf).select("doc_id", N.invisible_count(F.col("text")).cast("long").alias("n"), F.round(N.invisible_count(F.col("text")) / F.length("text"), 9).alias("ratio"))
 
 
+@query
+def invisible_ratio(spark, sf):
+    return V.hidden(spark, sf).select("doc_id", (N.invisible_count(F.col("text")) / F.length("text") > Injection().invisible_ratio).cast("int").alias("high"))
+
+
+@query
+def invisible_homoglyph(spark, sf):
+    each = V.hidden(spark, sf).select("doc_id", F.explode(F.split("text", "")).alias("c")).where("c <> ''")
+    of = lambda points: F.count_if(F.col("c").rlike(N.char_class(points)))
+    return each.groupBy("doc_id").agg(of(N.INVISIBLE).alias("n_invisible"), of([ord(c) for c in N.HOMOGLYPHS]).alias("n_homoglyphs"))
+
+
 @query
 def strip_invisible(spark, sf):
     return V.hidden(spark, sf).select("doc_id", F.md5(N.strip_invisible(F.col("text"))).alias("digest"))
@@ -277,11 +316,26 @@ def repeat_runs(spark, sf):
     return V.hidden(spark, sf).select("doc_id", N.repeat_runs(F.col("text")).alias("n"), F.md5(N.collapse_repeats(F.col("text"))).alias("digest"))
 
 
+@query
+def collapse_repeats(spark, sf):
+    return V.hidden(spark, sf).select("doc_id", N.collapse_repeats(F.col("text")).alias("text"))
+
+
+@query
+def nfkc(spark, sf):
+    return V.hidden(spark, sf).select("doc_id", N.nfkc(F.col("text")).alias("text"))
+
+
 @query
 def decode_entities(spark, sf):
     return V.table(spark, sf, "pages").select("page_id", F.md5(N.decode_entities(F.col("html"))).alias("digest"), N.suspicious_entities(F.col("html")).alias("n_suspicious"))
 
 
+@query
+def suspicious_entities(spark, sf):
+    return V.table(spark, sf, "pages").select("page_id", N.suspicious_entities(F.col("html")).alias("n"))
+
+
 @query
 def normalise(spark, sf):
     return V.hidden(spark, sf).select("doc_id", N.normalised(N.for_decoding(F.col("text"))).alias("norm"))
@@ -319,6 +373,12 @@ def structural_scan(spark, sf):
     return detect.structural(_prepared(spark, sf))
 
 
+@query
+def benign_comment(spark, sf):
+    comments = V.table(spark, sf, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<!--[\\s\\S]*?-->"), F.lit(0))).alias("pos", "comment"))
+    return comments.select("page_id", "pos", detect.benign_comment(F.col("comment")).cast("int").alias("benign"))
+
+
 @query
 def decode_payloads(spark, sf):
     coded = V.suspects(spark, sf).select("doc_id", F.concat(F.lit("x "), F.regexp_replace(F.base64(F.col("text").cast("binary")), r"\s", ""), F.lit(" y "), F.hex(F.col("text"))).alias("decoding"))
@@ -370,11 +430,22 @@ def merge_findings(spark, sf):
     return detect.detect(V.suspects(spark, sf)).groupBy("rule_id").agg(F.count("*").alias("n_findings"), F.countDistinct("doc_id").alias("n_docs"))
 
 
+@query
+def guard(spark, sf):
+    response = F.floor(F.col("doc_id") / 3)
+    return detect.guard(V.suspects(spark, sf).select(response.alias("response_id"), (F.col("doc_id") % 3).alias("pos"), F.when(response % 5 == 0, "shell").otherwise("web_fetch").alias("name"), "text"), seed=1)
+
+
 @query
 def render_notice(spark, sf):
     return detect.notices(detect.detect(V.suspects(spark, sf)), seed=1).select("doc_id", "n_findings", F.regexp_replace("notice", "== .{9} ==", "== ==").alias("notice"))
 
 
+@query
+def nonce(spark, sf):
+    return V.table(spark, sf, "pages").select("page_id", detect.nonce().alias("mark")).select("page_id", F.col("mark").rlike(f"^[{detect.MARKS}]{{4}}-[{detect.MARKS}]{{4}}$").cast("int").alias("ok"))
+
+
 @query
 def notice_summary(spark, sf):
     found = detect.rule_counts(V.suspects(spark, sf).select("doc_id", N.fold_space(F.col("text")).alias("norm")))
@@ -430,6 +501,28 @@ def audit_input(spark, sf):
     return conversations.audit_input(V.table(spark, sf, "conversations"))
 
 
+@query
+def tool_text(spark, sf):
+    inner = F.struct(F.array(F.struct(F.lit("text").alias("type"), "url")).alias("other"), F.array(F.struct(F.col("url").alias("text"))).alias("content"))
+    nodes = V.tool_calls(spark, sf).join(V.table(spark, sf, "pages").select(F.col("page_id").alias("call_id"), "url"), "call_id")
+    node = F.to_json(F.struct(F.struct("name", F.col("args").alias("argsRaw")).alias("call"), F.array(inner).alias("subCalls")))
+    return nodes.select("call_id", conversations.tool_text(node).alias("text"))
+
+
+@query
+def pick_nodes(spark, sf):
+    of = lambda c: F.collect_list(F.when(c, F.col("turn")))
+    both = V.table(spark, sf, "conversations").groupBy("conv_id").agg(of(F.col("role") == "system").alias("legacy"), of(F.col("role") != "system").alias("nodes"))
+    return both.select("conv_id", F.size(conversations.first_filled(F.col("legacy"), F.col("nodes"))).cast("long").alias("n_nodes"))
+
+
+@query
+def is_settled(spark, sf):
+    k = F.col("event_id") % 8
+    status = F.when(k == 0, "interrupted").when(k == 1, "running").when(k < 6, "done")
+    return V.table(spark, sf, "events").select("event_id", conversations.interrupted(status, F.when(k == 2, True), k == 3).cast("int").alias("interrupted"), conversations.settled(F.when(k < 6, k == 1), F.when(k == 4, F.lit("part"))).cast("int").alias("settled"))
+
+
 @query
 def clamp_tool_text(spark, sf):
     return V.suspects(spark, sf).select("doc_id", F.md5(conversations.clamp_tool_text(F.col("text"), 300)).alias("digest"))
@@ -447,6 +540,12 @@ def audit_trigger(spark, sf):
     return conversations.triggers(rows).select("session_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "text")
 
 
+@query
+def session_reset(spark, sf):
+    rows = V.table(spark, sf, "events").select(F.col("user_id").alias("viewer"), "ts", F.col("event_type").alias("session_id"), F.lit("same").alias("text"))
+    return conversations.visits(rows).groupBy("viewer").agg(F.max("visit").alias("n_visits"))
+
+
 # --- ages
 
 
