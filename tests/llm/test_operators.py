@@ -169,6 +169,32 @@ def test_near_copies_of_word_shingles(spark, tile_rows):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({*want.values()})
 
 
+def test_groups_of_least_hashes():
+    assert simhash.n_groups(0.8) == 14 and simhash.n_groups(1.0) == 1 and simhash.n_groups(0.5) > 70
+    salts = simhash.group_salts(14)
+    rng = np.random.default_rng(1)
+    draw = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    shared, met, apart = draw(9000), 0, 0
+    assert (simhash.least_groups(shared, salts) == simhash.least_groups(shared[::-1].copy(), salts)).all()
+    assert len(simhash.least_groups(draw(0), salts)) == 14
+    for _ in range(300):
+        common, a, b = draw(160), draw(20), draw(20)
+        one, two = (simhash.least_groups(np.concatenate([common, x]), salts) for x in (a, b))
+        met += int((one == two).sum())
+        apart += int((simhash.least_groups(a, salts) == simhash.least_groups(b, salts)).sum())
+    assert abs(met / 300 / 14 - 0.8**3) < 0.03 and apart == 0
+
+
+def test_near_copies_of_a_lower_similarity(spark):
+    texts = near_texts(random.Random(8), 30)
+    sets = [set(simhash.shingle_hashes(t, 3).tolist()) for t in texts]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])]
+    want = brute_components(range(len(texts)), pairs)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = simhash.keep_one_of_each(df, words=3, similarity=0.6)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({*want.values()})
+
+
 def test_keep_one_of_odd_texts(spark):
     kept = simhash.keep_one_of_each(odd_frame(spark))
     assert kept.columns == odd_frame(spark).columns
