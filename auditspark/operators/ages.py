@@ -25,10 +25,11 @@ def last_failed(events: DataFrame, now: Column) -> DataFrame:
 
 def upserted(events: DataFrame) -> DataFrame:
     """What the table holds after all events by time: a failure replaces anything, a success only a failure or nothing."""
-    rows = F.sort_array(F.collect_list(F.struct("seen_at", "kind", "creation_date")))
-    kept = events.groupBy("domain").agg(F.max(F.when(F.col("kind") == "failed", F.col("seen_at"))).alias("failed_at"), rows.alias("rows"))
-    first = F.filter("rows", lambda r: (r["kind"] == "ok") & (F.col("failed_at").isNull() | (r["seen_at"] > F.col("failed_at"))))
-    return kept.select("domain", F.when(F.size(first) > 0, "ok").otherwise("failed").alias("kind"), F.when(F.size(first) > 0, F.try_element_at(first, F.lit(1))["seen_at"]).otherwise(F.col("failed_at")).alias("seen_at"))
+    failed = events.where("kind = 'failed'").groupBy("domain").agg(F.max("seen_at").alias("failed_at"))
+    later = events.where("kind = 'ok'").join(failed, "domain", "left").where("failed_at is null or seen_at > failed_at")
+    first = later.groupBy("domain").agg(F.min("seen_at").alias("ok_at"))
+    out = failed.join(first, "domain", "full")
+    return out.select("domain", F.when(F.col("ok_at").isNotNull(), "ok").otherwise("failed").alias("kind"), F.coalesce("ok_at", "failed_at").alias("seen_at"))
 
 
 def resolve(domains: DataFrame, cache: DataFrame, lookup: DataFrame) -> DataFrame:

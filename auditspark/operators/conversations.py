@@ -21,8 +21,8 @@ def last_assistant(turns: DataFrame) -> DataFrame:
 
 def current_turn(turns: DataFrame) -> DataFrame:
     """Rows after the last row of the user; all rows if there is none."""
-    anchor = F.max(F.when(F.col("role") == "user", F.col("turn"))).over(Window.partitionBy("conv_id"))
-    return turns.withColumn("anchor", anchor).where("anchor is null or turn > anchor").drop("anchor")
+    anchor = turns.where("role = 'user'").groupBy("conv_id").agg(F.max("turn").alias("anchor"))
+    return turns.join(anchor, "conv_id", "left").where("anchor is null or turn > anchor").select(*turns.columns)
 
 
 def clamp_tool_text(text: Column, budget: int = TOOL_BUDGET) -> Column:

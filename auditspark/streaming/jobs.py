@@ -1,29 +1,39 @@
-"""Streaming forms: audits of arriving texts, first-seen domains, the age cache with a time to live, and rested texts."""
+"""Streaming forms: audits of arriving texts and findings in them, first-seen domains, the age cache with a time to live, and rested texts."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from auditspark.config import Settings
-from auditspark.operators import audit
+from auditspark.config import Injection, Settings
+from auditspark.operators import audit, detect
 
 CACHE = "domain string, kind string, seen_at timestamp"
 
 
-def audit_stream(texts: DataFrame, block: DataFrame, allow: DataFrame, path: str, checkpoint: str, settings: Settings | None = None):
-    """Each batch audited and appended; lists are read anew for each batch, so changes to them take effect."""
+def _each_batch(texts: DataFrame, judge: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
+    """Each batch judged and written to its own folder ``batch=N``; a batch that is run again replaces what it wrote."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        audit.audit(rows, block, allow, settings).withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+        judge(rows).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return texts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def audit_stream(texts: DataFrame, block: DataFrame, allow: DataFrame, path: str, checkpoint: str, settings: Settings | None = None):
+    """Verdicts on arriving texts; lists are read anew for each batch, so changes to them take effect."""
+    return _each_batch(texts, lambda rows: audit.audit(rows, block, allow, settings), path, checkpoint)
+
+
+def detect_stream(texts: DataFrame, path: str, checkpoint: str, settings: Injection | None = None):
+    """Findings in arriving texts."""
+    return _each_batch(texts, lambda rows: detect.detect(rows, settings), path, checkpoint)
+
+
 def first_seen(texts: DataFrame, ts: str = "ts", late: str = "1 hour") -> DataFrame:
     """Domains of arriving texts, each once within the watermark."""
     urls = texts.select("doc_id", F.col(ts).cast("timestamp").alias("ts"), "text").withWatermark("ts", late)
