@@ -6,10 +6,11 @@ it can. Tiles come from buckets that lose no pair:
 
 * for a small radius, fingerprints of 64 bits share a bucket for each choice of bands that must agree if at most
   ``radius`` of the bands differ (4 bands, radius 2: any 2 of them agree), so work grows far less than with all pairs;
-* for word-shingle similarity (``near_duplicate_classes``), where the radius is too wide for that, documents share a
-  bucket for each group of least hashes they have in common; similar sets have one in common all but surely, and the
-  number of comparisons grows with the rows, not with their square. Rows that comparison brings together are then
-  verified on their whole sets of shingles.
+* for word-shingle similarity (``near_duplicate_classes``) no fingerprint is asked. All shingles have one order, common
+  ones last; two sets as similar as wanted have a shingle in common among the first of either (prefix filter), so
+  documents share a bucket for each of their first shingles. Pairs of a bucket are dropped only by bounds that no wanted
+  pair exceeds: the ratio of sizes, and the bits in which parities of the sets differ, which are no more than the
+  shingles in which the sets do. What stays is verified on the whole sets of shingles.
 
 A tile gives a spanning forest of its links, never all pairs of a group; equal fingerprints (or texts) are one class
 before any comparison, so a group of copies costs one row.
@@ -18,7 +19,7 @@ before any comparison, so a group of copies costs one row.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -34,8 +35,11 @@ from auditspark.llm.tiles import TILE, deal_tiles
 SEED = 42
 #: Rows of a chunk of a hot bucket, and rows of a block within a tile.
 TILE_ROWS, BLOCK_ROWS = 32_768, 1024
+#: Words of the parities of a set. Texts whose shingles set the order, about, and common shingles at most; both bear on speed only.
+PARITY_WORDS, ORDER_TEXTS, COMMON = 8, 20_000, 100_000
 #: Least hashes in a group, and the share of pairs of just the wanted similarity that may have no group in common.
 GROUP_HASHES, MISS = 3, 5e-5
+SIGNS = [f"s{k}" for k in range(PARITY_WORDS)]
 
 
 def shingle_hashes(text: str, words: int, seed: int = SEED) -> np.ndarray:
@@ -157,8 +161,8 @@ def band_keys(fp: Column, bands: int, radius: int) -> list[Column]:
     return [F.xxhash64(F.lit(n), *(part[i] for i in chosen)) for n, chosen in enumerate(combinations(range(bands), bands - radius))]
 
 
-def _forest(tiles: DataFrame, node: str, signs: list[str], radius: int, least: float = 0.0) -> DataFrame:
-    """Links ``(a, b)`` between nodes whose signs differ in ``radius`` bits at most: a spanning forest of each tile's links."""
+def _forest(tiles: DataFrame, node: str, signs: list[str], pairs: Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    """Links ``(a, b)`` between the nodes of ``pairs`` (of signs, sizes, left and right side): a spanning forest of each tile's links."""
     sized = "size" in tiles.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +176,7 @@ def _forest(tiles: DataFrame, node: str, signs: list[str], radius: int, least: f
             for start, end in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows], strict=True):
                 labels, own = np.arange(end - start), nodes[start:end]
                 left, right = _tile_sides(chunk[start:end], tile_a[start], tile_b[start])
-                for x, y in close_pairs(words[start:end], radius, left, right, sizes[start:end] if sized else None, least):
+                for x, y in pairs(words[start:end], sizes[start:end] if sized else None, left, right):
                     new = labels[x] != labels[y]
                     if new.any():
                         labels = merge_labels(labels, x[new], y[new])
@@ -188,7 +192,8 @@ def _forest(tiles: DataFrame, node: str, signs: list[str], radius: int, least: f
 def linked_fingerprints(distinct: DataFrame, radius: int = 2, bands: int = 4, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Distinct ``fp`` to links ``(a, b)`` of fingerprints within the radius: a spanning forest of each tile's links."""
     rows = distinct.select("fp", F.explode(F.array(*band_keys(F.col("fp"), bands, radius))).alias("bucket"))
-    return _forest(deal_tiles(rows, "fp", tile_rows).select("fp", "chunk", *TILE), "fp", ["fp"], radius)
+    pairs = lambda signs, _, left, right: close_pairs(signs, radius, left, right)
+    return _forest(deal_tiles(rows, "fp", tile_rows).select("fp", "chunk", *TILE), "fp", ["fp"], pairs)
 
 
 def simhash_components(df: DataFrame, words: int = 3, radius: int = 2, bands: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,28 +213,94 @@ def simhash_components(df: DataFrame, words: int = 3, radius: int = 2, bands: in
     return found.join(classes, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _signatures(df: DataFrame, words: int, groups: list[str], id_col: str, text_col: str) -> DataFrame:
-    """``key`` (of equal texts), the id, the number of distinct shingles, two fingerprints and the keys of its groups of least hashes of each row."""
-    salts = group_salts(len(groups))
+def prefix_length(size: int, similarity: float) -> int:
+    """First shingles of a set of which another as similar as wanted must have one among its own first."""
+    return size - math.ceil(similarity * size - 1e-9) + 1
+
+
+def first_shingles(hashes: np.ndarray, similarity: float, common: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The prefix of a sorted set of shingle hashes in the order of all shingles: by ``level`` for those in the sorted ``common``, which others precede, then by hash."""
+    if not len(hashes):
+        return hashes
+    at = np.minimum(np.searchsorted(common, hashes), max(len(common) - 1, 0))
+    rank = np.where(common[at] == hashes, level[at], 0) if len(common) else np.zeros(len(hashes), dtype=np.int64)
+    return hashes[np.argsort(rank, kind="stable")[: prefix_length(len(hashes), similarity)]]
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the set's hashes fall in each of 64 * PARITY_WORDS cells. Sets that differ in d hashes differ in d bits at most."""
+    bits = 64 * PARITY_WORDS
+    cell = (hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits.bit_length() + 1)
+    odd = np.bincount(cell.astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def possible_pairs(signs: np.ndarray, sizes: np.ndarray, similarity: float, left: np.ndarray | None = None, right: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that sizes and parities allow to be as similar as wanted, block by block; no pair that is gets lost.
+
+    Sets of sizes m and n and that similarity differ in (1 - similarity) / (1 + similarity) * (m + n) shingles at most.
+    """
+    share = (1 - similarity) / (1 + similarity)
+    left = np.arange(len(signs)) if left is None else left
+    own = right is None
+    left = left[np.argsort(sizes[left], kind="stable")]
+    right = left if own else right[np.argsort(sizes[right], kind="stable")]
+    for i in range(0, len(left), BLOCK_ROWS):
+        a = left[i : i + BLOCK_ROWS]
+        for j in range(i if own else 0, len(right), BLOCK_ROWS):
+            b = right[j : j + BLOCK_ROWS]
+            if sizes[a[-1]] < similarity * sizes[b[0]] - 1e-6:
+                break
+            if sizes[b[-1]] < similarity * sizes[a[0]] - 1e-6:
+                continue
+            apart = np.zeros((len(a), len(b)), dtype=np.int16)
+            for k in range(signs.shape[1]):
+                apart += np.bitwise_count(signs[a, k][:, None] ^ signs[b, k][None, :])
+            x, y = np.nonzero(apart <= share * (sizes[a][:, None] + sizes[b][None, :]) + 1e-6)
+            if own and i == j:
+                x, y = x[x < y], y[x < y]
+            x, y = a[x], b[y]
+            near = np.minimum(sizes[x], sizes[y]) >= similarity * np.maximum(sizes[x], sizes[y]) - 1e-6
+            if near.any():
+                yield x[near], y[near]
+
+
+def common_shingles(df: DataFrame, words: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that over a thousandth of some texts have, and how common each is.
+
+    They only set the order of shingles. Any order gives the same links; this one keeps buckets small.
+    """
+    texts = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = texts.where(F.pmod(F.xxhash64("text"), F.lit(math.ceil((df.count() + 1) / ORDER_TEXTS))) == 0).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                found = [np.unique(shingle_hashes(x, words)) for x in texts_of(part, "text")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["shingle"])
+
+    counts = texts.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") > max(4, ORDER_TEXTS // 1000))
+    top = counts.orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
+    found = np.array([r.shingle for r in top], dtype=np.int64).view(np.uint64)
+    level = np.array([r.n.bit_length() for r in top], dtype=np.int64)
+    order = np.argsort(found)
+    return found[order], level[order]
+
+
+def _signatures(df: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """``key`` (of equal texts), the id, the number of distinct shingles, the first of them and the parities of each row."""
+    order = df.sparkSession.sparkContext.broadcast(common_shingles(df, words, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                sizes, one, two, keys = [], [], [], []
-                for x in texts_of(part, text_col):
-                    hashes = np.unique(shingle_hashes(x, words))
-                    sizes.append(len(hashes))
-                    one.append(fingerprint(hashes))
-                    # a second, independent 64 bits from the same hashes: an odd multiplier with its high bits folded down
-                    other = hashes * np.uint64(0x9E3779B97F4A7C15)
-                    other ^= other >> np.uint64(29)
-                    other *= np.uint64(0xBF58476D1CE4E5B9)
-                    two.append(fingerprint(other ^ (other >> np.uint64(32))))
-                    keys.append(least_groups(hashes, salts))
-                signs = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (one, two)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes, pa.int64()), *signs, *(pa.array(x) for x in np.array(keys).T)], names=[id_col, "key", "size", "f1", "f2", *groups])
-
-    schema = f"`{id_col}` long, key string, size long, f1 long, f2 long, " + ", ".join(f"{c} long" for c in groups)
+                sets = [np.unique(shingle_hashes(x, words)) for x in texts_of(part, text_col)]
+                first = [first_shingles(x, similarity, *order.value).view(np.int64) for x in sets]
+                signs = np.stack([parities(x) for x in sets]).view(np.int64)
+                sizes = pa.array([len(x) for x in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), sizes, pa.array(first, pa.list_(pa.int64())), *(pa.array(x) for x in signs.T.copy())], names=[id_col, "key", "size", "first", *SIGNS])
+
+    schema = f"`{id_col}` long, key string, size long, first array<long>, " + ", ".join(f"{c} long" for c in SIGNS)
     return text_frame(df, id_col, text_col).withColumn("key", text_key(F.col(text_col))).mapInArrow(run, schema)
 
 
@@ -250,13 +321,13 @@ def _sets(df: DataFrame, words: int, text_col: str) -> DataFrame:
     return df.select("node", text_col).mapInArrow(run, "node long, shingles array<long>")
 
 
-def _verified_links(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
+def _verified_links(rows: DataFrame, similarity: float) -> DataFrame:
     """Links ``(a, b)`` of nodes with enough shingles in common: a spanning forest of each tile's links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, TILE):
             starts = group_starts(rows, TILE)
-            signs = np.stack([rows["f1"].to_numpy().view(np.uint64), rows["f2"].to_numpy().view(np.uint64)], axis=1)
+            signs = np.stack([rows[c].to_numpy().view(np.uint64) for c in SIGNS], axis=1)
             nodes, chunk, sizes = rows["node"].to_numpy(), rows["chunk"].to_numpy(), rows["size"].to_numpy()
             tile_a, tile_b = rows["tile_a"].to_numpy(), rows["tile_b"].to_numpy()
             flat = rows["shingles"].combine_chunks()
@@ -265,7 +336,7 @@ def _verified_links(rows: DataFrame, radius: int, similarity: float) -> DataFram
             for start, end in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows], strict=True):
                 labels = np.arange(start, end)
                 left, right = _tile_sides(chunk[start:end], tile_a[start], tile_b[start])
-                for x, y in close_pairs(signs[start:end], radius, left, right, sizes[start:end], similarity):
+                for x, y in possible_pairs(signs[start:end], sizes[start:end], similarity, left, right):
                     near = np.argsort(np.bitwise_count(signs[start + x] ^ signs[start + y]).sum(axis=1), kind="stable")
                     for at in range(0, len(near), 4096):
                         some = near[at : at + 4096]
@@ -289,34 +360,36 @@ def _verified_links(rows: DataFrame, radius: int, similarity: float) -> DataFram
 def near_duplicate_classes(df: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", tile_rows: int = TILE_ROWS) -> DataFrame:
     """One row per distinct text: ``key``, ``least`` (its least id), ``n_rows``, and ``root``, the node that stands for its class; ``node`` = ``root`` for one text of each class.
 
-    Texts are linked if the Jaccard similarity of their sets of shingles is ``similarity`` or more. Links between different
-    texts are looked for among those that share a group of least hashes, pairs whose 128 fingerprint bits differ by no more
-    than a radius that a pair of that similarity exceeds in about 1 of 5,000 cases. Texts that such pairs bring together,
+    Texts are linked if the Jaccard similarity of their sets of shingles is ``similarity`` or more; no such link is lost.
+    Links between different texts are looked for among those that share one of their first shingles in the order of all
+    shingles, as two so similar sets must. Buckets of the same texts are one. Texts that possible pairs bring together,
     directly or over others, are one bucket; in it a pair is linked only if the whole sets agree, so that each set is
     shuffled once. Texts without words are linked with equal texts only.
     """
-    cosine = 2 * similarity / (1 + similarity)
-    turn = math.acos(cosine) / math.pi
-    radius = math.ceil(128 * turn + 3.5 * math.sqrt(128 * turn * (1 - turn)))
-    keys = [f"m{k}" for k in range(n_groups(similarity))]
-    rows = checkpoint(_signatures(df, words, keys, id_col, text_col))
-    classes = rows.groupBy("key").agg(F.min(id_col).alias("least"), F.count("*").alias("n_rows"), F.min("size").alias("size"), *(F.min(c).alias(c) for c in ("f1", "f2", *keys)))
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity must be over 0 and at most 1")
+    rows = checkpoint(_signatures(df, words, similarity, id_col, text_col))
+    classes = rows.groupBy("key").agg(F.min(id_col).alias("least"), F.count("*").alias("n_rows"), F.min("size").alias("size"), F.first("first").alias("first"), *(F.min(c).alias(c) for c in SIGNS))
     # a text's node is its least id; texts that have no id at all, or share one, get a number of their own
     shared = classes.groupBy("least").agg(F.count("*").alias("n")).where("n > 1 and least is not null").select(F.col("least"), F.lit(True).alias("shared"))
     classes = classes.join(shared, "least", "left").withColumn("node", F.when(F.col("least").isNull() | F.col("shared") | (F.col("least") < 0), F.bitwise_not(F.abs(F.xxhash64("key")))).otherwise(F.col("least"))).drop("shared")
     classes = checkpoint(classes)
-    sized = classes.where("size > 0")
-    dealt = sized.select("node", "size", "f1", "f2", F.explode(F.array(*keys)).alias("bucket"))
-    tiles = deal_tiles(dealt, "node", tile_rows).select("node", "size", "f1", "f2", "chunk", *TILE)
-    groups = connected_components(_forest(tiles, "node", ["f1", "f2"], radius, similarity))
-    grouped = sized.select("node", "size", "f1", "f2").join(groups.withColumnRenamed("root", "bucket"), "node")
-    near = checkpoint(deal_tiles(grouped, "node", tile_rows, deal=False).select("node", "size", "f1", "f2", "chunk", *TILE))
+    sized = classes.where("size > 0").select("node", "size", *SIGNS)
+    firsts = classes.where("size > 0").select("node", F.explode("first").alias("bucket"))
+    members = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    buckets = firsts.groupBy("bucket").agg(*members).where("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"))
+    dealt = checkpoint(firsts.join(buckets.select("bucket"), "bucket"))
+    tiles = deal_tiles(dealt, "node", tile_rows, deal=False).join(sized, "node").select("node", "size", *SIGNS, "chunk", *TILE)
+    pairs = lambda signs, sizes, left, right: possible_pairs(signs, sizes, similarity, left, right)
+    groups = connected_components(_forest(tiles.repartition(*TILE).sortWithinPartitions(*TILE), "node", SIGNS, pairs))
+    grouped = sized.join(groups.withColumnRenamed("root", "bucket"), "node")
+    near = checkpoint(deal_tiles(grouped, "node", tile_rows, deal=False).select("node", "size", *SIGNS, "chunk", *TILE))
     wanted = near.select("node").distinct().join(classes.select("node", "key", "least"), "node")
     texts = df.select(F.col(id_col).cast("long").alias("least"), text_key(F.col(text_col)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = wanted.join(texts, wanted["key"].eqNullSafe(texts["key"]) & wanted["least"].eqNullSafe(texts["least"])).select("node", "text").dropDuplicates(["node"])
     sets = _sets(texts, words, "text")
     joined = near.join(sets, "node").repartition(*TILE).sortWithinPartitions(*TILE)
-    roots = connected_components(_verified_links(joined, radius, similarity))
+    roots = connected_components(_verified_links(joined, similarity))
     return classes.join(roots, "node", "left").select("key", "least", "n_rows", "node", F.coalesce("root", "node").alias("root"))
 
 

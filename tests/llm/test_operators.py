@@ -195,6 +195,24 @@ def test_near_copies_of_a_lower_similarity(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({*want.values()})
 
 
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 0.9, 1.0])
+def test_similar_sets_share_a_first_shingle_and_pass_the_bounds(similarity):
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(rng.integers(1, 400))
+        union = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        out = rng.permutation(n)[: int((1 - similarity) * n + 1e-9)]
+        cut = int(rng.integers(0, len(out) + 1))
+        one, two = np.delete(union, out[:cut]), np.delete(union, out[cut:])
+        assert len(np.intersect1d(one, two)) >= similarity * n - 1e-9
+        common = union[rng.random(n) < 0.3]
+        level = rng.integers(1, 4, len(common))
+        first = [simhash.first_shingles(x, similarity, common, level) for x in (one, two)]
+        assert np.intersect1d(*first).size
+        signs = np.stack([simhash.parities(one), simhash.parities(two)])
+        assert len(list(simhash.possible_pairs(signs, np.array([len(one), len(two)]), similarity))) == 1
+
+
 def test_keep_one_of_odd_texts(spark):
     kept = simhash.keep_one_of_each(odd_frame(spark))
     assert kept.columns == odd_frame(spark).columns
