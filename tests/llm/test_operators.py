@@ -195,6 +195,19 @@ def test_near_copies_of_a_lower_similarity(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({*want.values()})
 
 
+def test_no_link_of_the_wanted_similarity_is_lost(spark):
+    rng = random.Random(12)
+    texts = []
+    for k in range(700):
+        words = [f"v{rng.randrange(10**6)}" for _ in range((8, 8, 8, 19)[k % 4])]
+        texts += [" ".join(words), " ".join([*words, *(f"u{rng.randrange(10**6)}" for _ in range((1, 1, 1, 3)[k % 4]))])]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    want = {a: a - 1 for a in range(1, len(texts), 2) if len(sets[a] & sets[a - 1]) >= 0.8 * len(sets[a] | sets[a - 1])}
+    assert len(want) == 700
+    got = {r.least: r.root for r in simhash.near_duplicate_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: want.get(i, i) for i in range(len(texts))}
+
+
 @pytest.mark.parametrize("similarity", [0.5, 0.8, 0.9, 1.0])
 def test_similar_sets_share_a_first_shingle_and_pass_the_bounds(similarity):
     rng = np.random.default_rng(4)
