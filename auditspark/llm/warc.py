@@ -1,8 +1,9 @@
 """WARC archives: a writer that Spark's own files carry, and a reader that salvages damaged archives.
 
 Records are rows of text that end in the two line ends the format asks for, so Spark's text writer makes valid archives
-on any file system, with its commit protocol; ``maxRecordsPerFile`` bounds a file. Files are gzip members of many
-records; the reader takes plain archives, one member per record and many per member alike.
+on any file system, with its commit protocol; ``maxRecordsPerFile`` bounds a file. Each record is a gzip member of its
+own, so that damage costs the records it touches; the reader takes plain archives, one member per record and many per
+member alike.
 
 The reader takes the bytes of a file, checks each record's version line, headers, length, end and block digest, and each
 member's checksum. After a failed check it searches for the next version line (or gzip member), goes on from there, and
@@ -11,6 +12,7 @@ reports the bytes passed over as a quarantined gap. Gaps and records cover the a
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import zlib
@@ -21,11 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditspark.llm.common import slices
+
 #: Payloads from this size on are stored once; rows of a file at most.
 REVISIT_BYTES, FILE_ROWS = 1000, 2000
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 MEMBER = re.compile(rb"\x1f\x8b\x08[\x00-\x1f].{6}", re.S)
 END = b"\r\n\r\n"
+#: A member's last byte, which the text writer adds as the end of a line: the highest of the length, zero for less than 16 MiB.
+LAST, LAST_BYTES = "\0", 1 << 24
 
 
 @dataclass
@@ -65,12 +71,14 @@ def members(data: bytes) -> Iterator[tuple[int, bytes, str]]:
         parts, k = [], at
         try:
             while not unzip.eof and k < len(data):
+                before = unzip.copy()
                 parts.append(unzip.decompress(data[k : k + 65_536]))
                 k += 65_536
             if not unzip.eof:
                 fault = "the member ends early"
         except zlib.error as e:
             fault = str(e)
+            parts.extend(_up_to_fault(before, data[k : k + 65_536]))
         out = b"".join(parts)
         if fault:
             found = MEMBER.search(data, at + 1)
@@ -81,6 +89,21 @@ def members(data: bytes) -> Iterator[tuple[int, bytes, str]]:
         at = end
 
 
+def _up_to_fault(unzip, piece: bytes) -> Iterator[bytes]:
+    """What a piece that fails gives before its fault, byte by byte."""
+    try:
+        for i in range(len(piece)):
+            yield unzip.decompress(piece[i : i + 1])
+    except zlib.error:
+        return
+
+
+def member_line(record: bytes) -> bytes:
+    """A record as a gzip member without its last byte ``LAST``; an empty member follows one whose length has another."""
+    out = gzip.compress(record, 6, mtime=0)
+    return (out if len(record) < LAST_BYTES else out + gzip.compress(b"", mtime=0))[:-1]
+
+
 def salvage(data: bytes) -> Salvage:
     """All sound records of an archive, and the gaps between them."""
     out = Salvage()
@@ -190,7 +213,14 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
         _header("Content-Length", F.octet_length("block")),
         F.lit("\r\n"),
     )
-    rows.select(F.concat(head, F.col("block")).alias("value")).write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS).mode("error").text(path)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield pa.RecordBatch.from_arrays([pa.array([member_line(x) for x in part.column(0).to_pylist()], pa.binary())], names=["value"])
+
+    records = rows.select(F.concat(head, F.col("block"), F.lit(END.decode())).cast("binary").alias("value")).mapInArrow(pack, "value binary")
+    records.select(F.col("value").cast("string").alias("value")).write.option("lineSep", LAST).option("compression", "none").option("maxRecordsPerFile", FILE_ROWS).mode("error").text(path)
 
 
 RECORD = "file string, offset long, type string, record_id string, refers_to string, uri string, payload_digest string, payload_length long, payload binary, gap_length long, why string"

@@ -417,6 +417,35 @@ def test_archive_and_back(spark, tmp_path):
     assert warc.page_records(warc.read_archive(spark, empty)).count() == 0
 
 
+def test_salvage_of_a_damaged_file_of_the_writer(spark, tmp_path):
+    import gzip
+
+    pages = [(k, f"http://a/{k}", hashlib.sha512(str(k).encode()).hexdigest() * 20) for k in range(40)]
+    path = tmp_path / "archive"
+    warc.write_archive(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), str(path))
+    files = sorted(x for x in path.iterdir() if x.name.startswith("part-"))
+    found = [warc.salvage(x.read_bytes()) for x in files]
+    assert sum(len(x.records) for x in found) == 40 and not any(x.gaps for x in found)
+    whole = max((x.read_bytes() for x in files), key=len)
+    n = len(warc.salvage(whole).records)
+    assert gzip.decompress(whole).count(b"WARC/1.1\r\n") == n > 4
+    for at in range(len(whole) // 7, len(whole), len(whole) // 5):
+        hurt = bytearray(whole)
+        hurt[at] ^= 0x55
+        assert len(warc.salvage(bytes(hurt)).records) >= n - 1
+
+
+def test_content_before_a_fault_is_kept(spark, tmp_path):
+    import gzip
+
+    one = bytearray(gzip.compress(b"".join(archive_bytes(spark, tmp_path)), mtime=0))
+    one[-8] ^= 1
+    found = warc.salvage(bytes(one))
+    assert len(found.records) == 6 and found.gaps
+    big = warc.member_line(b"x" * warc.LAST_BYTES) + warc.LAST.encode() + warc.member_line(b"y") + warc.LAST.encode()
+    assert gzip.decompress(big) == b"x" * warc.LAST_BYTES + b"y" and [f for _, _, f in warc.members(big)] == ["", "", ""]
+
+
 # --- embeddings
 
 
