@@ -75,6 +75,15 @@ def test_pages_of_the_table_hold_their_article(spark, sf_dir):
         assert r.n_chars == len(r.text)
 
 
+LONG = "A sentence, of some length, which tells something, and goes on for a while."
+
+
+@pytest.mark.parametrize("depth", [10, 300, 3000])
+def test_deep_pages_lose_nothing_and_keep_nothing_left_out(depth):
+    page = "<body>" + "<div>" * depth + f"<nav>menu</nav><div hidden>secret</div><p>{LONG}</p>" + "</div>" * depth + "<p>after it all, too</p>"
+    assert html_extract.main_text(page) == f"{LONG}\nafter it all, too"
+
+
 def test_null_pages(spark):
     df = spark.createDataFrame([(1, None, None, 3), (2, "u", "", 3)], "page_id long, url string, html string, text int")
     assert [(r.text, r.n_chars) for r in html_extract.extract_text(df).collect()] == [("", 0), ("", 0)]
