@@ -84,6 +84,20 @@ def test_deep_pages_lose_nothing_and_keep_nothing_left_out(depth):
     assert html_extract.main_text(page) == f"{LONG}\nafter it all, too"
 
 
+def test_class_words_alone_take_no_article():
+    for name in ("content has-sidebar", "with-sidebar", "sidebar", "search results", "related"):
+        assert html_extract.main_text(f"<body><div class='{name}'><p>{LONG}</p><p>{LONG}</p></div>") == f"{LONG}\n{LONG}"
+    assert html_extract.main_text(f"<body><div class='sidebar'><p>{LONG}</p></div><div class='text'><p>{LONG * 4}</p></div>") == LONG * 4
+
+
+def test_link_lists_short_paragraphs_and_bare_text_of_an_article_stay():
+    links = "<ul><li><a href='x'>Source one</a></li><li><a href='y'>Source two</a></li></ul>"
+    menu = "<ul><li><a href='m'>menu</a></li></ul>"
+    assert html_extract.main_text(f"<body>{menu}<div class='content'><p>{LONG * 3}</p>{links}</div>") == f"{LONG * 3}\nSource one\nSource two"
+    page = f"<body><div><div class='article'>{f'<p>{LONG}</p>' * 9}</div>bare <b>text</b><p>Short end.</p><p><a href='x'>More</a></p></div>"
+    assert html_extract.main_text(page) == "\n".join([LONG] * 9 + ["bare text", "Short end."])
+
+
 def test_null_pages(spark):
     df = spark.createDataFrame([(1, None, None, 3), (2, "u", "", 3)], "page_id long, url string, html string, text int")
     assert [(r.text, r.n_chars) for r in html_extract.extract_text(df).collect()] == [("", 0), ("", 0)]
