@@ -6,10 +6,9 @@ joins and aggregates of tables that Spark shards by n-gram or context. Symbols a
 trusted text and one for all others, so that a model of 4 symbols of 64 has at most 16.8 million numbers however large
 the corpus: 34 MB in half precision, which is what tasks get.
 
-A document is rejected if its perplexity is outside quantiles of the trusted documents of its language and length
-(halving widths of lengths): short texts vary more, and both unlike text and mere repetition stand out. Languages and
-lengths with few trusted documents use the quantiles of the language, then those of all, as widened as the samples are
-small.
+A document is rejected if its perplexity is outside quantiles of all trusted documents of its language, widened by one
+margin: both unlike text and mere repetition stand out. This rule is the same at every size of the input and of the
+language. Documents of a language without trusted text stay, as there is nothing to hold them against.
 """
 
 from __future__ import annotations
@@ -26,8 +25,8 @@ from auditspark.llm.common import checkpoint, slices, table, text_frame, texts_o
 
 #: Symbols and the length of n-grams; both bound the model.
 SYMBOLS, ORDER = 64, 4
-#: Trusted documents of a group for quantiles of its own, the quantiles, and how far beyond them, in parts of their distance, a document stays.
-LEAST_GROUP, QUANTILES, MARGIN = 200, (0.005, 0.995), 0.5
+#: The quantiles, and how far beyond them, in parts of their distance, a document stays.
+QUANTILES, MARGIN = (0.005, 0.995), 0.5
 #: Labels of more rows than this are joined by a shuffle instead of a broadcast.
 BROADCAST_LABELS = 2_000_000
 #: Symbol 0 stands before a text; symbol 1 is any character without one of its own.
@@ -169,7 +168,7 @@ class Model:
 
 
 def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Broadcast, DataFrame]:
-    """The model, and the losses of the trusted documents it was trained on (language, length, loss), kept in the shared folder."""
+    """The model, and the losses of the trusted documents it was trained on (language, loss), kept in the shared folder."""
     context = documents.sparkSession.sparkContext
     good = trusted(documents, labels, id_col).select(id_col, F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
     symbol = alphabet(good, text_col)
@@ -180,44 +179,32 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         for batch in batches:
             for part in slices(batch):
                 texts = texts_of(part, text_col)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(lengths_of(texts))), pa.array(model.value.scores(texts))], names=["lang", "length", "loss"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.value.scores(texts))], names=["lang", "loss"])
 
-    losses = good.select("lang", text_col).mapInArrow(run, "lang string, length int, loss double").where("not isnan(loss)")
+    losses = good.select("lang", text_col).mapInArrow(run, "lang string, loss double").where("not isnan(loss)")
     return model, checkpoint(losses)
 
 
-def lengths_of(texts: list[str]) -> list[np.int32]:
-    """The group of a text by length: one for each doubling."""
-    return [np.int32(len(t).bit_length()) for t in texts]
-
-
 class Bounds:
-    """Lowest and highest loss by language and length, with what to use where there are few."""
+    """Lowest and highest loss by language; none for a language without trusted text."""
 
     def __init__(self, rows: list, margin: float):
-        self.margin = margin
-        self.at = {(r.lang, r.length): (int(r.n), float(r.q[0]), float(r.q[1]), float(r.q[2])) for r in rows}
+        self.at = {r.lang: (r.q[0] - margin * (r.q[1] - r.q[0]), r.q[2] + margin * (r.q[2] - r.q[1])) for r in rows}
 
-    def of(self, lang: str, length: int) -> tuple[float, float]:
-        for key in ((lang, length), (lang, None), (None, length), (None, None)):
-            if (found := self.at.get(key)) and (found[0] >= LEAST_GROUP or key == (None, None)):
-                _, low, mid, high = found
-                wide = self.margin * (1 if key == (lang, length) else 2)
-                return low - wide * (mid - low), high + wide * (high - mid)
-        return -np.inf, np.inf
+    def of(self, lang: str) -> tuple[float, float]:
+        return self.at.get(lang, (-np.inf, np.inf))
 
 
 def bounds(losses: DataFrame, margin: float = MARGIN) -> Bounds:
-    """Quantiles by language and length, by language, by length and of all. Only groups that are large enough leave Spark."""
-    grouped = losses.cube("lang", "length").agg(F.count("*").alias("n"), F.percentile_approx("loss", [QUANTILES[0], 0.5, QUANTILES[1]], 20_000).alias("q"))
-    return Bounds(grouped.where(F.col("n") >= LEAST_GROUP).unionByName(losses.agg(F.lit(None).cast("string").alias("lang"), F.lit(None).cast("int").alias("length"), F.count("*").alias("n"), F.percentile_approx("loss", [QUANTILES[0], 0.5, QUANTILES[1]], 20_000).alias("q")).where("n > 0")).collect(), margin)
+    """Quantiles by language over all its trusted documents."""
+    return Bounds(losses.groupBy("lang").agg(F.percentile_approx("loss", [QUANTILES[0], 0.5, QUANTILES[1]], 20_000).alias("q")).collect(), margin)
 
 
 def score_quality(df: DataFrame, model: Broadcast, limits: Bounds, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: the id, ``perplexity`` (per character), ``lowest`` and ``highest`` that are kept, and ``kept``.
 
     Defined cases: null and empty texts have no perplexity and are kept, as nothing speaks against them; a null language
-    is one of its own; without trusted text nothing is rejected; very long texts are scored whole; repeated rows give one
+    is one of its own; in a language without trusted text nothing is rejected; very long texts are scored whole; repeated rows give one
     row each; an empty table gives an empty table; other columns are ignored.
     """
     shared = df.sparkSession.sparkContext.broadcast(limits)
@@ -236,13 +223,13 @@ def score_quality(df: DataFrame, model: Broadcast, limits: Bounds, id_col: str =
 
 def judge(model: Model, limits: Bounds, texts: list[str], langs: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     loss = model.scores(texts)
-    edge = np.array([limits.of(lang or "", int(k)) for lang, k in zip(langs, lengths_of(texts), strict=True)], dtype=np.float64).reshape(-1, 2)
+    edge = np.array([limits.of(lang or "") for lang in langs], dtype=np.float64).reshape(-1, 2)
     kept = np.isnan(loss) | (loss >= edge[:, 0]) & (loss <= edge[:, 1])
     return loss, edge[:, 0], edge[:, 1], kept
 
 
 def drop_low_quality(df: DataFrame, model: Broadcast, limits: Bounds, text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` with its columns whose perplexity is within the quantiles of their language and length."""
+    """The rows of ``df`` with its columns whose perplexity is within the quantiles of their language."""
     shared = df.sparkSession.sparkContext.broadcast(limits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
