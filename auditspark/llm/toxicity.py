@@ -191,7 +191,7 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 120, seed: int = 7)
     windows, labels = [], []
     for text, y in zip(texts, toxic, strict=True):
         words = WORD.findall(text)
-        places = [i for i, w in enumerate(words) if w in ids][:40]
+        places = [i for i, w in enumerate(words) if w in ids]
         places += rng.integers(0, len(words), size=3).tolist() if words else []
         for i in places:
             start = max(0, min(i - WINDOW // 2, len(words) - WINDOW))
@@ -271,8 +271,8 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col:
     parts = [usable.where(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1)]
     chosen = parts[0].unionByName(parts[1]).dropDuplicates(["id"])
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "toxic", "text").toPandas()
-    rows = rows.sort_values(["id", "text"]).drop_duplicates("text")
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("text").agg(F.min(F.struct("id", "toxic")).alias("one"))
+    rows = rows.select("one.id", "one.toxic", "text").toPandas().sort_values(["id", "text"])
     model = train(rows["text"].tolist(), rows["toxic"].to_numpy() == 1)
     return documents.sparkSession.sparkContext.broadcast(model)
 

@@ -358,6 +358,15 @@ def test_toxicity_of_odd_texts(spark):
     assert {r.predicted for r in toxicity.score_toxicity(bad, untrained).collect()} == {0}
 
 
+def test_labelled_words_late_in_a_text_are_learned():
+    rng = random.Random(9)
+    words = [f"word{i}" for i in range(200)]
+    fill = lambda n: " ".join(rng.choices(words, k=n))
+    texts = [f"{' '.join(['vile'] * 45)} {fill(20_000)} gross {fill(40)}" for _ in range(20)] + [fill(60) for _ in range(60)]
+    model = toxicity.train(texts, np.array([True] * 20 + [False] * 60))
+    assert max((w for f, w in model.weights.items() if "gro" in f), default=0) > 0.5
+
+
 # --- pieces
 
 
