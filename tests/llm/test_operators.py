@@ -639,14 +639,6 @@ def test_quality_of_odd_texts(spark):
     assert quality.score_quality(empty_frame(spark), model, limits).count() == 0
 
 
-def test_each_language_has_limits_of_its_own_at_every_size(spark):
-    rows = [("en", 2.0 + k / 1000) for k in range(400)] + [("fr", 3.0 + k / 100) for k in range(9)]
-    limits = quality.bounds(spark.createDataFrame(rows, "lang string, loss double"))
-    assert limits.of("fr") == pytest.approx((2.98, 3.1), abs=1e-6)
-    assert limits.of("en")[0] < 2.0 and limits.of("en")[1] < 2.6
-    assert limits.of("xx") == (-math.inf, math.inf)
-
-
 # --- SQL
 
 
