@@ -54,8 +54,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    model, limits = quality.quality_model(spark, documents, sf_dir)
-    return quality.score_quality(documents, model, limits)
+    return quality.score_quality(documents, table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

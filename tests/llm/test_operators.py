@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from auditspark.llm import components, decontaminate, embedding_dedup, html_extract, quality, queries, sentencepiece, sharding, simhash, tiles, token_count, toxicity, warc
+from auditspark.llm import components, decontaminate, embedding_dedup, html_extract, queries, sentencepiece, sharding, simhash, tiles, token_count, toxicity, warc
 from auditspark.llm.common import table
 from tests.llm.odd_texts import ODD, empty_frame, odd_frame
 
@@ -572,73 +572,6 @@ def test_shards_of_odd_texts(spark):
     assert sharding.assign_shards(empty_frame(spark)).count() == 0
 
 
-# --- quality
-
-
-def brute_kneser_ney(texts, symbol, order=quality.ORDER):
-    """Probability of a symbol after a context, by definition."""
-    grams = Counter()
-    for t in texts:
-        s = [0] * (order - 1) + [int(symbol[ord(c)]) for c in t]
-        grams.update(tuple(s[i : i + order]) for i in range(len(s) - order + 1))
-    counts = {order: grams}
-    for k in range(order - 1, 0, -1):
-        counts[k] = Counter(g[1:] for g in counts[k + 1])
-    cuts = {k: quality._discounts([Counter(c.values())[i] for i in (1, 2, 3, 4)]) for k, c in counts.items()}
-
-    def p(gram):
-        k = len(gram)
-        if k == 0:
-            return 1 / (quality.SYMBOLS - 1)
-        follow = {g: n for g, n in counts[k].items() if g[:-1] == gram[:-1]}
-        if not follow:
-            return p(gram[1:])
-        cut = lambda n: cuts[k][min(n, 3) - 1]
-        total, n = sum(follow.values()), counts[k].get(gram, 0)
-        return ((n - cut(n)) / total if n else 0.0) + sum(map(cut, follow.values())) / total * p(gram[1:])
-
-    return p
-
-
-def test_model_is_kneser_ney_by_definition(spark):
-    texts = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog, and a cat", "", "the end"] * 2 + ["a log on a mat"]
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    symbol = quality.alphabet(df)
-    log = quality.kneser_ney(quality.count_ngrams(df, spark.sparkContext.broadcast(symbol)))
-    p = brute_kneser_ney(texts, symbol)
-    s = [0, 0, 0] + [int(symbol[ord(c)]) for c in "the cat dog x!"]
-    want = [math.log(max(p(tuple(s[i : i + 4])), 1e-9)) for i in range(len(s) - 3)]
-    model = quality.Model(symbol, log)
-    assert model.scores(["the cat dog x!", ""])[0] == pytest.approx(-sum(want) / len(want), abs=5e-3)
-    assert np.isnan(model.scores([""])[0])
-    whole = [sum(math.exp(float(log[((3 * 64 + 5) * 64 + 2) * 64 + w])) for w in range(1, 64))]
-    assert whole[0] == pytest.approx(1, abs=0.02)
-
-
-def test_quality_rejects_junk_and_keeps_good(spark):
-    sf = "/root/testdata/sf0.1"
-    labels = {r.doc_id: r.quality for r in table(spark, sf, "labels").collect()}
-    got = {r.doc_id: r.kept for r in queries.op10_quality_classifier(spark, sf).collect()}
-    good = [got[i] for i, q in labels.items() if q == 1]
-    bad = [got[i] for i, q in labels.items() if q == 0]
-    assert sum(good) / len(good) > 0.98
-    assert sum(bad) / len(bad) < 0.3
-
-
-def test_quality_of_odd_texts(spark):
-    docs = odd_frame(spark)
-    model, losses = quality.train(docs, spark.createDataFrame([(4, 1), (5, 1), (12, 1), (12, 1), (None, 1), (99, 1), (6, 0)], "doc_id long, quality int"))
-    limits = quality.bounds(losses)
-    got = rows_of(quality.score_quality(docs, model, limits))
-    assert len(got) == len(ODD)
-    assert all(r["kept"] and r["perplexity"] is None for r in got if r["doc_id"] in (1, 2))
-    kept = quality.drop_low_quality(docs, model, limits)
-    assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in got)
-    nothing, none = quality.train(empty_frame(spark), spark.createDataFrame([], "doc_id long, quality int"))
-    assert all(r["kept"] for r in rows_of(quality.score_quality(docs, nothing, quality.bounds(none))))
-    assert quality.score_quality(empty_frame(spark), model, limits).count() == 0
-
-
 # --- SQL
 
 
