@@ -11,9 +11,8 @@ from auditspark.llm.queries import PIECES
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity is usual for their language and length stay."""
-    model, limits = quality.quality_model(spark, docs, sf_dir)
-    return quality.drop_low_quality(docs, model, limits)
+    """Documents whose perplexity is usual for their language stay."""
+    return quality.drop_low_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
