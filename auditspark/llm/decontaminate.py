@@ -1,9 +1,10 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the windows of normalised test items.
 
-Texts are normalised byte for byte: A-Z to lower case, ASCII bytes other than letters and digits to blanks, words joined
-by one blank. The automaton holds the windows (10 consecutive words of an item, or a shorter item whole) with a blank on
-either side, so that a match is a run of whole words. Each text is scanned once; where a match ends gives its last word,
-and the place of a word in the original follows from the same separators.
+Texts are normalised byte for byte: A-Z to lower case, ASCII bytes other than letters and digits to blanks, and cut into
+words. Each word of the items has a number, written as two digits of different kinds so that no state has many followers;
+all other words are two zeros. The automaton holds the windows (10 consecutive words of an item, or a shorter item whole)
+as sequences of digits, so that a match is a run of whole words. Each text is scanned once; where a match ends gives its
+last word, and the place of a word in the original follows from the same separators.
 
 The items are a stated query set. They are read in blocks of bounded size, one automaton and one broadcast each; with a
 set of one block (``BLOCK_BYTES`` of normalised text) documents are read once, with more they are read once a block and
@@ -13,7 +14,9 @@ the hits are put together per document.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -24,10 +27,12 @@ from pyspark.sql import functions as F
 
 from auditspark.llm.common import slices, text_frame, texts_of
 
-#: Words of a window, and normalised bytes of the items of one automaton at most (a larger item has one to itself).
-WINDOW, BLOCK_BYTES = 10, 4_000_000
+#: Words of a window, and bytes of the items of one automaton at most (a larger item has one to itself): about 280 MB in a worker.
+WINDOW, BLOCK_BYTES = 10, 1_800_000
 #: Fixed: what a byte becomes. Words are runs of ASCII letters and digits and of all bytes from 128 on.
 BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: The digits of a word that no item has.
+UNKNOWN = (0, 0)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -35,27 +40,30 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """Windows of a block of items: each with its number of words and the items that have it."""
+    """Windows of a block of items: each with the items that have it. Items of the same id are one."""
 
     def __init__(self, items: list[tuple], window: int = WINDOW):
-        self.ids, found = [i for i, _ in items], {}
-        for k, (_, text) in enumerate(items):
-            words = words_of(text)
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                part = words[i : i + window]
-                found.setdefault((b" " + b" ".join(part) + b" ").decode("latin-1"), (len(part), []))[1].append(k)
-        self.found = {key: (n, sorted(set(owners))) for key, (n, owners) in found.items()}
+        self.ids, numbers_of, found = sorted({i for i, _ in items}), {}, {}
+        place = {i: k for k, i in enumerate(self.ids)}
+        for item, text in items:
+            numbers = [numbers_of.setdefault(w, len(numbers_of)) for w in words_of(text)]
+            for i in range(max(1, len(numbers) - window + 1) if numbers else 0):
+                found.setdefault(tuple(numbers[i : i + window]), set()).add(place[item])
+        self.found = {key: tuple(sorted(owners)) for key, owners in found.items()}
+        base = math.isqrt(len(numbers_of)) + 1
+        self.digits = {w: (1 + k // base, 1 + base + k % base) for w, k in numbers_of.items()}
         self._automaton = None
 
     def __getstate__(self):
-        return {"ids": self.ids, "found": self.found, "_automaton": None}
+        return {**self.__dict__, "_automaton": None}
 
     @property
     def automaton(self):
         if self._automaton is None:
-            self._automaton = ahocorasick.Automaton()
-            for key, value in self.found.items():
-                self._automaton.add_word(key, value)
+            self._automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            digits = list(self.digits.values())
+            for key, owners in self.found.items():
+                self._automaton.add_word(tuple(chain.from_iterable(digits[k] for k in key)), (len(key), owners))
             if self.found:
                 self._automaton.make_automaton()
         return self._automaton
@@ -66,12 +74,9 @@ class Windows:
         owners: set[int] = set()
         if not words or not self.found:
             return np.zeros(len(words), dtype=bool), owners
-        text = (b" " + b" ".join(words) + b" ").decode("latin-1")
-        ends = None
-        for end, (n, of) in self.automaton.iter(text):
-            if ends is None:
-                ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-            last = int(np.searchsorted(ends, end))
+        digits = self.digits.get
+        for end, (n, of) in self.automaton.iter(tuple(chain.from_iterable([digits(w, UNKNOWN) for w in words]))):
+            last = end // 2
             hit[last - n + 1] += 1
             hit[last + 1] -= 1
             owners.update(of)
@@ -83,11 +88,12 @@ def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
     items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
     block, size = [], 0
     for row in items.orderBy("id").toLocalIterator():
-        if block and size + len(row.text) > BLOCK_BYTES:
+        bytes_ = len(row.text.encode("utf-8", "surrogatepass"))
+        if block and size + bytes_ > BLOCK_BYTES:
             yield block
             block, size = [], 0
         block.append((row.id, row.text))
-        size += len(row.text)
+        size += bytes_
     if block:
         yield block
 
@@ -131,7 +137,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_
     """One row per row: the id, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256`` and ``contaminated``.
 
     Defined cases: null and empty texts have no words and no hits; items without words have no window; equal items count
-    each; items with a null id are ignored; repeated rows and ids give one row each; without items, or for an empty
+    each; items of one id count once, with the windows of all of them; items with a null id are ignored; repeated rows and ids give one row each; without items, or for an empty
     table, nothing is hit; very long texts are scanned whole; other columns are ignored.
     """
     blocks = _broadcasts(benchmark, window)

@@ -192,22 +192,6 @@ def test_near_copies_of_word_shingles(spark, tile_rows):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({*want.values()})
 
 
-def test_groups_of_least_hashes():
-    assert simhash.n_groups(0.8) == 14 and simhash.n_groups(1.0) == 1 and simhash.n_groups(0.5) > 70
-    salts = simhash.group_salts(14)
-    rng = np.random.default_rng(1)
-    draw = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
-    shared, met, apart = draw(9000), 0, 0
-    assert (simhash.least_groups(shared, salts) == simhash.least_groups(shared[::-1].copy(), salts)).all()
-    assert len(simhash.least_groups(draw(0), salts)) == 14
-    for _ in range(300):
-        common, a, b = draw(160), draw(20), draw(20)
-        one, two = (simhash.least_groups(np.concatenate([common, x]), salts) for x in (a, b))
-        met += int((one == two).sum())
-        apart += int((simhash.least_groups(a, salts) == simhash.least_groups(b, salts)).sum())
-    assert abs(met / 300 / 14 - 0.8**3) < 0.03 and apart == 0
-
-
 def test_near_copies_of_a_lower_similarity(spark):
     texts = near_texts(random.Random(8), 30)
     sets = [set(simhash.shingle_hashes(t, 3).tolist()) for t in texts]
@@ -277,15 +261,15 @@ def brute_contamination(text, items):
         windows = {tuple(own[k : k + n]) for k in range(len(own) - n + 1)} if own else set()
         at = [k for k in range(len(words) - n + 1) if n and tuple(words[k : k + n]) in windows]
         hit |= {k + j for k in at for j in range(n)}
-        owners += [str(i)] if at else []
+        owners += [str(i)] if at and str(i) not in owners else []
     return len(words), len(hit), len(owners), hashlib.sha256(",".join(sorted(owners)).encode()).hexdigest(), bool(hit)
 
 
 @pytest.mark.parametrize("block", [4_000_000, 60])
 def test_contamination_is_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
-    items = [(1, "The quick brown fox jumps over the lazy dog and then sleeps all day long"), (2, "short item"), (3, None), (4, "short item"), (5, "!!"), (10, "dog and then sleeps all day long until the night comes again")]
-    docs = [*ODD, (20, "A SHORT, item; the-quick brown fox jumps over the lazy dog and then sleeps all day long until the night comes again"), (21, "shorts item short itemx"), (22, "short item short item")]
+    items = [(1, "The quick brown fox jumps over the lazy dog and then sleeps all day long"), (2, "short item"), (3, None), (4, "short item"), (5, "!!"), (10, "dog and then sleeps all day long until the night comes again"), (7, "alpha beta"), (7, "beta gamma"), (2, "alpha beta")]
+    docs = [*ODD, (20, "A SHORT, item; the-quick brown fox jumps over the lazy dog and then sleeps all day long until the night comes again"), (21, "shorts item short itemx"), (22, "short item short item"), (23, "alpha beta gamma"), (23, "alpha beta gamma"), (24, "beta gamma delta")]
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.contamination(df, bench).collect())
     assert got == Counter((i, *brute_contamination(t, items)) for i, t in docs)
