@@ -45,6 +45,26 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Keys that are broadcast because many rows have them, at most.
+HOT_KEYS = 100_000
+
+
+def hot_bound(n_rows: int) -> int:
+    """Rows of a key beyond which it is hot: fewer than HOT_KEYS keys have so many."""
+    return max(1_000, n_rows // HOT_KEYS)
+
+
+def join_split(rows: DataFrame, side: DataFrame, key: str, n_col: str, bound: int) -> DataFrame:
+    """Inner join of ``rows`` with ``side``, which has each key once and in ``n_col`` how many rows have it.
+
+    Keys of more than ``bound`` rows are broadcast, so that none fills a task; ``bound`` is ``hot_bound`` of the rows, so
+    these are at most HOT_KEYS. The others are joined by a shuffle.
+    """
+    hot = side.where(F.col(n_col) > bound)
+    few = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(side.where(F.col(n_col) <= bound), key)
+    return rows.join(F.broadcast(hot), key).unionByName(few)
+
+
 def text_frame(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Id as long and text with null as the empty string; all other columns, clashing names included, are left out."""
     return df.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))

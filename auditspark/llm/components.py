@@ -1,8 +1,9 @@
 """Connected components of links between long ids, by alternating large-star and small-star steps.
 
-Each step is a minimum per node (combined before the shuffle) and one join; no neighbour list is ever gathered. Links
-are cut to checkpoints, so a lost executor costs one step. Empty links give an empty result; repeated links and links
-of a node with itself change nothing.
+Each step is a minimum per node (combined before the shuffle) and one join; no neighbour list is ever gathered. The
+minima of nodes with many links are broadcast instead, and their number is bounded. Links are cut to checkpoints, so a
+lost executor costs one step. Empty links give an empty result; repeated links and links of a node with itself change
+nothing.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import checkpoint
+from auditspark.llm.common import checkpoint, hot_bound, join_split
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -19,7 +20,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = checkpoint(edges)
     state = _state(edges)
     for _ in range(max_rounds):
-        edges = checkpoint(_small_star(_large_star(edges)))
+        bound = hot_bound(2 * state[0])
+        edges = checkpoint(_small_star(checkpoint(_large_star(edges, bound)), bound))
         state, before = _state(edges), state
         if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
@@ -34,15 +36,15 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, bound: int) -> DataFrame:
     """Every larger neighbour of a node is linked to the least of the node and its neighbours."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return _drop_loops(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+    least = checkpoint(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
+    return _drop_loops(join_split(both.where("b > a"), least, "a", "n", bound).select(F.col("b").alias("a"), F.col("m").alias("b")))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, bound: int) -> DataFrame:
     """A node and its smaller neighbours are linked to the least of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    moved = join_split(edges, least, "a", "n", bound).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return _drop_loops(moved.unionByName(least.select("a", F.col("m").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))

@@ -28,17 +28,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import checkpoint, group_starts, slices, text_frame, texts_of, whole_groups
+from auditspark.llm.common import checkpoint, group_starts, hot_bound, join_split, slices, text_frame, texts_of, whole_groups
 from auditspark.llm.components import connected_components
 from auditspark.llm.tiles import TILE, deal_tiles
 
 SEED = 42
 #: Rows of a chunk of a hot bucket, and rows of a block within a tile.
 TILE_ROWS, BLOCK_ROWS = 32_768, 1024
+#: Shingles of a chunk of texts whose whole sets are compared: 32 MB.
+TILE_SHINGLES = 4_000_000
 #: Words of the parities of a set. Texts whose shingles set the order, about, and common shingles at most; both bear on speed only.
 PARITY_WORDS, ORDER_TEXTS, COMMON = 8, 20_000, 100_000
-#: Least hashes in a group, and the share of pairs of just the wanted similarity that may have no group in common.
-GROUP_HASHES, MISS = 3, 5e-5
 SIGNS = [f"s{k}" for k in range(PARITY_WORDS)]
 
 
@@ -66,30 +66,6 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(count * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def n_groups(similarity: float) -> int:
-    """Groups of least hashes after which a pair of that similarity is missed in a share of ``MISS`` at most; 14 for 0.8."""
-    return 1 if similarity >= 1 else math.ceil(math.log(MISS) / math.log1p(-(similarity**GROUP_HASHES)))
-
-
-def group_salts(groups: int) -> np.ndarray:
-    return np.random.default_rng(SEED).integers(0, 2**64, groups * GROUP_HASHES, dtype=np.uint64)[:, None]
-
-
-def least_groups(hashes: np.ndarray, salts: np.ndarray) -> np.ndarray:
-    """A key for each group of least hashes of a set: equal if all its least hashes are."""
-    least = np.full(len(salts), 2**64 - 1, dtype=np.uint64)
-    for start in range(0, len(hashes), 4096):
-        mixed = (hashes[None, start : start + 4096] ^ salts) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        least = np.minimum(least, mixed.min(axis=1))
-    keys = np.arange(1, len(salts) // GROUP_HASHES + 1, dtype=np.uint64)
-    for part in least.reshape(-1, GROUP_HASHES).T:
-        keys = (keys ^ part) * np.uint64(0x9E3779B97F4A7C15)
-        keys ^= keys >> np.uint64(32)
-    return keys.view(np.int64)
-
-
 def simhash(df: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and ``fp``, the fingerprint as a signed long, of each row. A map without a shuffle."""
 
@@ -205,12 +181,13 @@ def simhash_components(df: DataFrame, words: int = 3, radius: int = 2, bands: in
     are ignored.
     """
     found = checkpoint(simhash(df, words, id_col, text_col))
-    classes = found.groupBy("fp").agg(F.min(id_col).alias("least"))
+    classes = checkpoint(found.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n_rows")))
     roots = connected_components(linked_fingerprints(classes.select("fp"), radius, bands))
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(groups, "root").select("fp", "component_id")
-    return found.join(classes, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = checkpoint(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", "n_rows", F.coalesce("root", "fp").alias("root")))
+    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n_classes"))
+    bound = hot_bound(found.count())
+    classes = join_split(rooted, groups, "root", "n_classes", bound).select("fp", "component_id", "n_rows")
+    return join_split(found, classes, "fp", "n_rows", bound).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def prefix_length(size: int, similarity: float) -> int:
@@ -238,13 +215,15 @@ def parities(hashes: np.ndarray) -> np.ndarray:
 def possible_pairs(signs: np.ndarray, sizes: np.ndarray, similarity: float, left: np.ndarray | None = None, right: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows that sizes and parities allow to be as similar as wanted, block by block; no pair that is gets lost.
 
-    Sets of sizes m and n and that similarity differ in (1 - similarity) / (1 + similarity) * (m + n) shingles at most.
+    Sets of sizes m and n and that similarity differ in (1 - similarity) / (1 + similarity) * (m + n) shingles at most:
+    this is the radius. Blocks whose sizes, or whose parities' population counts, are further apart are skipped.
     """
     share = (1 - similarity) / (1 + similarity)
+    ones = np.bitwise_count(signs).sum(axis=1, dtype=np.int64)
     left = np.arange(len(signs)) if left is None else left
     own = right is None
-    left = left[np.argsort(sizes[left], kind="stable")]
-    right = left if own else right[np.argsort(sizes[right], kind="stable")]
+    left = left[np.lexsort((ones[left], sizes[left]))]
+    right = left if own else right[np.lexsort((ones[right], sizes[right]))]
     for i in range(0, len(left), BLOCK_ROWS):
         a = left[i : i + BLOCK_ROWS]
         for j in range(i if own else 0, len(right), BLOCK_ROWS):
@@ -253,6 +232,8 @@ def possible_pairs(signs: np.ndarray, sizes: np.ndarray, similarity: float, left
                 break
             if sizes[b[-1]] < similarity * sizes[a[0]] - 1e-6:
                 continue
+            if max(ones[b].min() - ones[a].max(), ones[a].min() - ones[b].max()) > share * (sizes[a[-1]] + sizes[b[-1]]) + 1e-6:
+                continue
             apart = np.zeros((len(a), len(b)), dtype=np.int16)
             for k in range(signs.shape[1]):
                 apart += np.bitwise_count(signs[a, k][:, None] ^ signs[b, k][None, :])
@@ -383,7 +364,7 @@ def near_duplicate_classes(df: DataFrame, words: int = 5, similarity: float = 0.
     pairs = lambda signs, sizes, left, right: possible_pairs(signs, sizes, similarity, left, right)
     groups = connected_components(_forest(tiles.repartition(*TILE).sortWithinPartitions(*TILE), "node", SIGNS, pairs))
     grouped = sized.join(groups.withColumnRenamed("root", "bucket"), "node")
-    near = checkpoint(deal_tiles(grouped, "node", tile_rows, deal=False).select("node", "size", *SIGNS, "chunk", *TILE))
+    near = checkpoint(deal_tiles(grouped, "node", tile_rows, deal=False, weight="size", tile_weight=TILE_SHINGLES).select("node", "size", *SIGNS, "chunk", *TILE))
     wanted = near.select("node").distinct().join(classes.select("node", "key", "least"), "node")
     texts = df.select(F.col(id_col).cast("long").alias("least"), text_key(F.col(text_col)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = wanted.join(texts, wanted["key"].eqNullSafe(texts["key"]) & wanted["least"].eqNullSafe(texts["least"])).select("node", "text").dropDuplicates(["node"])
