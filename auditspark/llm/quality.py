@@ -41,7 +41,7 @@ BROADCAST_ROWS = 2_000_000
 #: Stands before a text ORDER - 1 times: the last code point, which is no character.
 START = 0x10FFFF
 #: Characters worked on at a time, and distinct n-grams that a task holds before it gives them on.
-PIECE, FLUSH = 1_000_000, 300_000
+PIECE, FLUSH = 500_000, 300_000
 
 
 def trusted(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -86,17 +86,29 @@ def _joined(texts: list[str]) -> Iterator[tuple[np.ndarray, str, np.ndarray]]:
         yield np.array(numbers), "".join(texts[i] for i in numbers), np.array([len(texts[i]) for i in numbers])
 
 
-def _hashes(symbols: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the n-gram that begins at each place."""
+def _hashes(symbols: np.ndarray, step: int = 1) -> np.ndarray:
+    """A 64-bit hash of the n-gram that begins at each place, or at every ``step``-th."""
     n = len(symbols) - ORDER + 1
-    out = np.full(n, 0x9E3779B97F4A7C15, dtype=np.uint64)
+    out = np.full(len(range(0, n, step)), 0x9E3779B97F4A7C15, dtype=np.uint64)
     for k in range(ORDER):
-        out ^= symbols[k : k + n]
+        out ^= symbols[k : k + n : step]
         out *= np.uint64(0xBF58476D1CE4E5B9)
         out ^= out >> np.uint64(29)
     return out
 
 
+def with_hash(grams: DataFrame) -> DataFrame:
+    """``(fold, gram, level, log_p)`` with the hash ``h`` instead of the n-gram: what tasks look n-grams of texts up by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            symbols = np.frombuffer("".join(batch.column(1).to_pylist()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            hashes = _hashes(symbols, ORDER).view(np.int64) if len(symbols) else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes), batch.column(2), batch.column(3)], names=["fold", "h", "level", "log_p"])
+
+    return grams.select("fold", "gram", "level", "log_p").mapInArrow(run, "fold int, h long, level int, log_p double")
+
+
 class _Counts:
     """Counts of n-grams, by hash."""
 
@@ -120,23 +132,23 @@ class _Counts:
             self.parts = [(keys, grams[first], np.bincount(where, weights=n).astype(np.int64))]
             self.size = len(keys)
 
-    def take(self) -> tuple[np.ndarray, list[str], np.ndarray]:
+    def take(self) -> tuple[list[str], np.ndarray]:
         self.merge()
-        keys, grams, n = self.parts[0]
+        _, grams, n = self.parts[0]
         text = grams.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
         self.parts, self.size = [], 0
-        return keys.view(np.int64), [text[i : i + ORDER] for i in range(0, len(text), ORDER)], n
+        return [text[i : i + ORDER] for i in range(0, len(text), ORDER)], n
 
 
 def count_ngrams(texts: DataFrame, name: str, text_col: str = "text") -> DataFrame:
-    """``fold``, ``gram``, its hash ``h`` and its count ``name`` in the texts ``(fold, text)``; not yet summed over tasks."""
+    """``fold``, ``gram`` and its count ``name`` in the texts ``(fold, text)``; not yet summed over tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [_Counts(), _Counts()]
 
         def given(k: int) -> pa.RecordBatch:
-            keys, grams, n = held[k].take()
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k, dtype=np.int32)), pa.array(grams), pa.array(keys), pa.array(n)], names=["fold", "gram", "h", name])
+            grams, n = held[k].take()
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k, dtype=np.int32)), pa.array(grams), pa.array(n)], names=["fold", "gram", name])
 
         for batch in batches:
             folds = batch.column(0).to_numpy()
@@ -149,7 +161,7 @@ def count_ngrams(texts: DataFrame, name: str, text_col: str = "text") -> DataFra
             if held[k].size:
                 yield given(k)
 
-    return texts.select("fold", F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, f"fold int, gram string, h long, {name} long")
+    return texts.select("fold", F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, f"fold int, gram string, {name} long")
 
 
 def discounts(m: list[int]) -> tuple[float, float, float]:
@@ -255,9 +267,9 @@ def losses(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     learned = count_ngrams(good.select((1 - fold(F.col("text"))).alias("fold"), "text"), "n")
     asked = count_ngrams(texts, "m")
     both = learned.withColumn("m", F.lit(0).cast("long")).unionByName(asked.withColumn("n", F.lit(0).cast("long")))
-    grams = checkpoint(both.groupBy("fold", "gram").agg(F.min("h").alias("h"), F.sum("n").alias("n"), F.sum("m").alias("m")))
-    wanted = grams.where("m > 0").select("fold", "gram", "h", F.floor(F.log2("m") * 8).cast("int").alias("level"))
-    table = checkpoint(wanted.join(kneser_ney(grams), ["fold", "gram"]).select("fold", "h", "level", F.log("p").alias("log_p")))
+    grams = checkpoint(both.groupBy("fold", "gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
+    wanted = grams.where("m > 0").select("fold", "gram", F.floor(F.log2("m") * 8).cast("int").alias("level"))
+    table = checkpoint(with_hash(wanted.join(kneser_ney(grams), ["fold", "gram"]).withColumn("log_p", F.log("p"))))
     least, whole = _threshold(table, HEAD if head is None else head)
     shared = spark.sparkContext.broadcast(Head(table.where(F.col("level") >= least).select("fold", "h", "log_p").toArrow()))
 
