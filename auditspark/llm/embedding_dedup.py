@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import checkpoint, group_starts, whole_groups
+from auditspark.llm.common import checkpoint, group_starts, hot_bound, join_split, whole_groups
 from auditspark.llm.components import connected_components
 from auditspark.llm.simhash import merge_labels
 from auditspark.llm.tiles import TILE, deal_tiles
@@ -222,14 +222,16 @@ def embedding_components(df: DataFrame, least: float = 0.95, id_col: str = "vec_
     classes = rows.where("usable").groupBy("key").agg(F.min(id_col).alias("least"), F.count("*").alias("weight"), F.min("embedding").alias("embedding"))
     hashed = checkpoint(_hashed(classes.select("key", F.xxhash64("key").alias("node"), "least", "weight", "embedding")))
     placed = hashed.select("node", F.posexplode("cells").alias("slot", "bucket"))
-    tiles = deal_tiles(placed, "node", TILE_ROWS, deal=False).join(hashed.select("node", "weight", "cells", "embedding"), "node").repartition(*TILE).sortWithinPartitions(*TILE)
+    tiles = deal_tiles(placed, "node", TILE_ROWS, deal=False, owner=F.col("slot") % (PROBES + 1) == 0).join(hashed.select("node", "weight", "cells", "embedding"), "node").repartition(*TILE).sortWithinPartitions(*TILE)
     tiles = tiles.select("node", "slot", "weight", "chunk", "cells", "embedding", *TILE)
     found = checkpoint(_links(tiles, least))
     counts = found.groupBy("a").agg(F.sum("n").alias("n"))
     roots = connected_components(found.where("a <> b").select("a", "b"))
-    rooted = hashed.select("key", "node", "least", "weight").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    groups = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    of = rooted.join(groups, "root").join(counts, F.col("node") == F.col("a"), "left").select("key", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("links"), "component")
-    out = keyed.join(of, "key", "left")
-    component = F.coalesce(F.when(F.col("usable"), F.col("component")), F.when(~F.col("usable"), F.col(id_col)))
-    return out.select(id_col, F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col(id_col) == component, F.lit(False)).alias("kept"))
+    rooted = checkpoint(hashed.select("key", "node", "least", "weight").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    groups = rooted.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("n_classes"))
+    bound = hot_bound(keyed.count())
+    of = join_split(rooted, groups, "root", "n_classes", bound).join(counts, F.col("node") == F.col("a"), "left").select("key", "weight", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("links"), "component")
+    out = join_split(keyed.where("usable"), of, "key", "weight", bound).select(id_col, "links", "component")
+    out = out.unionByName(keyed.where("not usable").select(id_col, F.lit(0).cast("long").alias("links"), F.col(id_col).alias("component")))
+    component = F.col("component")
+    return out.select(id_col, F.col("links").cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col(id_col) == component, F.lit(False)).alias("kept"))

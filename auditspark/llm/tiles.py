@@ -6,7 +6,7 @@ hot bucket is spread over many tasks and no task holds more than two chunks of i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditspark.llm.common import checkpoint, hot_bound, join_split
@@ -15,14 +15,15 @@ from auditspark.llm.common import checkpoint, hot_bound, join_split
 TILE = ["bucket", "tile_a", "tile_b"]
 
 
-def deal_tiles(rows: DataFrame, row_id: str, tile_rows: int, deal: bool = True, weight: str | None = None, tile_weight: int = 1) -> DataFrame:
+def deal_tiles(rows: DataFrame, row_id: str, tile_rows: int, deal: bool = True, weight: str | None = None, tile_weight: int = 1, owner: Column | None = None) -> DataFrame:
     """``rows`` with a long column ``bucket`` to the rows of all tiles, sorted by TILE, with the row's ``chunk``; buckets of one row are left out.
     Without ``deal`` the rows are not yet sorted, for a caller who adds columns first. With ``weight``, a column of what a
-    row takes up, chunks hold about ``tile_weight`` of it at most, or one row.
+    row takes up, chunks hold about ``tile_weight`` of it at most, or one row. With ``owner``, buckets in which it holds for
+    no row are left out.
 
     In a tile with tile_a < tile_b, pairs of one row of either chunk are to be compared; in one with tile_a = tile_b, all pairs.
     """
-    counts = checkpoint(rows.groupBy("bucket").agg(F.count("*").alias("n_bucket"), (F.sum(weight) if weight else F.lit(0)).alias("weight_bucket")).where("n_bucket > 1"))
+    counts = checkpoint(rows.groupBy("bucket").agg(F.count("*").alias("n_bucket"), (F.sum(weight) if weight else F.lit(0)).alias("weight_bucket"), F.bool_or(F.lit(True) if owner is None else owner).alias("owned")).where("n_bucket > 1 and owned").drop("owned"))
     total = counts.agg(F.coalesce(F.sum("n_bucket"), F.lit(0))).first()[0]
     chunks = F.least(F.col("n_bucket"), F.greatest(F.ceil(F.col("n_bucket") / tile_rows), F.ceil(F.col("weight_bucket") / tile_weight))).cast("int")
     dealt = (
