@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -30,19 +31,28 @@ REPEAT = r"(.)\1{3,}"
 
 
 def char_class(points: list[int]) -> str:
-    return "[" + "".join(f"\\x{{{p:x}}}" for p in points) + "]"
+    """The class of these code points, neighbours as ranges, which are far cheaper to test than single ones."""
+    ordered = sorted(set(points))
+    starts = [p for p in ordered if p - 1 not in ordered]
+    ends = [p for p in ordered if p + 1 not in ordered]
+    return "[" + "".join(f"\\x{{{a:x}}}" if a == b else f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends, strict=True)) + "]"
 
 
-def invisible_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(char_class(INVISIBLE)))
+def let(value: Column, made: Callable[[Column], Column]) -> Column:
+    """``made`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), made)[0]
 
 
 def strip_invisible(text: Column) -> Column:
-    return F.regexp_replace(text, char_class(INVISIBLE), "")
+    return F.translate(text, "".join(map(chr, INVISIBLE)), "")
+
+
+def invisible_count(text: Column) -> Column:
+    return F.length(text) - F.length(strip_invisible(text))
 
 
 def invisible_in_word(text: Column) -> Column:
-    return text.rlike(rf"[\p{{L}}\p{{N}}]{char_class(INVISIBLE)}[\p{{L}}\p{{N}}]")
+    return (invisible_count(text) > 0) & text.rlike(rf"[\p{{L}}\p{{N}}]{char_class(INVISIBLE)}[\p{{L}}\p{{N}}]")
 
 
 def repeat_runs(text: Column) -> Column:
@@ -77,7 +87,8 @@ def suspicious_entities(text: Column) -> Column:
         odd = F.when(F.lower(F.regexp_replace(e, "[&;]", "")).isin(TYPOGRAPHIC), 0).otherwise(1)
         return F.struct(F.when(numeric, state["n"]).otherwise(closed + odd).alias("n"), F.when(numeric, state["run"] + 1).otherwise(0).alias("run"), (numeric & (state["letter"] | _decoded(e).rlike("[A-Za-z]"))).alias("letter"))
 
-    return F.aggregate(found, zero, step, lambda s: s["n"] + F.when(s["letter"], s["run"]).otherwise(0))
+    counted = F.aggregate(found, zero, step, lambda s: s["n"] + F.when(s["letter"], s["run"]).otherwise(0))
+    return F.when(text.contains("&"), counted).otherwise(0)
 
 
 def _nfkc(text: pd.Series) -> pd.Series:
@@ -102,13 +113,13 @@ def collapse_repeats(text: Column) -> Column:
 
 
 def fold_space(text: Column) -> Column:
-    other = char_class([p for p in SPACES if p != 0x20])
-    return F.when(text.rlike(f"  |^ | $|{other}"), F.trim(F.regexp_replace(text, f" *{other}{char_class(SPACES)}*|  +", " "))).otherwise(text)
+    other = "".join(chr(p) for p in SPACES if p != 0x20)
+    return F.trim(F.regexp_replace(F.translate(text, other, " " * len(other)), "  +", " "))
 
 
 def for_decoding(text: Column) -> Column:
-    """Steps up to the copy that encoded payloads are looked for in."""
-    return half_width(nfkc(decode_entities(strip_invisible(text))))
+    """Steps up to the copy that encoded payloads are looked for in. NFKC also makes full-width characters half as wide (``half_width``)."""
+    return nfkc(decode_entities(strip_invisible(text)))
 
 
 def normalised(decoding: Column) -> Column:

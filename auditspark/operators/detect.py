@@ -1,8 +1,9 @@
 """Injection detection: normalisation signals, direct and structural rules, encoded payloads, misspelled keywords.
 
-Rules are evaluated inside the JVM. A text's rules that match at all are found in one projection; only those then give
-their matches with offsets, by splitting the text at marks set around each match. Python is left with decoding payloads
-and with the edit distance of words that pass the cheap tests.
+One automaton over the strings that rules need says which rules may match a text at all; only those are evaluated, inside
+the JVM, and give their matches with offsets by splitting the text at marks set around each match. Python is left with
+that screen, with decoding payloads and with the edit distance of words that pass the cheap tests. Each layer is an array
+of findings of one row, so that a text is read once and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import binascii
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditspark.config import Injection
@@ -26,109 +27,146 @@ FINDING = ["rule_id", "kind", "severity", "layer", "label", "evidence", "offset"
 
 
 def clip(text: Column, most: int = 120) -> Column:
-    flat = N.fold_space(text)
-    return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most), F.lit("…"))).otherwise(flat)
+    return N.let(N.fold_space(text), lambda flat: F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most), F.lit("…"))).otherwise(flat))
 
 
 def cut_bytes(text: Column, most: int) -> Column:
     """The first ``most`` bytes without a part of a character at the end."""
-    return F.when(F.octet_length(text) > most, F.pandas_udf(_cut, "string")(text, F.lit(most))).otherwise(text)
+    return F.pandas_udf(_cut, "string")(text, F.lit(most))
 
 
 def _cut(text: pd.Series, most: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else t.encode()[:n].decode("utf-8", "ignore") for t, n in zip(text, most, strict=True)])
+    return pd.Series([t if t is None or len(t) * 4 <= n else t.encode()[:n].decode("utf-8", "ignore") for t, n in zip(text, most, strict=True)])
 
 
 def prepared(texts: DataFrame, s: Injection) -> DataFrame:
-    """Texts with all that later layers need: bytes, truncated, body, decoding, norm and the counts of layer 0. Null text is empty."""
+    """Texts with all that later layers need: bytes, truncated, body, decoding, norm, the counts of layer 0 and the rules that may match. Null text is empty.
+
+    Texts that later layers read come out of the vectorised helpers, so that the optimiser has no expression to repeat.
+    """
     full = F.coalesce(F.col("text"), F.lit(""))
     out = texts.withColumn("bytes", F.octet_length(full)).withColumn("truncated", F.col("bytes") > s.scan_max_bytes).withColumn("body", cut_bytes(full, s.scan_max_bytes))
     body = F.col("body")
     out = out.withColumns({"n_invisible": N.invisible_count(body), "n_entities": N.suspicious_entities(N.strip_invisible(body)), "in_word": N.invisible_in_word(body), "decoding": N.for_decoding(body)})
-    return out.withColumn("norm", N.normalised(F.col("decoding"))).withColumn("blank", N.fold_space(body) == "")
+    return out.withColumn("may", may_match(N.normalised(F.col("decoding")))).withColumn("norm", F.col("may.text")).withColumn("blank", ~body.rlike(f"[^{N.char_class(N.SPACES)[1:-1]}]"))
 
 
-def signals(rows: DataFrame, s: Injection) -> DataFrame:
-    """Findings of layer 0."""
-    def made(cond: Column, rule: str, severity: Column | str, label: str, evidence: Column) -> Column:
-        return F.when(cond, F.struct(F.lit(rule).alias("rule_id"), F.lit("structural").alias("kind"), (severity if isinstance(severity, Column) else F.lit(severity)).alias("severity"), F.lit(0).alias("layer"), F.lit(label).alias("label"), evidence.alias("evidence"), F.lit(0).alias("offset")))
+# --- rules: a text's screen says which of them may match; only these are evaluated, each by its number
+
+
+def may_match(text: Column) -> Column:
+    """The text, and numbers of the direct and of the structural rules that may match."""
+    return F.pandas_udf(_may_match, "text string, direct array<int>, structural array<int>")(text)
+
+
+def _may_match(text: pd.Series) -> pd.DataFrame:
+    found = [R.may_match(t or "") for t in text]
+    n = len(R.DIRECT)
+    return pd.DataFrame({"text": text, "direct": [[k for k in f if k < n] for f in found], "structural": [[k - n for k in f if k >= n] for f in found]})
+
+
+def _at(k: Column, values: list) -> Column:
+    return F.element_at(F.lit(values), k + 1)
+
+
+def _pattern(k: Column, rules: list) -> Column:
+    return _at(k, [R.java(r[3]) for r in rules])
 
+
+def _matches(text: Column, pattern: Column) -> Column:
+    """Offset (code points) and text of each match, as an array: the text is split at marks set around each match."""
+    plain = F.when(text.contains(OPEN) | text.contains(CLOSE), F.translate(text, OPEN + CLOSE, "")).otherwise(text)
+    pieces = F.split(F.regexp_replace(plain, pattern, F.lit(f"{OPEN}$0{CLOSE}")), OPEN)
+    nothing = F.array().cast("array<struct<offset:int,match:string>>")
+    state = lambda at, found: F.struct(at.alias("at"), found.alias("found"))
+    step = lambda a, p: state(a["at"] + F.length(p) - 1, F.array_append(a["found"], F.struct(a["at"].alias("offset"), F.substring_index(p, CLOSE, 1).alias("match"))))
+    return N.let(pieces, lambda ps: F.aggregate(F.slice(ps, 2, F.size(ps)), state(F.length(ps[0]), nothing), step, lambda a: a["found"]))
+
+
+def all_matches(text: Column, may: Column, rules: list) -> Column:
+    """``rule_no``, ``offset`` and ``match`` of all matches of the rules that may match, as an array in the order of rules and offsets."""
+    one = lambda k: F.transform(_matches(text, _pattern(k, rules)), lambda m: F.struct(k.alias("rule_no"), m["offset"].alias("offset"), m["match"].alias("match")))
+    return F.flatten(F.transform(may, one))
+
+
+def _finding(rule_id, kind, severity, layer, label, evidence, offset) -> Column:
+    """A finding; plain values become literals."""
+    made = (rule_id, kind, severity, layer, label, evidence, offset)
+    return F.struct(*((x if isinstance(x, Column) else F.lit(x)).alias(n) for x, n in zip(made, FINDING, strict=True)))
+
+
+def rows_of(rows: DataFrame, found: Column) -> DataFrame:
+    """A row per finding of an array."""
+    return rows.select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.*")
+
+
+def signals_of(s: Injection) -> Column:
+    """Findings of layer 0."""
     ratio = F.col("n_invisible") / F.greatest(F.length("body"), F.lit(1))
     number = F.when(F.col("n_invisible") > 0, F.concat(F.col("n_invisible").cast("string"), F.lit(" invisible characters"))).otherwise(F.concat(F.col("n_entities").cast("string"), F.lit(" character references")))
-    found = F.array(
-        made(F.col("truncated"), "scan-truncated", "medium", "text is longer than what is scanned", F.concat(F.lit(f"{s.scan_max_bytes} of "), F.col("bytes").cast("string"), F.lit(" bytes"))),
-        made(~F.col("blank") & ((F.col("n_invisible") > 0) | (F.col("n_entities") > 0)), "norm-anomaly", F.when(ratio > s.invisible_ratio, "medium").otherwise("low"), "text hides characters", number),
-        made(~F.col("blank") & F.col("in_word"), "hidden-in-word", "high", "invisible characters within words", clip(F.substring("body", 1, 60))),
+    cut = F.concat(F.lit(f"{s.scan_max_bytes} of "), F.col("bytes").cast("string"), F.lit(" bytes"))
+    return F.array_compact(
+        F.array(
+            F.when(F.col("truncated"), _finding("scan-truncated", "structural", "medium", 0, "text is longer than what is scanned", cut, 0)),
+            F.when(
+                ~F.col("blank") & ((F.col("n_invisible") > 0) | (F.col("n_entities") > 0)),
+                _finding("norm-anomaly", "structural", F.when(ratio > s.invisible_ratio, "medium").otherwise("low"), 0, "text hides characters", number, 0),
+            ),
+            F.when(~F.col("blank") & F.col("in_word"), _finding("hidden-in-word", "structural", "high", 0, "invisible characters within words", clip(F.substring("body", 1, 60)), 0)),
+        )
     )
-    return rows.select("doc_id", F.explode(F.array_compact(found)).alias("f")).select("doc_id", "f.*")
 
 
-def rule_counts(rows: DataFrame, text: str = "norm", rules: list | None = None) -> DataFrame:
-    """A row per text and rule that matches: ``rule_no``, ``rule_id``, ``n``."""
-    rules = R.DIRECT if rules is None else rules
-    low = F.col("__low")
-    each = F.array(*(F.struct(F.lit(k).alias("rule_no"), F.lit(r[0]).alias("rule_id"), F.when(may_match(low, r[3]), F.regexp_count(F.col(text), F.lit(R.java(r[3])))).otherwise(0).alias("n")) for k, r in enumerate(rules)))
-    return rows.withColumn("__low", F.lower(text)).withColumn("hit", F.explode(F.filter(each, lambda x: x["n"] > 0))).select(*rows.columns, "hit.*")
+def signals(rows: DataFrame, s: Injection) -> DataFrame:
+    return rows_of(rows, signals_of(s))
 
 
-def may_match(low: Column, pattern: str) -> Column:
-    """Whether a lower-case text holds one of the strings that each match of the pattern needs: far cheaper than the pattern."""
-    found = F.lit(not R.needed(pattern))
-    for word in R.needed(pattern):
-        found = found | low.contains(word)
-    return found
+def rule_counts(rows: DataFrame, text: str = "norm") -> DataFrame:
+    """A row per text and direct rule that matches: ``rule_no``, ``rule_id``, ``n``."""
+    counted = lambda k, t: F.struct(k.alias("rule_no"), _at(k, [r[0] for r in R.DIRECT]).alias("rule_id"), F.regexp_count(t, _pattern(k, R.DIRECT)).alias("n"))
+    each = N.let(F.col("__may"), lambda may: F.transform(may["direct"], lambda k: counted(k, may["text"])))
+    return rows.withColumn("__may", may_match(F.col(text))).withColumn("hit", F.explode(F.filter(each, lambda x: x["n"] > 0))).select(*rows.columns, "hit.*")
 
 
-def _at(k: Column, values: list) -> Column:
-    return F.element_at(F.array(*(F.lit(v) for v in values)), k + 1)
+def direct_of(text: Column, may: Column, suffix: str = "", layer: int = 1, offset: Column | None = None) -> Column:
+    """Findings of the direct rules in a text; with a suffix, in what was decoded."""
+    ids, severities, labels = ([r[i] for r in R.DIRECT] for i in (0, 1, 2))
+    made = lambda m: _finding(_at(m["rule_no"], [i + suffix for i in ids]), "encoded" if suffix else "direct", _at(m["rule_no"], severities), layer, _at(m["rule_no"], labels), clip(m["match"]), m["offset"] if offset is None else offset)
+    return F.transform(all_matches(text, may, R.DIRECT), made)
 
 
-def matches(hits: DataFrame, text: str, rules: list) -> DataFrame:
-    """A row per match of the rules that match: ``offset`` (code points) and ``match``."""
-    out = hits.withColumn("plain", F.translate(F.col(text), OPEN + CLOSE, ""))
-    marked = None
-    for k, r in enumerate(rules):
-        one = F.regexp_replace("plain", R.java(r[3]), f"{OPEN}$0{CLOSE}")
-        marked = F.when(F.col("rule_no") == k, one) if marked is None else marked.when(F.col("rule_no") == k, one)
-    pieces = F.split(marked, OPEN)
-    out = out.select(*hits.columns, pieces.alias("pieces"), F.posexplode(F.slice(pieces, 2, F.size(pieces))).alias("n_before", "piece"))
-    before = F.aggregate(F.slice("pieces", 1, F.col("n_before") + 1), F.lit(0), lambda a, x: a + F.length(F.translate(x, CLOSE, "")))
-    return out.select(*hits.columns, before.alias("offset"), F.substring_index("piece", CLOSE, 1).alias("match"))
+def direct(rows: DataFrame, text: str = "norm", suffix: str = "", layer: int = 1) -> DataFrame:
+    return rows_of(rows.withColumn("__may", may_match(F.col(text))), direct_of(F.col(text), F.col("__may")["direct"], suffix, layer, F.col("payload_offset") if "payload_offset" in rows.columns else None))
 
 
-def direct(rows: DataFrame, text: str = "norm", suffix: str = "", layer: int = 1) -> DataFrame:
-    """Findings of the direct rules in a text; with a suffix, in what was decoded."""
-    found = matches(rule_counts(rows.where(F.col(text) != ""), text), text, R.DIRECT)
-    kind = "encoded" if suffix else "direct"
-    return found.select("doc_id", F.concat("rule_id", F.lit(suffix)).alias("rule_id"), F.lit(kind).alias("kind"), _at(F.col("rule_no"), [r[1] for r in R.DIRECT]).alias("severity"), F.lit(layer).alias("layer"), _at(F.col("rule_no"), [r[2] for r in R.DIRECT]).alias("label"), clip(F.col("match")).alias("evidence"), (F.col("payload_offset") if "payload_offset" in rows.columns else F.col("offset")).alias("offset"))
+def has_direct(text: Column, may: Column) -> Column:
+    return F.exists(may, lambda k: F.rlike(text, _pattern(k, R.DIRECT)))
 
 
+def benign_comment(comment: Column, may: Column) -> Column:
+    """Empty, or without a direct rule (of those that may match) and short or with the usual beginnings."""
+    usual = lambda body: (F.length(body) <= 80) | body.rlike(r"(?i)^(?:\[if|\[endif\]|!|build|built|generated|version|copyright|\(c\))")
+    return N.let(N.fold_space(F.regexp_replace(comment, "^<!--|-->$", "")), lambda body: (body == "") | (usual(body) & ~has_direct(body, may)))
 
 
-def has_direct(text: Column) -> Column:
-    out, low = F.lit(False), F.lower(text)
-    for r in R.DIRECT:
-        out = out | (may_match(low, r[3]) & text.rlike(R.java(r[3])))
-    return out
+def structural_of(norm: Column, may: Column) -> Column:
+    """Findings of the structural rules; high if a direct rule matches within 400 characters."""
+    ids, labels, reach = ([r[i] for r in R.STRUCTURAL] for i in (0, 2, 4))
+    rules = may["direct"]  # what may match in a part of the text may match in the text
+    found = F.filter(all_matches(norm, may["structural"], R.STRUCTURAL), lambda m: (_at(m["rule_no"], ids) != "hidden-html-comment") | ~benign_comment(m["match"], rules))
 
+    def made(m: Column) -> Column:
+        start = F.greatest(m["offset"] - NEAR, F.lit(0))
+        near = has_direct(F.substring(norm, start + 1, m["offset"] + NEAR - start), rules)
+        label = _at(m["rule_no"], labels)
+        evidence = clip(F.substring(norm, m["offset"] + 1, F.length(m["match"]) + _at(m["rule_no"], reach)))
+        return N.let(near, lambda x: _finding(_at(m["rule_no"], ids), "structural", F.when(x, "high").otherwise("medium"), 2, F.when(x, F.concat(label, F.lit(" (with instructions)"))).otherwise(label), evidence, m["offset"]))
 
-def benign_comment(comment: Column) -> Column:
-    """Empty, or without a direct rule and short or with the usual beginnings."""
-    body = N.fold_space(F.regexp_replace(comment, "^<!--|-->$", ""))
-    usual = (F.length(body) <= 80) | body.rlike(r"(?i)^(?:\[if|\[endif\]|!|build|built|generated|version|copyright|\(c\))")
-    return (body == "") | (~has_direct(body) & usual)
+    return F.transform(found, made)
 
 
 def structural(rows: DataFrame) -> DataFrame:
-    """Findings of the structural rules; high if a direct rule matches within 400 characters."""
-    found = matches(rule_counts(rows.where(F.col("norm") != ""), "norm", R.STRUCTURAL), "norm", R.STRUCTURAL)
-    found = found.where((F.col("rule_id") != "hidden-html-comment") | ~benign_comment(F.col("match")))
-    start = F.greatest(F.col("offset") - NEAR, F.lit(0))
-    around = F.substring(F.col("norm"), start + 1, F.col("offset") + NEAR - start)
-    found = found.withColumn("near", has_direct(around))
-    length = F.length("match") + _at(F.col("rule_no"), [r[4] for r in R.STRUCTURAL])
-    label = _at(F.col("rule_no"), [r[2] for r in R.STRUCTURAL])
-    return found.select("doc_id", "rule_id", F.lit("structural").alias("kind"), F.when(F.col("near"), "high").otherwise("medium").alias("severity"), F.lit(2).alias("layer"), F.when(F.col("near"), F.concat(label, F.lit(" (with instructions)"))).otherwise(label).alias("label"), clip(F.substring(F.col("norm"), F.col("offset") + 1, length)).alias("evidence"), "offset")
+    return rows_of(rows.withColumn("__may", may_match(F.col("norm"))), structural_of(F.col("norm"), F.col("__may")))
 
 
 # --- encoded payloads: small helpers of one Arrow function
@@ -189,16 +227,30 @@ def decode_candidates(text: str, most: int, most_bytes: int) -> tuple[list[dict]
     return out, truncated
 
 
-def payloads(rows: DataFrame, s: Injection) -> DataFrame:
-    """A row per payload: ``payload_offset`` and ``payload``, for the texts that hold a run long enough."""
+#: Texts with a run long enough to be decoded; runs are only tried from where they begin.
+PAYLOAD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{40}|(?<![A-Za-z2-7])(?:[A-Za-z2-7]{8,}={0,6}\s?){5}|(?:%[0-9a-fA-F]{2}){6}|(?:[\x20-\x7e]\x00){8}|(?:\x00[\x20-\x7e]){8}"
+
+
+def payloads_of(decoding: Column, s: Injection) -> Column:
+    """Offset, text and direct rules that may match of each payload, as an array; only texts with a run long enough are decoded."""
     most, most_bytes = s.decode_max_candidates, s.decode_max_bytes
 
-    @F.pandas_udf("array<struct<offset:int,text:string>>")
+    @F.pandas_udf("array<struct<offset:int,text:string,may:array<int>>>")
     def decoded(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: decode_candidates(t or "", most, most_bytes)[0])
+        n = len(R.DIRECT)
+        return text.map(lambda t: [] if t is None else [{**p, "may": [k for k in R.may_match(p["text"]) if k < n]} for p in decode_candidates(t, most, most_bytes)[0]])
+
+    return decoded(F.when(decoding.rlike(PAYLOAD), decoding))
+
+
+def payloads(rows: DataFrame, s: Injection) -> DataFrame:
+    """A row per payload: ``payload_offset`` and ``payload``."""
+    return rows.select("doc_id", F.explode(payloads_of(F.col("decoding"), s)).alias("p")).select("doc_id", F.col("p.offset").alias("payload_offset"), F.col("p.text").alias("payload"))
+
 
-    maybe = rows.where(F.col("decoding").rlike(r"[A-Za-z0-9+/_=-]{40,}|(?:[A-Za-z2-7]{8,}={0,6}\s?){5}|(?:%[0-9a-fA-F]{2}){6}|(?:[\x20-\x7e]\x00){8}|(?:\x00[\x20-\x7e]){8}"))
-    return maybe.select("doc_id", F.explode(decoded("decoding")).alias("p")).select("doc_id", F.col("p.offset").alias("payload_offset"), F.col("p.text").alias("payload"))
+def encoded_of(found: Column) -> Column:
+    """Findings of the direct rules in payloads."""
+    return F.flatten(F.transform(found, lambda p: direct_of(p["text"], p["may"], "-encoded", 3, p["offset"])))
 
 
 def decode_partially(text: str) -> str:
@@ -207,19 +259,35 @@ def decode_partially(text: str) -> str:
     return re.sub("(?:\x00[\x20-\x7e]){4,}", lambda m: re.sub(r"\s+", " ", m[0][1::2]), out)
 
 
-def _partially(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else decode_partially(t))
+def _partially(text: pd.Series) -> pd.DataFrame:
+    """Texts with parts decoded in place, and direct rules that may match in either form; null if nothing changes."""
+    n = len(R.DIRECT)
+    half = [None if t is None or (h := decode_partially(t)) == t else h for t in text]
+    return pd.DataFrame({"half": half, "may": [None if h is None else [k for k in R.may_match(f"{t}\n{h}") if k < n] for t, h in zip(text, half, strict=True)]})
+
 
+def halves(norm: Column) -> Column:
+    return F.pandas_udf(_partially, "half string, may array<int>")(F.when(norm.rlike(r"(?:%[0-9a-fA-F]{2}){6}|(?:[\x20-\x7e]\x00){4}|(?:\x00[\x20-\x7e]){4}"), norm))
 
-def partial(rows: DataFrame, known: DataFrame) -> DataFrame:
+
+def partial_of(norm: Column, halved: Column, known: Column) -> Column:
     """Findings in texts with parts decoded in place: one for each id that isn't known; matches in the first half, which is as it was, have the id of encoded ones."""
-    some = rows.where(F.col("norm").rlike(r"(?:%[0-9a-fA-F]{2}){6}|(?:[\x20-\x7e]\x00){4}|(?:\x00[\x20-\x7e]){4}")).withColumn("half", F.pandas_udf(_partially, "string")("norm")).where("half <> norm")
-    both = some.select("doc_id", F.length("norm").alias("cut"), F.concat("norm", F.lit("\n"), "half").alias("both"))
-    found = matches(rule_counts(both, "both"), "both", R.DIRECT)
-    found = found.withColumn("rule_id", F.when(F.col("offset") < F.col("cut"), F.concat("rule_id", F.lit("-encoded"))).otherwise(F.col("rule_id")))
-    found = found.join(known.select("doc_id", "rule_id").distinct(), ["doc_id", "rule_id"], "left_anti")
-    first = found.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "rule_id").orderBy("rule_no", "offset"))).where("nth = 1")
-    return first.select("doc_id", "rule_id", F.lit("encoded").alias("kind"), _at(F.col("rule_no"), [r[1] for r in R.DIRECT]).alias("severity"), F.lit(3).alias("layer"), _at(F.col("rule_no"), [r[2] for r in R.DIRECT]).alias("label"), clip(F.col("match")).alias("evidence"), "offset")
+    ids, severities, labels = ([r[i] for r in R.DIRECT] for i in (0, 1, 2))
+    matches = all_matches(F.concat(norm, F.lit("\n"), halved["half"]), halved["may"], R.DIRECT)
+    named = lambda m: F.concat(_at(m["rule_no"], ids), F.when(m["offset"] < F.length(norm), "-encoded").otherwise(""))
+    made = lambda m: _finding(named(m), "encoded", _at(m["rule_no"], severities), 3, _at(m["rule_no"], labels), clip(m["match"]), m["offset"])
+
+    def first(found: Column) -> Column:
+        names = F.transform(found, lambda f: f["rule_id"])
+        return F.filter(found, lambda f, i: ~F.array_contains(known, f["rule_id"]) & (F.array_position(names, f["rule_id"]) == i + 1))
+
+    return F.when(halved["half"].isNotNull(), N.let(F.transform(matches, made), first)).otherwise(F.array())
+
+
+def partial(rows: DataFrame, known: list[str] | Column) -> DataFrame:
+    """Findings in partly decoded texts but those whose ids are known."""
+    known = known if isinstance(known, Column) else F.lit(known).cast("array<string>")
+    return rows_of(rows.withColumn("__half", halves(F.col("norm"))), partial_of(F.col("norm"), F.col("__half"), known))
 
 
 # --- misspelled keywords
@@ -247,29 +315,36 @@ def osa_distance(a, b) -> Column:
     return F.pandas_udf(_osa, "int")(a, b)
 
 
+def fuzzy_of(text: Column, threshold: int = 1) -> Column:
+    """``word`` and ``keyword``: each distinct word of four letters or more that is a keyword but for ``threshold`` edits. Words meet keywords by their first and last letter and by length."""
+    keys = R.KEYWORDS
+    shape = "|".join(sorted({f"{k[0]}[a-z]{{{max(len(k) - threshold, 4) - 2},{len(k) + threshold - 2}}}{k[-1]}" for k in keys}))
+    fits = lambda w, k: w != k and w[0] == k[0] and w[-1] == k[-1] and abs(len(w) - len(k)) <= threshold and osa(w, k) <= threshold
+
+    @F.pandas_udf("array<struct<word:string,keyword:string>>")
+    def close(found: pd.Series) -> pd.Series:
+        return found.map(lambda ws: [{"word": w, "keyword": k} for w in ws for k in keys if fits(w, k)])
+
+    return close(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"(?<![a-z])(?:{shape})(?![a-z])"), F.lit(0))))
+
+
 def fuzzy(rows: DataFrame, threshold: int = 1, text: str = "norm") -> DataFrame:
-    """The first place of each word that is a keyword but for ``threshold`` edits; words meet keywords by their first and last letter."""
-    words = rows.select("doc_id", F.posexplode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z]{4,}"), F.lit(0))).alias("pos", "word"))
-    words = words.groupBy("doc_id", "word").agg(F.min("pos").alias("pos"))
-    keys = rows.sparkSession.createDataFrame([(k, k[0] + k[-1]) for k in R.KEYWORDS], "keyword string, ends string")
-    ends = F.concat(F.substring("word", 1, 1), F.substring("word", -1, 1))
-    close = words.withColumn("ends", ends).join(F.broadcast(keys), "ends").where((F.col("word") != F.col("keyword")) & (F.abs(F.length("word") - F.length("keyword")) <= threshold))
-    return close.where(osa_distance("word", "keyword") <= threshold).select("doc_id", "pos", "word", "keyword")
+    return rows.select("doc_id", F.explode(fuzzy_of(F.col(text), threshold)).alias("f")).select("doc_id", "f.*")
 
 
 def detect(texts: DataFrame, s: Injection | None = None) -> DataFrame:
-    """All findings: doc_id and the columns of FINDING."""
+    """All findings: doc_id and the columns of FINDING. Texts are read once, and no step needs a shuffle or a cache."""
     s = s or Injection()
-    rows = prepared(texts, s).persist()  # five layers read it
-    live = rows.where(~F.col("blank"))
-    base = direct(live)
-    encoded = direct(payloads(live, s), "payload", "-encoded", 3)
-    found = signals(rows, s).unionByName(base).unionByName(structural(live)).unionByName(encoded)
-    found = found.unionByName(partial(live, base.select("doc_id", "rule_id").unionByName(encoded.select("doc_id", "rule_id"))))
+    norm = F.col("norm")
+    live = lambda found: F.when(~F.col("blank"), found).otherwise(F.array())
+    rows = prepared(texts, s).withColumns({"payloads": payloads_of(F.when(~F.col("blank"), F.col("decoding")), s), "halved": halves(F.when(~F.col("blank"), norm))})
+    rows = rows.withColumns({"base": live(direct_of(norm, F.col("may")["direct"])), "encoded": live(encoded_of(F.col("payloads")))})
+    parts = [signals_of(s), F.col("base"), live(structural_of(norm, F.col("may"))), F.col("encoded")]
+    parts.append(live(partial_of(norm, F.col("halved"), F.transform(F.concat("base", "encoded"), lambda f: f["rule_id"]))))
     if s.fuzzy:
-        f = fuzzy(live, s.fuzzy_threshold)
-        found = found.unionByName(f.select("doc_id", F.lit("typo-glossolalia").alias("rule_id"), F.lit("fuzzy").alias("kind"), F.lit("medium").alias("severity"), F.lit(4).alias("layer"), F.concat("word", F.lit(" ~ "), "keyword").alias("label"), F.col("word").alias("evidence"), F.lit(-1).alias("offset")))
-    return found
+        rows = rows.withColumn("typos", fuzzy_of(F.when(~F.col("blank"), norm).otherwise(""), s.fuzzy_threshold))
+        parts.append(F.transform("typos", lambda f: _finding("typo-glossolalia", "fuzzy", "medium", 4, F.concat(f["word"], F.lit(" ~ "), f["keyword"]), f["word"], -1)))
+    return rows_of(rows, F.concat(*parts))
 
 
 def reports(texts: DataFrame, findings: DataFrame) -> DataFrame:

@@ -40,9 +40,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of a file too small to be split, dealt to all cores; larger inputs stay as they are read."""
+    """Rows of a file too small to be split well, dealt to all cores; larger inputs stay as they are read.
+
+    Pieces of a file without the middle of a row group are empty, so few pieces tell nothing of how many tasks have rows.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores // 2 else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
 
 
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
