@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from auditspark.config import Settings
+from auditspark.functions.normalise import let
 from auditspark.functions.urls import public_suffix
 
 # Suffixes of either kind of risk.
@@ -19,8 +20,7 @@ def level(score: Column) -> Column:
 
 def tld_risk(domain: Column) -> Column:
     """-1, 0 or 1 by the exact public suffix."""
-    suffix = F.coalesce(public_suffix(domain), F.lit(""))
-    return F.when(suffix.isin(LOW_RISK), -1).when(suffix.isin(HIGH_RISK), 1).otherwise(0)
+    return let(F.coalesce(public_suffix(domain), F.lit("")), lambda suffix: F.when(suffix.isin(LOW_RISK), -1).when(suffix.isin(HIGH_RISK), 1).otherwise(0))
 
 
 def is_idn(domain: Column) -> Column:
@@ -46,9 +46,9 @@ def age_part(created: Column, status: Column, s: Settings) -> tuple[Column, Colu
     return points, reason
 
 
-def parts(domain: Column, flags: dict[str, Column], tld_blocked: Column, created: Column, status: Column, s: Settings) -> list[tuple[Column, Column]]:
+def parts(domain: Column, risk: Column, flags: dict[str, Column], tld_blocked: Column, created: Column, status: Column, s: Settings) -> list[tuple[Column, Column]]:
     """Points and reason code of each part of the normal score, in the order of the report; no reason if a part says nothing."""
-    w, risk = s.scoring, tld_risk(domain)
+    w = s.scoring
     when = lambda flag, points, code: (F.when(flag, points).otherwise(0), F.when(flag, F.lit(code)))
     long = length_bonus(domain, w["length_base"], w["length_extra_chars"])
     url = [("is_ip", "url_ip"), ("has_userinfo", "url_userinfo"), ("is_shortener", "url_shortener"), ("has_tracking", "url_tracking"), ("deep_path", "url_deep_path"), ("long_query", "url_long_query"), ("non_standard_port", "url_port")]
@@ -63,13 +63,17 @@ def parts(domain: Column, flags: dict[str, Column], tld_blocked: Column, created
     ]
 
 
-def normal(domain: Column, flags: dict[str, Column], tld_blocked: Column, created: Column, status: Column, s: Settings) -> tuple[Column, Column]:
-    """The score before clamping, and the reasons."""
-    each = parts(domain, flags, tld_blocked, created, status, s)
-    total = each[0][0]
-    for points, _ in each[1:]:
-        total = total + points
-    return total.cast("double"), F.array_compact(F.array(*(reason for _, reason in each)))
+def normal(domain: Column, flags: dict[str, Column], tld_blocked: Column, created: Column, status: Column, s: Settings) -> Column:
+    """``total``, the score before clamping, and ``reasons``."""
+
+    def made(risk: Column) -> Column:
+        each = parts(domain, risk, flags, tld_blocked, created, status, s)
+        total = each[0][0]
+        for points, _ in each[1:]:
+            total = total + points
+        return F.struct(total.cast("double").alias("total"), F.array_compact(F.array(*(reason for _, reason in each))).alias("reasons"))
+
+    return let(tld_risk(domain), made)
 
 
 def simple(created: Column, s: Settings) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditspark.config import Settings
 from auditspark.functions import scoring
-from auditspark.functions.urls import FLAGS, domain, extract_urls, signals
+from auditspark.functions.urls import FLAGS, details, extract_urls
 from auditspark.operators import lists
 
 #: Characters of a text that are audited, and domains of a text whose age is looked up: both limits are part of the audit.
@@ -16,8 +16,8 @@ AUDIT_CHARS, AGE_LOOKUPS = 65_536, 100
 
 def url_details(texts: DataFrame, rules: list[str] | None = None) -> DataFrame:
     """A row per distinct URL of a text with a domain: doc_id, pos (from 0), url, domain and its signals."""
-    urls = texts.select("doc_id", F.posexplode(extract_urls(F.substring("text", 1, AUDIT_CHARS))).alias("pos", "url"))
-    return urls.select("doc_id", "pos", "url", domain(F.col("url"), rules).alias("domain"), *(c.alias(n) for n, c in signals(F.col("url"), rules).items())).where("domain is not null")
+    found = details(extract_urls(F.substring("text", 1, AUDIT_CHARS)), rules)
+    return texts.select("doc_id", F.explode(found).alias("d")).select("doc_id", "d.*")
 
 
 def domain_signals(details: DataFrame) -> DataFrame:
@@ -40,7 +40,9 @@ def classify(domains: DataFrame, block: DataFrame, allow: DataFrame, settings: S
     """Verdicts: blocklist first, then whitelist, then the mode's own score."""
     s, mode = settings, settings.mode
     judged = lists.allowed(lists.blocked(domains, block), allow)
-    total, reasons = scoring.normal(F.col("domain"), {f: F.col(f) for f in FLAGS}, F.col("tld_blocked"), F.col("creation_date"), F.col("age_status"), s)
+    score = scoring.normal(F.col("domain"), {f: F.col(f) for f in FLAGS}, F.col("tld_blocked"), F.col("creation_date"), F.col("age_status"), s)
+    judged = judged.withColumn("__score", score)
+    total, reasons = F.col("__score.total"), F.col("__score.reasons")
     by_list = F.col("exact") & F.lit(s.blocklist_enabled[mode])
     by_white = F.col("whitelisted") & F.lit(mode == "whitelist" or mode == "normal" and s.whitelist_normal)
     if mode == "normal":
@@ -102,10 +104,23 @@ def render_reports(verdicts: DataFrame, enforcement: str | None = None) -> DataF
 
 def payload(verdicts: DataFrame, block: DataFrame, allow: DataFrame) -> DataFrame:
     """Verdicts with whether either list has exactly the domain."""
-    names = lambda entries, name: lists.small(lists.sets(entries)[0].select("domain", F.lit(True).alias(name)))
+    names = lambda entries, name: lists.sets(entries)[0].select("domain", F.lit(True).alias(name))
     out = verdicts.join(names(allow, "in_whitelist"), "domain", "left").join(names(block, "in_blocklist"), "domain", "left")
     return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("in_whitelist", "in_blocklist")})
 
 
 def without_ignored(verdicts: DataFrame, ignored: DataFrame) -> DataFrame:
-    return verdicts.join(lists.small(ignored.select("domain").distinct()), "domain", "left_anti")
+    return verdicts.join(ignored.select("domain").distinct(), "domain", "left_anti")
+
+
+def citation_audit(texts: DataFrame, block: DataFrame, allow: DataFrame, settings: Settings | None = None, ages: DataFrame | None = None) -> DataFrame:
+    """A row per text: ``summary`` (empty without domains), ``report``, ``domain_count`` and ``verdicts``, an array by rank."""
+    columns = ["domain", "score", "level", "reasons", "source_kind", "action", "creation_date"]
+    rendered = render_verdicts(audit(texts, block, allow, settings, ages))
+    rows = rendered.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("rank", "rendered", *columns))).alias("all"))
+    rows = texts.select("doc_id").join(rows, "doc_id", "left").withColumn("all", F.coalesce("all", F.array()))
+    n, bad = F.size("all"), F.size(F.filter("all", lambda v: v["level"] != "trusted"))
+    end = F.when(bad == 0, F.lit(" sources, all trusted")).otherwise(F.concat(F.lit(" sources, "), bad.cast("string"), F.lit(" suspicious")))
+    report = F.concat(F.lit("Sources by threat ("), n.cast("string"), F.lit(" domains)\n"), F.array_join(F.transform("all", lambda v: v["rendered"]), "\n\n"))
+    verdicts = F.transform("all", lambda v: F.struct(*(v[c].alias(c) for c in columns)))
+    return rows.select("doc_id", F.when(n > 0, F.concat(n.cast("string"), end)).otherwise("").alias("summary"), report.alias("report"), n.alias("domain_count"), verdicts.alias("verdicts"))

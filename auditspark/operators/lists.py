@@ -1,4 +1,8 @@
-"""Allow- and blocklists: entries are rows ``(pos, domain, reason, date)``; a later position was added later."""
+"""Allow- and blocklists: entries are rows ``(pos, domain, reason, date)``; a later position was added later.
+
+Lists are joined without hints: Spark broadcasts them only while their size is below its own threshold, and else shuffles
+and splits skewed keys.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +11,6 @@ from pyspark.sql import functions as F
 
 from auditspark.functions.urls import public_suffix
 
-#: Rows of a list that a plan broadcasts; longer lists are joined by a shuffle.
-BROADCAST_ROWS = 100_000
-
-
 def valid_entry(entry: Column) -> Column:
     """A domain with a dot, or a dot and a letter at least; printable ASCII without blanks, '@', '?' and '#'."""
     e = F.lower(F.trim(entry))
@@ -50,11 +50,6 @@ def sets(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return names.where(~F.col("domain").startswith(".")), names.where(F.col("domain").startswith("."))
 
 
-def small(side: DataFrame) -> DataFrame:
-    """To be broadcast if it has no more than ``BROADCAST_ROWS`` rows."""
-    return F.broadcast(side) if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else side
-
-
 def _suffixes(domain: Column) -> Column:
     """All ends of a domain at its dots, itself first."""
     labels = F.split(domain, r"\.")
@@ -69,7 +64,7 @@ def blocked(domains: DataFrame, entries: DataFrame, domain_col: str = "domain")
     exact, dotted = sets(entries)
     names = domains.select(domain_col).distinct().where(F.col(domain_col).isNotNull())
     ends = names.select(domain_col, F.explode(_suffixes(F.col(domain_col))).alias("end"), public_suffix(F.col(domain_col)).alias("suffix"))
-    rules = small(dotted.select(F.substring("domain", 2, 1_000).alias("end"), F.lit(True).alias("dot")).unionByName(exact.select(F.col("domain").alias("end"), F.lit(False).alias("dot"))))
+    rules = dotted.select(F.substring("domain", 2, 1_000).alias("end"), F.lit(True).alias("dot")).unionByName(exact.select(F.col("domain").alias("end"), F.lit(False).alias("dot")))
     hits = ends.join(rules, "end")
     of_suffix = F.coalesce((F.col("suffix") == F.col("end")) | F.col("suffix").endswith(F.concat(F.lit("."), F.col("end"))), F.lit(False))
     tld = F.col("dot") & of_suffix
@@ -81,7 +76,7 @@ def blocked(domains: DataFrame, entries: DataFrame, domain_col: str = "domain")
 
 def allowed(domains: DataFrame, entries: DataFrame, domain_col: str = "domain") -> DataFrame:
     """``domains`` with ``whitelisted``: whether the list has exactly this domain."""
-    names = small(sets(entries)[0].select(F.col("domain").alias(domain_col), F.lit(True).alias("whitelisted")))
+    names = sets(entries)[0].select(F.col("domain").alias(domain_col), F.lit(True).alias("whitelisted"))
     return domains.join(names, domain_col, "left").select(*domains.columns, F.coalesce("whitelisted", F.lit(False)).alias("whitelisted"))
 
 

@@ -140,6 +140,10 @@ ORACLES: dict[str, str] = {
     "render_report": chain("SELECT doc_id, 'Sources by threat (' || CAST(count(*) AS VARCHAR) || ' domains)' || chr(10) || string_agg(rendered, chr(10) || chr(10) ORDER BY rank) || chr(10) || 'Policy: deny' AS report FROM ren GROUP BY doc_id"),
     "summary_line": chain("SELECT doc_id, CASE WHEN count(*) FILTER (level <> 'trusted') = 0 THEN CAST(count(*) AS VARCHAR) || ' sources, all trusted' ELSE CAST(count(*) AS VARCHAR) || ' sources, ' || CAST(count(*) FILTER (level <> 'trusted') AS VARCHAR) || ' suspicious' END AS summary FROM lev GROUP BY doc_id"),
     "non_trusted_count": chain("SELECT doc_id, count(*) FILTER (level <> 'trusted') AS n_bad FROM lev GROUP BY doc_id"),
+    "citation_audit": chain("""SELECT c.doc_id, CASE WHEN count(r.domain) = 0 THEN '' WHEN count(*) FILTER (r.level <> 'trusted') = 0 THEN CAST(count(r.domain) AS VARCHAR) || ' sources, all trusted'
+        ELSE CAST(count(r.domain) AS VARCHAR) || ' sources, ' || CAST(count(*) FILTER (r.level <> 'trusted') AS VARCHAR) || ' suspicious' END AS summary,
+        'Sources by threat (' || CAST(count(r.domain) AS VARCHAR) || ' domains)' || chr(10) || coalesce(string_agg(r.rendered, chr(10) || chr(10) ORDER BY r.rank), '') AS report, count(r.domain) AS domain_count,
+        coalesce(string_agg(r.domain || ' ' || CAST(r.score AS VARCHAR) || ' ' || r.action, '|' ORDER BY r.rank), '') AS verdicts FROM cit c LEFT JOIN ren r ON c.doc_id = r.doc_id GROUP BY c.doc_id"""),
     "ignore_filter": chain("SELECT doc_id, domain FROM lev WHERE domain NOT IN ('bit.ly', 'site.com')"),
     "read_list": f"SELECT CAST(min(k) AS BIGINT) AS pos, lower(trim(e)) AS domain FROM (VALUES {_rows(V.BLOCK)}) t(k, e) WHERE trim(e) <> '' GROUP BY lower(trim(e))",
     "list_sets": f"SELECT DISTINCT lower(trim(e)) AS domain, CASE WHEN trim(e) LIKE '.%' THEN 'dotted' ELSE 'exact' END AS kind FROM (VALUES {_rows(V.BLOCK)}) t(k, e) WHERE trim(e) <> ''",

@@ -200,6 +200,12 @@ def non_trusted_count(spark, sf):
     return audit.summaries(_verdicts(spark, sf)).select("doc_id", "n_bad")
 
 
+@query
+def citation_audit(spark, sf):
+    out = audit.citation_audit(V.citations(spark, sf), *_lists(spark))
+    return out.select("doc_id", "summary", "report", F.col("domain_count").cast("long").alias("domain_count"), F.array_join(F.transform("verdicts", lambda v: F.concat_ws(" ", v["domain"], v["score"].cast("string"), v["action"])), "|").alias("verdicts"))
+
+
 @query
 def ignore_filter(spark, sf):
     ignored = spark.createDataFrame([("bit.ly",), ("site.com",)], "domain string")

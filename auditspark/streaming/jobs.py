@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from auditspark.config import Injection, Settings
+from auditspark.functions.urls import domain, extract_urls
 from auditspark.operators import audit, detect
 
 CACHE = "domain string, kind string, seen_at timestamp"
@@ -24,9 +25,9 @@ def _each_batch(texts: DataFrame, judge: Callable[[DataFrame], DataFrame], path:
     return texts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def audit_stream(texts: DataFrame, block: DataFrame, allow: DataFrame, path: str, checkpoint: str, settings: Settings | None = None):
-    """Verdicts on arriving texts; lists are read anew for each batch, so changes to them take effect."""
-    return _each_batch(texts, lambda rows: audit.audit(rows, block, allow, settings), path, checkpoint)
+def audit_stream(texts: DataFrame, lists: Callable[[], tuple[DataFrame, DataFrame]], path: str, checkpoint: str, settings: Callable[[], Settings] = Settings):
+    """Verdicts on arriving texts. ``lists`` gives the blocklist and the whitelist, and ``settings`` the settings; both are asked anew for each batch, so changes take effect while the stream runs."""
+    return _each_batch(texts, lambda rows: audit.audit(rows, *lists(), settings()), path, checkpoint)
 
 
 def detect_stream(texts: DataFrame, path: str, checkpoint: str, settings: Injection | None = None):
@@ -37,7 +38,7 @@ def detect_stream(texts: DataFrame, path: str, checkpoint: str, settings: Inject
 def first_seen(texts: DataFrame, ts: str = "ts", late: str = "1 hour") -> DataFrame:
     """Domains of arriving texts, each once within the watermark."""
     urls = texts.select("doc_id", F.col(ts).cast("timestamp").alias("ts"), "text").withWatermark("ts", late)
-    found = urls.select("ts", F.explode(audit.extract_urls(F.col("text"))).alias("url")).select("ts", audit.domain(F.col("url")).alias("domain")).where("domain is not null")
+    found = urls.select("ts", F.explode(extract_urls(F.col("text"))).alias("url")).select("ts", domain(F.col("url")).alias("domain")).where("domain is not null")
     return found.dropDuplicatesWithinWatermark(["domain"])
 
 

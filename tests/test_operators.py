@@ -261,6 +261,9 @@ def test_store(spark, tmp_path):
     assert {r.key: r.corrupt for r in values.collect()} == {"blocklist": False, "broken": True}
     assert [(r.pos, r.domain) for r in store.read_entries(values, "blocklist").orderBy("pos").collect()] == [(0, "a.com"), (2, "b.com")]
     assert column(spark, ["a b/c"], store.safe_key) == ["a_b_c"]
+    for key, value in (("blocklist", '[{"domain": "c.com"}]'), ("broken", "{}"), ("new key", "1"), ("new key", "2"), ("gone", "3"), ("gone", None)):
+        store.write_value(spark, str(tmp_path), key, value)
+    assert {r.key: (r.value, r.corrupt) for r in store.read_values(spark, str(tmp_path)).collect()} == {"blocklist": ('[{"domain": "c.com"}]', False), "broken": ("{}", False), "new_key": ("2", False)}
 
 
 # --- flat settings, guarded responses, tools' nodes

@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from auditspark.plans import views as V
+from auditspark.sources import store
 from auditspark.streaming import jobs
 
 
@@ -17,11 +17,23 @@ def stream(spark, path, rows, schema):
     return spark.readStream.schema(schema).parquet(str(path))
 
 
-def test_audits_of_arriving_texts(spark, tmp_path):
-    texts = stream(spark, tmp_path / "in", [(1, "https://evil1.xyz"), (2, "https://a.com")], "doc_id long, text string")
-    q = jobs.audit_stream(texts, V.entries(spark, V.BLOCK), V.entries(spark, V.ALLOW), str(tmp_path / "out"), str(tmp_path / "cp"))
-    q.awaitTermination(120)
-    assert {r.doc_id: r.score for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1: 100, 2: 20}
+def test_audits_of_arriving_texts_see_changed_lists(spark, tmp_path):
+    schema, source = "doc_id long, text string", tmp_path / "in"
+    lists = str(tmp_path / "store")
+    store.write_value(spark, lists, "blocklist", '[{"domain": "evil1.xyz"}]')
+
+    def both():
+        values = store.read_values(spark, lists)
+        return store.read_entries(values, "blocklist"), store.read_entries(values, "whitelist")
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+        jobs.audit_stream(spark.readStream.schema(schema).parquet(str(source)), both, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+        return {r.doc_id: r.score for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+
+    assert arrive([(1, "https://evil1.xyz"), (2, "https://a.com")]) == {1: 100, 2: 20}
+    store.write_value(spark, lists, "blocklist", '[{"domain": "a.com"}]')
+    assert arrive([(3, "https://a.com")]) == {1: 100, 2: 20, 3: 100}
 
 
 def test_findings_in_arriving_texts(spark, tmp_path):
