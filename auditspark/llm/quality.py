@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import checkpoint, shared_path
+from auditspark.llm.common import checkpoint, shared_path, slices
 
 #: Characters of an n-gram.
 ORDER = 5
@@ -150,10 +150,10 @@ def count_ngrams(texts: DataFrame, name: str, text_col: str = "text") -> DataFra
             grams, n = held[k].take()
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k, dtype=np.int32)), pa.array(grams), pa.array(n)], names=["fold", "gram", name])
 
-        for batch in batches:
-            folds = batch.column(0).to_numpy()
+        for part in (p for batch in batches for p in slices(batch)):
+            folds = part.column(0).to_numpy()
             for k in (0, 1):
-                for piece in _pieces([x.as_py() for x in batch.column(1).filter(pa.array(folds == k))]):
+                for piece in _pieces(part.column(1).filter(pa.array(folds == k)).to_pylist()):
                     held[k].add(*piece)
                     if held[k].size > FLUSH:
                         yield given(k)
@@ -274,8 +274,8 @@ def losses(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     shared = spark.sparkContext.broadcast(Head(table.where(F.col("level") >= least).select("fold", "h", "log_p").toArrow()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            side, texts = batch.column(batch.num_columns - 2).to_numpy(), batch.column(batch.num_columns - 1).to_pylist()
+        for batch in (p for batch in batches for p in slices(batch)):
+            side, texts = batch.column(n_out - 1).to_numpy(), [x or "" for x in batch.column(text_at).to_pylist()]
             loss, chars = np.zeros(len(texts)), np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
             left, times = [None] * len(texts), [None] * len(texts)
             for k in (0, 1):
@@ -285,10 +285,12 @@ def losses(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
                     for i, x, y in zip(own.tolist(), a, b, strict=True):
                         left[i], times[i] = x, y
             given = [pa.array(chars), pa.array(loss), pa.array(left, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), *given], names=[*batch.schema.names[:-1], "__chars", "__sum", "__left", "__times"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n_out)), *given], names=[*batch.schema.names[:n_out], "__chars", "__sum", "__left", "__times"])
 
-    base = df.select(*keep, fold(F.col(text_col)).alias("__fold"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "__text"]
+    # the text goes to tasks once, whether or not it is among the columns that come back
+    base = df.select(*keep, fold(F.col(text_col)).alias("__fold"), *([] if text_col in keep else [F.col(text_col).alias("__text")]))
+    n_out, text_at = len(keep) + 1, keep.index(text_col) if text_col in keep else len(keep) + 1
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:n_out]]
     path = shared_path(spark, "losses")
     base.mapInArrow(run, ", ".join([*kinds, "__chars long", "__sum double", "__left array<long>", "__times array<long>"])).withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
     rows = spark.read.parquet(path)
