@@ -10,7 +10,7 @@ it can. Tiles come from buckets that lose no pair:
   ones last; two sets as similar as wanted have a shingle in common among the first of either (prefix filter), so
   documents share a bucket for each of their first shingles. Pairs of a bucket are dropped only by bounds that no wanted
   pair exceeds: the ratio of sizes, and the bits in which parities of the sets differ, which are no more than the
-  shingles in which the sets do. What stays is verified on the whole sets of shingles.
+  shingles in which the sets do (512 bits, and for larger sets one to two bits a shingle). What stays is verified on the whole sets of shingles.
 
 A tile gives a spanning forest of its links, never all pairs of a group; equal fingerprints (or texts) are one class
 before any comparison, so a group of copies costs one row.
@@ -35,8 +35,8 @@ from auditspark.llm.tiles import TILE, deal_tiles
 SEED = 42
 #: Rows of a chunk of a hot bucket, and rows of a block within a tile.
 TILE_ROWS, BLOCK_ROWS = 32_768, 1024
-#: Shingles of a chunk of texts whose whole sets are compared: 32 MB.
-TILE_SHINGLES = 4_000_000
+#: Shingles of a chunk of texts whose whole sets are compared: 8 MB.
+TILE_SHINGLES = 1_000_000
 #: Words of the parities of a set. Texts whose shingles set the order, about, and common shingles at most; both bear on speed only.
 PARITY_WORDS, ORDER_TEXTS, COMMON = 8, 20_000, 100_000
 SIGNS = [f"s{k}" for k in range(PARITY_WORDS)]
@@ -139,7 +139,7 @@ def band_keys(fp: Column, bands: int, radius: int) -> list[Column]:
 
 def _forest(tiles: DataFrame, node: str, signs: list[str], pairs: Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
     """Links ``(a, b)`` between the nodes of ``pairs`` (of signs, sizes, left and right side): a spanning forest of each tile's links."""
-    sized = "size" in tiles.columns
+    sized = "size" in tiles.columns  # of sets, with their wide parities
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, TILE):
@@ -148,11 +148,13 @@ def _forest(tiles: DataFrame, node: str, signs: list[str], pairs: Callable[...,
             nodes, chunk = rows[node].to_numpy(), rows["chunk"].to_numpy()
             tile_a, tile_b = rows["tile_a"].to_numpy(), rows["tile_b"].to_numpy()
             sizes = rows["size"].to_numpy() if sized else None
+            wide = rows["wide"].combine_chunks() if sized else None
             links: list[tuple[np.ndarray, np.ndarray]] = []
             for start, end in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows], strict=True):
                 labels, own = np.arange(end - start), nodes[start:end]
                 left, right = _tile_sides(chunk[start:end], tile_a[start], tile_b[start])
-                for x, y in pairs(words[start:end], sizes[start:end] if sized else None, left, right):
+                given = (sizes[start:end], Wide(wide.slice(start, end - start))) if sized else (None, None)
+                for x, y in pairs(words[start:end], *given, left, right):
                     new = labels[x] != labels[y]
                     if new.any():
                         labels = merge_labels(labels, x[new], y[new])
@@ -168,7 +170,7 @@ def _forest(tiles: DataFrame, node: str, signs: list[str], pairs: Callable[...,
 def linked_fingerprints(distinct: DataFrame, radius: int = 2, bands: int = 4, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Distinct ``fp`` to links ``(a, b)`` of fingerprints within the radius: a spanning forest of each tile's links."""
     rows = distinct.select("fp", F.explode(F.array(*band_keys(F.col("fp"), bands, radius))).alias("bucket"))
-    pairs = lambda signs, _, left, right: close_pairs(signs, radius, left, right)
+    pairs = lambda signs, _, __, left, right: close_pairs(signs, radius, left, right)
     return _forest(deal_tiles(rows, "fp", tile_rows).select("fp", "chunk", *TILE), "fp", ["fp"], pairs)
 
 
@@ -212,7 +214,54 @@ def parities(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def possible_pairs(signs: np.ndarray, sizes: np.ndarray, similarity: float, left: np.ndarray | None = None, right: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def wide_parities(hashes: np.ndarray) -> np.ndarray:
+    """The same in one to two cells a hash, for sets too large for the fixed number of cells; empty for others."""
+    bits = 64 * PARITY_WORDS
+    if len(hashes) <= bits:
+        return np.zeros(0, dtype=np.int64)
+    bits = 1 << (len(hashes) - 1).bit_length()
+    cell = (hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits.bit_length() + 1)
+    odd = np.bincount(cell.astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _halved(words: np.ndarray) -> np.ndarray:
+    """Rows of parities in half as many cells: each is the sum of two neighbours."""
+    bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")
+    return np.packbits(bits[:, ::2] ^ bits[:, 1::2], axis=1, bitorder="little").view(np.uint64)
+
+
+class Wide:
+    """Wide parities of the rows of a tile. Of two rows the one with more cells is brought to those of the other."""
+
+    def __init__(self, lists: pa.Array):
+        self.at, self.values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+        self.words, self.cells = np.diff(self.at), {}
+
+    def _matrix(self, words: int) -> tuple[np.ndarray, np.ndarray]:
+        if words not in self.cells:
+            same, more = np.flatnonzero(self.words == words), np.flatnonzero(self.words == 2 * words)
+            of = lambda rows, n: self.values[self.at[rows][:, None] + np.arange(n)] if len(rows) else np.zeros((0, n), dtype=np.uint64)
+            place = np.full(len(self.words), -1, dtype=np.int64)
+            place[np.concatenate([same, more])] = np.arange(len(same) + len(more))
+            self.cells[words] = place, np.concatenate([of(same, words), _halved(of(more, 2 * words)) if len(more) else of(same[:0], words)])
+        return self.cells[words]
+
+    def close(self, x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Whether pairs differ in ``most`` cells at most; true for those without wide parities."""
+        out = np.ones(len(x), dtype=bool)
+        words = np.minimum(self.words[x], self.words[y])
+        for n in np.unique(words[words > 0]).tolist():
+            place, cells = self._matrix(n)
+            some = np.flatnonzero(words == n)
+            for start in range(0, len(some), max(1, 2_000_000 // n)):
+                part = some[start : start + max(1, 2_000_000 // n)]
+                apart = np.bitwise_count(cells[place[x[part]]] ^ cells[place[y[part]]]).sum(axis=1, dtype=np.int64)
+                out[part] = apart <= most[part]
+        return out
+
+
+def possible_pairs(signs: np.ndarray, sizes: np.ndarray, similarity: float, left: np.ndarray | None = None, right: np.ndarray | None = None, wide: Wide | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows that sizes and parities allow to be as similar as wanted, block by block; no pair that is gets lost.
 
     Sets of sizes m and n and that similarity differ in (1 - similarity) / (1 + similarity) * (m + n) shingles at most:
@@ -242,8 +291,12 @@ def possible_pairs(signs: np.ndarray, sizes: np.ndarray, similarity: float, left
                 x, y = x[x < y], y[x < y]
             x, y = a[x], b[y]
             near = np.minimum(sizes[x], sizes[y]) >= similarity * np.maximum(sizes[x], sizes[y]) - 1e-6
-            if near.any():
-                yield x[near], y[near]
+            x, y = x[near], y[near]
+            if wide is not None and len(x):
+                near = wide.close(x, y, share * (sizes[x] + sizes[y]) + 1e-6)
+                x, y = x[near], y[near]
+            if len(x):
+                yield x, y
 
 
 def common_shingles(df: DataFrame, words: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
@@ -279,9 +332,9 @@ def _signatures(df: DataFrame, words: int, similarity: float, id_col: str, text_
                 first = [first_shingles(x, similarity, *order.value).view(np.int64) for x in sets]
                 signs = np.stack([parities(x) for x in sets]).view(np.int64)
                 sizes = pa.array([len(x) for x in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), sizes, pa.array(first, pa.list_(pa.int64())), *(pa.array(x) for x in signs.T.copy())], names=[id_col, "key", "size", "first", *SIGNS])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), sizes, pa.array(first, pa.list_(pa.int64())), pa.array([wide_parities(x) for x in sets], pa.list_(pa.int64())), *(pa.array(x) for x in signs.T.copy())], names=[id_col, "key", "size", "first", "wide", *SIGNS])
 
-    schema = f"`{id_col}` long, key string, size long, first array<long>, " + ", ".join(f"{c} long" for c in SIGNS)
+    schema = f"`{id_col}` long, key string, size long, first array<long>, wide array<long>, " + ", ".join(f"{c} long" for c in SIGNS)
     return text_frame(df, id_col, text_col).withColumn("key", text_key(F.col(text_col))).mapInArrow(run, schema)
 
 
@@ -311,13 +364,13 @@ def _verified_links(rows: DataFrame, similarity: float) -> DataFrame:
             signs = np.stack([rows[c].to_numpy().view(np.uint64) for c in SIGNS], axis=1)
             nodes, chunk, sizes = rows["node"].to_numpy(), rows["chunk"].to_numpy(), rows["size"].to_numpy()
             tile_a, tile_b = rows["tile_a"].to_numpy(), rows["tile_b"].to_numpy()
-            flat = rows["shingles"].combine_chunks()
+            flat, wide = rows["shingles"].combine_chunks(), rows["wide"].combine_chunks()
             offsets, values = flat.offsets.to_numpy(), flat.values.to_numpy()
             a, b = [], []
             for start, end in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows], strict=True):
                 labels = np.arange(start, end)
                 left, right = _tile_sides(chunk[start:end], tile_a[start], tile_b[start])
-                for x, y in possible_pairs(signs[start:end], sizes[start:end], similarity, left, right):
+                for x, y in possible_pairs(signs[start:end], sizes[start:end], similarity, left, right, Wide(wide.slice(start, end - start))):
                     near = np.argsort(np.bitwise_count(signs[start + x] ^ signs[start + y]).sum(axis=1), kind="stable")
                     for at in range(0, len(near), 4096):
                         some = near[at : at + 4096]
@@ -350,21 +403,21 @@ def near_duplicate_classes(df: DataFrame, words: int = 5, similarity: float = 0.
     if not 0 < similarity <= 1:
         raise ValueError("similarity must be over 0 and at most 1")
     rows = checkpoint(_signatures(df, words, similarity, id_col, text_col))
-    classes = rows.groupBy("key").agg(F.min(id_col).alias("least"), F.count("*").alias("n_rows"), F.min("size").alias("size"), F.first("first").alias("first"), *(F.min(c).alias(c) for c in SIGNS))
+    classes = rows.groupBy("key").agg(F.min(id_col).alias("least"), F.count("*").alias("n_rows"), F.min("size").alias("size"), F.first("first").alias("first"), F.first("wide").alias("wide"), *(F.min(c).alias(c) for c in SIGNS))
     # a text's node is its least id; texts that have no id at all, or share one, get a number of their own
     shared = classes.groupBy("least").agg(F.count("*").alias("n")).where("n > 1 and least is not null").select(F.col("least"), F.lit(True).alias("shared"))
     classes = classes.join(shared, "least", "left").withColumn("node", F.when(F.col("least").isNull() | F.col("shared") | (F.col("least") < 0), F.bitwise_not(F.abs(F.xxhash64("key")))).otherwise(F.col("least"))).drop("shared")
     classes = checkpoint(classes)
-    sized = classes.where("size > 0").select("node", "size", *SIGNS)
+    sized = classes.where("size > 0").select("node", "size", "wide", *SIGNS)
     firsts = classes.where("size > 0").select("node", F.explode("first").alias("bucket"))
     members = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
     buckets = firsts.groupBy("bucket").agg(*members).where("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"))
     dealt = checkpoint(firsts.join(buckets.select("bucket"), "bucket"))
-    tiles = deal_tiles(dealt, "node", tile_rows, deal=False).join(sized, "node").select("node", "size", *SIGNS, "chunk", *TILE)
-    pairs = lambda signs, sizes, left, right: possible_pairs(signs, sizes, similarity, left, right)
+    tiles = deal_tiles(dealt, "node", tile_rows, deal=False).join(sized, "node").select("node", "size", "wide", *SIGNS, "chunk", *TILE)
+    pairs = lambda signs, sizes, wide, left, right: possible_pairs(signs, sizes, similarity, left, right, wide)
     groups = connected_components(_forest(tiles.repartition(*TILE).sortWithinPartitions(*TILE), "node", SIGNS, pairs))
     grouped = sized.join(groups.withColumnRenamed("root", "bucket"), "node")
-    near = checkpoint(deal_tiles(grouped, "node", tile_rows, deal=False, weight="size", tile_weight=TILE_SHINGLES).select("node", "size", *SIGNS, "chunk", *TILE))
+    near = checkpoint(deal_tiles(grouped, "node", tile_rows, deal=False, weight="size", tile_weight=TILE_SHINGLES).select("node", "size", "wide", *SIGNS, "chunk", *TILE))
     wanted = near.select("node").distinct().join(classes.select("node", "key", "least"), "node")
     texts = df.select(F.col(id_col).cast("long").alias("least"), text_key(F.col(text_col)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = wanted.join(texts, wanted["key"].eqNullSafe(texts["key"]) & wanted["least"].eqNullSafe(texts["least"])).select("node", "text").dropDuplicates(["node"])
