@@ -233,6 +233,27 @@ def test_similar_sets_share_a_first_shingle_and_pass_the_bounds(similarity):
         assert len(list(simhash.possible_pairs(signs, np.array([len(one), len(two)]), similarity))) == 1
 
 
+def test_wide_parities_lose_no_pair():
+    """Sets differ in at least as many shingles as their wide parities in cells, also between classes of size; unlike large sets are told apart."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    draw = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    sets = []
+    for n in (300, 500, 515, 900, 1020, 1030, 1800, 2040, 2060):
+        common = draw(n)
+        sets += [np.unique(np.concatenate([common, draw(k)])) for k in (0, 7, n // 10, n // 5)]
+    wide = simhash.Wide(pa.array([simhash.wide_parities(x) for x in sets], pa.list_(pa.int64())))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if min(len(sets[i]), len(sets[j])) >= 0.8 * max(len(sets[i]), len(sets[j]))]
+    x, y = (np.array(p) for p in zip(*pairs, strict=True))
+    apart = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in pairs])
+    assert wide.close(x, y, apart).all()
+    large = np.minimum(wide.words[x], wide.words[y]) > 0
+    sizes = np.array([len(s) for s in sets])
+    unlike = large & (apart > 0.9 * (sizes[x] + sizes[y]))
+    assert unlike.any() and not wide.close(x, y, (sizes[x] + sizes[y]) / 9)[unlike].any()
+
+
 def test_keep_one_of_odd_texts(spark):
     kept = simhash.keep_one_of_each(odd_frame(spark))
     assert kept.columns == odd_frame(spark).columns
