@@ -68,6 +68,15 @@ def join_split(rows: DataFrame, side: DataFrame, key: str, n_col: str, bound: in
     return rows.join(F.broadcast(hot), key).unionByName(few)
 
 
+#: Rows of a side that is broadcast whole, at most.
+FEW_ROWS = 1_000_000
+
+
+def if_few(side: DataFrame) -> DataFrame:
+    """A checkpointed side, to be broadcast if it has at most FEW_ROWS rows; a join with more shuffles, with the same result."""
+    return F.broadcast(side) if side.count() <= FEW_ROWS else side
+
+
 def text_frame(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Id as long and text with null as the empty string; all other columns, clashing names included, are left out."""
     return df.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))

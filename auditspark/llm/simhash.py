@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import checkpoint, group_starts, hot_bound, join_split, slices, text_frame, texts_of, whole_groups
+from auditspark.llm.common import checkpoint, group_starts, hot_bound, if_few, join_split, slices, text_frame, texts_of, whole_groups
 from auditspark.llm.components import connected_components
 from auditspark.llm.tiles import TILE, deal_tiles
 
@@ -418,9 +418,9 @@ def near_duplicate_classes(df: DataFrame, words: int = 5, similarity: float = 0.
     groups = connected_components(_forest(tiles.repartition(*TILE).sortWithinPartitions(*TILE), "node", SIGNS, pairs))
     grouped = sized.join(groups.withColumnRenamed("root", "bucket"), "node")
     near = checkpoint(deal_tiles(grouped, "node", tile_rows, deal=False, weight="size", tile_weight=TILE_SHINGLES).select("node", "size", "wide", *SIGNS, "chunk", *TILE))
-    wanted = near.select("node").distinct().join(classes.select("node", "key", "least"), "node")
+    wanted = if_few(checkpoint(near.select("node").distinct().join(classes.select("node", "key", "least"), "node")))
     texts = df.select(F.col(id_col).cast("long").alias("least"), text_key(F.col(text_col)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = wanted.join(texts, wanted["key"].eqNullSafe(texts["key"]) & wanted["least"].eqNullSafe(texts["least"])).select("node", "text").dropDuplicates(["node"])
+    texts = texts.join(wanted, wanted["key"].eqNullSafe(texts["key"]) & wanted["least"].eqNullSafe(texts["least"])).select("node", "text").dropDuplicates(["node"])
     sets = _sets(texts, words, "text")
     joined = near.join(sets, "node").repartition(*TILE).sortWithinPartitions(*TILE)
     roots = connected_components(_verified_links(joined, similarity))
@@ -435,12 +435,19 @@ def keep_one_of_each(df: DataFrame, words: int = 5, similarity: float = 0.8, id_
     an empty table gives an empty table; other columns go along unchanged.
     """
     classes = checkpoint(near_duplicate_classes(df, words, similarity, id_col, text_col))
-    stay = classes.where("node = root").select(F.col("key").alias("__key"), F.col("least").alias("__least"))
-    kept = df.withColumn("__text_key", text_key(F.col(text_col)))
-    kept = kept.join(stay, (F.col("__text_key") == F.col("__key")) & F.col(id_col).cast("long").eqNullSafe(F.col("__least")), "left_semi")
-    repeated = classes.where("n_rows > 1").select("key", "least")
+    stay = classes.where("node = root").select("key", "least")
     rows = df.select(text_key(F.col(text_col)).alias("key"), F.col(id_col).cast("long").alias("least"))
-    twice = rows.groupBy("key", "least").agg(F.count("*").alias("n")).where("n > 1").join(repeated, "key", "left_semi")
+    rows = checkpoint(rows.groupBy("key", "least").agg(F.count("*").alias("n")))
+    gone = if_few(checkpoint(rows.join(stay, _same_row(rows["key"], rows["least"], stay), "left_anti")))
+    kept = df.withColumns({"__key": text_key(F.col(text_col)), "__least": F.col(id_col).cast("long")})
+    same = lambda side: _same_row(F.col("__key"), F.col("__least"), side)
+    kept = kept.join(gone, same(gone), "left_anti")
+    twice = checkpoint(rows.where("n > 1"))
     if not twice.isEmpty():
-        kept = kept.dropDuplicates(["__text_key"])
+        twice = if_few(twice)
+        kept = kept.join(twice, same(twice), "left_anti").unionByName(kept.join(twice, same(twice), "left_semi").dropDuplicates(["__key"]))
     return kept.select(*df.columns)
+
+
+def _same_row(key: Column, least: Column, side: DataFrame) -> Column:
+    return (key == side["key"]) & least.eqNullSafe(side["least"])

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from auditspark.llm import components, decontaminate, embedding_dedup, html_extract, queries, sentencepiece, sharding, simhash, tiles, token_count, toxicity, warc
+from auditspark.llm import common, components, decontaminate, embedding_dedup, html_extract, queries, sentencepiece, sharding, simhash, tiles, token_count, toxicity, warc
 from auditspark.llm.common import table
 from tests.llm.odd_texts import ODD, empty_frame, odd_frame
 
@@ -254,7 +254,23 @@ def test_wide_parities_lose_no_pair():
     assert unlike.any() and not wide.close(x, y, (sizes[x] + sizes[y]) / 9)[unlike].any()
 
 
-def test_keep_one_of_odd_texts(spark):
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_keep_one_of_repeated_rows_on_either_side_of_the_broadcast(spark, monkeypatch, few):
+    """Rows of one id and text, ids and texts of several rows, null ids and columns with clashing names; joins by shuffle and by broadcast give the same."""
+    monkeypatch.setattr(common, "FEW_ROWS", few)
+    one, near = " ".join(f"w{i}" for i in range(40)), " ".join(f"w{i}" for i in range(41))
+    rows = [(1, one), (1, one), (1, one), (2, one), (3, near), (3, near), (4, "of its own"), (4, "of its own"), (5, "only once"), (None, "without id"), (None, "without id"), (None, one), (6, None), (7, "")]
+    df = spark.createDataFrame([(i, t, "k", -1, "a") for i, t in rows], "doc_id long, text string, key string, least long, node string")
+    kept = simhash.keep_one_of_each(df)
+    assert kept.columns == df.columns
+    want = [(None, "without id"), (1, one), (4, "of its own"), (5, "only once"), (6, None)]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=lambda x: x[0] or 0) == want
+    assert {(r.key, r.least, r.node) for r in kept.collect()} == {("k", -1, "a")}
+
+
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_keep_one_of_odd_texts(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW_ROWS", few)
     kept = simhash.keep_one_of_each(odd_frame(spark))
     assert kept.columns == odd_frame(spark).columns
     texts = Counter(r.text or "" for r in kept.collect())
