@@ -7,10 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from auditspark.llm import decontaminate, embedding_dedup, html_extract, quality, sentencepiece, sharding, simhash, token_count, toxicity, warc
+from auditspark.llm import decontaminate, embedding_dedup, html_extract, importance, packing, phrases, quality, sentencepiece, sharding, simhash, token_count, toxicity, warc
 from auditspark.llm.common import shared_path, table
 
-BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
+BYTE_BPE, PIECES, WORD_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model", "word_bpe_49k.json"
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +57,24 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(documents, table(spark, sf_dir, "labels"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_html_extraction, op3_simhash_near_dedup, op4_benchmark_decontamination, op5_toxicity, op6_sentencepiece, op7_warc, op8_embedding_near_dedup, op9_sharding, op10_quality_classifier)
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_html_extraction, op3_simhash_near_dedup, op4_benchmark_decontamination, op5_toxicity, op6_sentencepiece, op7_warc,
+        op8_embedding_near_dedup, op9_sharding, op10_quality_classifier, op11_best_fit_packing, op12_phrase_mining, op13_importance_resampling,
+    )
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -96,4 +112,19 @@ ORACLES: dict[str, str] = {
                CASE WHEN g.original IS NULL OR g.original = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN g.original <> d.page_id THEN g.original END AS refers_to
         FROM d LEFT JOIN g ON d.payload_digest = g.payload_digest AND d.payload_bytes >= 1000""",
+    "op12_phrase_mining": rf"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+        u AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w CROSS JOIN range(1, 4) AS s(k) WHERE len(ws) >= k),
+        g AS (SELECT lang, k, phrase, count(*) AS f FROM u GROUP BY ALL),
+        t AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY lang),
+        c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, f AS a FROM g WHERE k > 1 AND f >= 10),
+        x AS (SELECT lang, phrase, a, ws, cut, array_to_string(ws[1:cut], ' ') AS h, array_to_string(ws[cut + 1:], ' ') AS e FROM c CROSS JOIN range(1, 3) AS s(cut) WHERE cut < k),
+        y AS (SELECT x.lang, x.phrase, x.a, cut, g1.f AS l, g2.f AS r, CAST(1000000::HUGEINT * a * a // (g1.f::HUGEINT * g2.f) AS BIGINT) AS score
+              FROM x JOIN g g1 ON g1.lang = x.lang AND g1.phrase = x.h JOIN g g2 ON g2.lang = x.lang AND g2.phrase = x.e),
+        z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        o AS (SELECT lang, array_to_string(ws[i:i + 1], ' ') AS phrase, max(a) AS longer FROM c CROSS JOIN range(1, 3) AS s(i) WHERE k = 3 GROUP BY ALL),
+        q AS (SELECT z.*, row_number() OVER (PARTITION BY z.lang ORDER BY score DESC, a DESC, z.phrase) AS rank
+              FROM z LEFT JOIN o ON o.lang = z.lang AND o.phrase = z.phrase WHERE o.longer IS NULL OR 100 * o.longer < 50 * a)
+        SELECT q.lang, rank, phrase, a, l, r, n, score FROM q JOIN t ON t.lang = q.lang WHERE rank <= 2000""",
 }
