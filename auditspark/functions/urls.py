@@ -114,14 +114,22 @@ def signals(url: Column, rules: list[str] | None = None) -> dict[str, Column]:
     return _signals(url, _authority(url), h, registrable(h, rules))
 
 
+def _detail(url: Column, pos: Column, authority: Column, h: Column, registered: Column) -> Column:
+    return F.struct(pos.cast("int").alias("pos"), url.alias("url"), _domain(h, registered).alias("domain"), *(c.alias(n) for n, c in _signals(url, authority, h, registered).items()))
+
+
 def details(urls: Column, rules: list[str] | None = None) -> Column:
     """``pos`` (from 0), ``url``, ``domain`` and the signals of each URL of an array that has a domain; what several of them need is computed once."""
 
     def one(url: Column, pos: Column) -> Column:
-        made = lambda a, h, r: F.struct(pos.cast("int").alias("pos"), url.alias("url"), _domain(h, r).alias("domain"), *(c.alias(n) for n, c in _signals(url, a, h, r).items()))
-        return let(_authority(url), lambda a: let(_host(a), lambda h: let(registrable(h, rules), lambda r: made(a, h, r))))
+        return let(_authority(url), lambda a: let(_host(a), lambda h: let(registrable(h, rules), lambda r: _detail(url, pos, a, h, r))))
 
     return F.filter(F.transform(urls, one), lambda d: d["domain"].isNotNull())
 
 
+def detail(url: Column, pos: Column, registered: Column) -> Column:
+    """The same for one URL whose registrable domain is known."""
+    return let(_authority(url), lambda a: let(_host(a), lambda h: _detail(url, pos, a, h, registered)))
+
+
 FLAGS = ["is_ip", "has_userinfo", "is_shortener", "has_tracking", "deep_path", "long_query", "non_standard_port"]

@@ -7,17 +7,25 @@ from pyspark.sql import functions as F
 
 from auditspark.config import Settings
 from auditspark.functions import scoring
-from auditspark.functions.urls import FLAGS, details, extract_urls
+from auditspark.functions.urls import FLAGS, detail, details, extract_urls, host
 from auditspark.operators import lists
+from auditspark.operators.suffixes import with_registrable
 
 #: Characters of a text that are audited, and domains of a text whose age is looked up: both limits are part of the audit.
 AUDIT_CHARS, AGE_LOOKUPS = 65_536, 100
 
 
-def url_details(texts: DataFrame, rules: list[str] | None = None) -> DataFrame:
-    """A row per distinct URL of a text with a domain: doc_id, pos (from 0), url, domain and its signals."""
-    found = details(extract_urls(F.substring("text", 1, AUDIT_CHARS)), rules)
-    return texts.select("doc_id", F.explode(found).alias("d")).select("doc_id", "d.*")
+def url_details(texts: DataFrame, rules: list[str] | DataFrame | None = None) -> DataFrame:
+    """A row per distinct URL of a text with a domain: doc_id, pos (from 0), url, domain and its signals.
+
+    ``rules`` are public suffixes: a few as a list, which is part of the plan, or any number as a table (see ``suffixes``).
+    """
+    urls = extract_urls(F.substring("text", 1, AUDIT_CHARS))
+    if not isinstance(rules, DataFrame):
+        return texts.select("doc_id", F.explode(details(urls, rules)).alias("d")).select("doc_id", "d.*")
+    rows = texts.select("doc_id", F.posexplode(urls).alias("pos", "url")).withColumn("host", host(F.col("url")))
+    known = with_registrable(rows, rules)
+    return known.select("doc_id", detail(F.col("url"), F.col("pos"), F.col("registrable")).alias("d")).select("doc_id", "d.*").where("domain is not null")
 
 
 def domain_signals(details: DataFrame) -> DataFrame:
@@ -72,12 +80,12 @@ def rank_verdicts(verdicts: DataFrame) -> DataFrame:
     return verdicts.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "first_pos")))
 
 
-def audit(texts: DataFrame, block: DataFrame, allow: DataFrame, settings: Settings | None = None, ages: DataFrame | None = None) -> DataFrame:
+def audit(texts: DataFrame, block: DataFrame, allow: DataFrame, settings: Settings | None = None, ages: DataFrame | None = None, rules: list[str] | DataFrame | None = None) -> DataFrame:
     """The whole chain. Disabled settings judge nothing."""
     settings = settings or Settings()
     if not settings.enabled:
         texts = texts.where("false")
-    return rank_verdicts(classify(with_ages(domain_signals(url_details(texts)), ages, settings), block, allow, settings))
+    return rank_verdicts(classify(with_ages(domain_signals(url_details(texts, rules)), ages, settings), block, allow, settings))
 
 
 def summaries(verdicts: DataFrame) -> DataFrame:

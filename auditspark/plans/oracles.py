@@ -110,6 +110,44 @@ _LEAF = f"WITH calls AS ({_FLAT}), {_LEAF}"
 _WEB = "regexp_matches(name, '(?i)^tool:web_|web[-_](search|fetch|browse)')"
 _SAN = f"regexp_replace({_FOLD}, '[\\x{{200b}}-\\x{{200f}}\\x{{202a}}-\\x{{202e}}\\x{{2066}}-\\x{{2069}}\\x{{feff}}]', '', 'g')"
 
+_LISTED = f"(SELECT page_id, {V.LISTED} AS e FROM pages)"
+_OK = "(coalesce(nm <> '' AND CASE WHEN nm LIKE '.%' THEN length(nm) >= 2 ELSE contains(nm, '.') END AND regexp_matches(nm, '^[\\x21-\\x7e]+$') AND NOT regexp_matches(nm, '[@?#]'), false))"
+_LAST = ", ".join(
+    f"coalesce(arg_max({c}, CASE WHEN {c} IS NOT NULL THEN seq END), {d}) AS {n}"
+    for n, c, d in (
+        ("enabled", "CASE WHEN op = 'enabled' THEN value END", "true"), ("mode", "CASE WHEN op = 'mode' AND choice IN ('normal', 'simple', 'whitelist') THEN choice END", "'normal'"),
+        ("policy", "CASE WHEN op = 'policy' AND choice IN ('allow', 'ask', 'deny') THEN choice END", "'deny'"), ("injection", "CASE WHEN op = 'injection' THEN value END", "true"),
+    )
+)
+_LOG = f"""own AS (SELECT user_id AS store, event_id AS seq, {V.OP} AS op, {V.OP_DOMAIN} AS domain, {V.OP_REASON} AS reason, {V.OP_VALUE} AS value, {V.OP_CHOICE} AS choice FROM events),
+log AS (SELECT *, lower(trim(coalesce(domain, ''))) AS nm FROM (SELECT * FROM own UNION ALL
+  SELECT DISTINCT store, k, o, d, 'seed', CAST(NULL AS BOOLEAN), CAST(NULL AS VARCHAR) FROM own CROSS JOIN (VALUES (-4, 'block', '.xyz'), (-3, 'block', '.top'), (-2, 'whitelist', 'wikipedia.org'), (-1, 'whitelist', 'github.com')) t(k, o, d))),
+ch AS (SELECT store, seq, nm, list, coalesce(nullif(trim(reason), ''), 'manual') AS reason,
+  CASE WHEN op = list AND {_OK} THEN true WHEN op IN ('un' || list, 'remove') THEN false END AS put
+  FROM log CROSS JOIN (VALUES ('block'), ('whitelist')) l(list) WHERE nm <> '' AND op IN ('block', 'unblock', 'whitelist', 'unwhitelist', 'remove')),
+now AS (SELECT store, list, max(seq) AS pos, nm AS domain, arg_max(reason, seq) AS reason FROM ch WHERE put IS NOT NULL GROUP BY store, list, nm HAVING arg_max(put, seq))"""
+_DONE = f"""was AS (SELECT *, coalesce(last_value(put IGNORE NULLS) OVER (PARTITION BY store, list, nm ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS was FROM ch),
+af AS (SELECT *, coalesce(put, was) AS aft FROM was),
+mv AS (SELECT store, seq, bool_or(was AND list = 'block') AS wb, bool_or(aft AND list = 'block') AS ab, bool_or(was AND list = 'whitelist') AS ww, bool_or(aft AND list = 'whitelist') AS aw FROM af GROUP BY store, seq),
+all_ AS (SELECT log.*, coalesce(wb, false) AS wb, coalesce(ab, false) AS ab, coalesce(ww, false) AS ww, coalesce(aw, false) AS aw FROM log LEFT JOIN mv ON log.store = mv.store AND log.seq = mv.seq),
+so_far AS (SELECT *, sum(ab::BIGINT - wb::BIGINT) OVER w AS nb, sum(aw::BIGINT - ww::BIGINT) OVER w AS nw,
+  coalesce(last_value(CASE WHEN op = 'enabled' THEN value END IGNORE NULLS) OVER w, true) AS enabled, coalesce(last_value(CASE WHEN op = 'mode' AND choice IN ('normal', 'simple', 'whitelist') THEN choice END IGNORE NULLS) OVER w, 'normal') AS mode,
+  coalesce(last_value(CASE WHEN op = 'policy' AND choice IN ('allow', 'ask', 'deny') THEN choice END IGNORE NULLS) OVER w, 'deny') AS policy, coalesce(last_value(CASE WHEN op = 'injection' THEN value END IGNORE NULLS) OVER w, true) AS injection
+  FROM all_ WINDOW w AS (PARTITION BY store ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+done AS (SELECT store, seq, op, CASE WHEN op IN ('block', 'unblock', 'whitelist', 'unwhitelist', 'remove') THEN nm END AS domain,
+  CASE WHEN op IN ('block', 'whitelist') THEN {_OK} WHEN op IN ('unblock', 'unwhitelist', 'remove') THEN nm <> '' WHEN op = 'enabled' THEN value IS NOT NULL WHEN op = 'mode' THEN choice IN ('normal', 'simple', 'whitelist')
+    WHEN op = 'policy' THEN choice IN ('allow', 'ask', 'deny') ELSE op IN ('status', 'injection') END AS ok,
+  op IN ('unblock', 'unwhitelist', 'remove') AND (wb AND NOT ab OR ww AND NOT aw) AS removed, ab AS in_blocklist, aw AS in_whitelist, CAST(nb AS BIGINT) AS n_blocklist, CAST(nw AS BIGINT) AS n_whitelist, enabled, mode, policy, injection
+  FROM so_far WHERE seq >= 0)"""
+_SUFFIX_RULES = f"""words AS (SELECT lower(regexp_extract(coalesce({V.RULE_LINE}, ''), '^\\s*(\\S*)', 1)) AS word FROM pages),
+rules AS (SELECT DISTINCT regexp_replace(word, '^(!|\\*\\.)', '') AS name, CASE WHEN word LIKE '!%' THEN 'exception' WHEN word LIKE '*.%' THEN 'wildcard' ELSE 'plain' END AS kind FROM words WHERE word <> '' AND NOT word LIKE '//%')"""
+_SUFFIXED = f"""named AS (SELECT host, count(*) AS n, string_split(host, '.') AS ls, {IP.format("host")} AS ip FROM (#HOSTS#) GROUP BY host),
+ends AS (SELECT host, ls, unnest(range(1, len(ls) + 1)) AS k FROM named WHERE NOT ip),
+met AS (SELECT host, kind = 'exception' AS excepted, CASE kind WHEN 'exception' THEN k - 1 WHEN 'plain' THEN k ELSE CASE WHEN len(ls) > k THEN k + 1 END END AS length FROM ends JOIN rules ON rules.name = array_to_string(ls[len(ls) - k + 1:], '.')),
+best AS (SELECT host, coalesce(max(length) FILTER (excepted), max(length)) AS length FROM met WHERE length IS NOT NULL GROUP BY host),
+cut AS (SELECT named.*, coalesce(length, 1) AS k FROM named LEFT JOIN best ON named.host = best.host),
+suffixed AS (SELECT host, n, CASE WHEN NOT ip THEN array_to_string(ls[len(ls) - k + 1:], '.') END AS suffix, CASE WHEN NOT ip AND len(ls) > k THEN array_to_string(ls[len(ls) - k:], '.') END AS registrable FROM cut)"""
+
 ORACLES: dict[str, str] = {
     "extract_urls": chain("SELECT doc_id, pos, url FROM urls"),
     "extract_domain": chain("SELECT doc_id, url, domain FROM det WHERE domain IS NOT NULL"),
@@ -145,14 +183,15 @@ ORACLES: dict[str, str] = {
         'Sources by threat (' || CAST(count(r.domain) AS VARCHAR) || ' domains)' || chr(10) || coalesce(string_agg(r.rendered, chr(10) || chr(10) ORDER BY r.rank), '') AS report, count(r.domain) AS domain_count,
         coalesce(string_agg(r.domain || ' ' || CAST(r.score AS VARCHAR) || ' ' || r.action, '|' ORDER BY r.rank), '') AS verdicts FROM cit c LEFT JOIN ren r ON c.doc_id = r.doc_id GROUP BY c.doc_id"""),
     "ignore_filter": chain("SELECT doc_id, domain FROM lev WHERE domain NOT IN ('bit.ly', 'site.com')"),
-    "read_list": f"SELECT CAST(min(k) AS BIGINT) AS pos, lower(trim(e)) AS domain FROM (VALUES {_rows(V.BLOCK)}) t(k, e) WHERE trim(e) <> '' GROUP BY lower(trim(e))",
-    "list_sets": f"SELECT DISTINCT lower(trim(e)) AS domain, CASE WHEN trim(e) LIKE '.%' THEN 'dotted' ELSE 'exact' END AS kind FROM (VALUES {_rows(V.BLOCK)}) t(k, e) WHERE trim(e) <> ''",
+    "read_list": f"SELECT min(page_id) AS pos, lower(trim(e)) AS domain FROM {_LISTED} WHERE trim(e) <> '' GROUP BY lower(trim(e))",
+    "list_sets": f"SELECT DISTINCT lower(trim(e)) AS domain, CASE WHEN trim(e) LIKE '.%' THEN 'dotted' ELSE 'exact' END AS kind FROM {_LISTED} WHERE trim(e) <> ''",
     "domain_validation": r"""WITH v AS (SELECT page_id, lower(trim(url)) AS a, lower(trim(regexp_extract(url, '^https?://([^/]+)', 1))) AS b, lower(trim('.' || regexp_extract(url, '([a-z]+)\.example', 1))) AS c FROM pages)
         SELECT page_id, """ + ", ".join(f"CAST({x} <> '' AND CASE WHEN {x} LIKE '.%' THEN length({x}) >= 2 ELSE contains({x}, '.') END AND regexp_matches({x}, '^[\\x21-\\x7e]+$') AND NOT regexp_matches({x}, '[@?#]') AS INT) AS {n}" for x, n in (("a", "url_ok"), ("b", "host_ok"), ("c", "dotted_ok"))) + " FROM v",
-    "ensure_seeded": "SELECT * FROM (VALUES ('a.org', 'fixed'), ('.xyz', 'fixed'), ('.top', 'seed')) t(domain, reason)",
-    "add_to_list": "SELECT CAST(p AS BIGINT) AS pos, d AS domain, r AS reason FROM (VALUES (1, 'b.org', 'fixed'), (2, 'a.org', 'again')) t(p, d, r)",
-    "remove_from_list": "SELECT 'a.org' AS domain",
-    "status_payload": f"SELECT 'block' AS kind, count(DISTINCT lower(trim(e))) AS n FROM (VALUES {_rows(V.BLOCK)}) t(k, e) WHERE trim(e) <> '' UNION ALL SELECT 'allow', count(DISTINCT lower(trim(e))) FROM (VALUES {_rows(V.ALLOW)}) t(k, e)",
+    "ensure_seeded": f"SELECT page_id AS pos, e AS domain, 'fixed' AS reason FROM {_LISTED} UNION ALL SELECT k, d, 'seed' FROM (VALUES (-3::BIGINT, '.com'), (-2, '.top'), (-1, 'wikipedia.org')) t(k, d) WHERE d NOT IN (SELECT e FROM {_LISTED} WHERE e IS NOT NULL)",
+    "add_to_list": f"WITH l AS (SELECT min(page_id) AS pos, lower(trim(e)) AS domain FROM {_LISTED} WHERE trim(e) <> '' GROUP BY lower(trim(e))) SELECT pos, domain, 'fixed' AS reason FROM l WHERE domain <> '.com' UNION ALL SELECT max(pos) + 1, '.com', 'again' FROM l",
+    "remove_from_list": f"SELECT min(page_id) AS pos, lower(trim(e)) AS domain FROM {_LISTED} WHERE trim(e) <> '' AND lower(trim(e)) <> '.com' GROUP BY lower(trim(e))",
+    "status_payload": f"""WITH {_LOG}, s AS (SELECT store, {_LAST} FROM log GROUP BY store), n AS (SELECT store, count(*) FILTER (list = 'block') AS b, count(*) FILTER (list = 'whitelist') AS w FROM now GROUP BY store)
+        SELECT s.store, enabled, mode, policy, injection, coalesce(b, 0) AS n_block, coalesce(w, 0) AS n_whitelist FROM s LEFT JOIN n ON s.store = n.store""",
     "invisible_count": f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{_INV}')) AS BIGINT) AS n, round(len(regexp_extract_all(text, '{_INV}')) / CAST(length(text) AS DOUBLE), 9) AS ratio FROM {_HID}",
     "strip_invisible": f"SELECT doc_id, md5(regexp_replace(text, '{_INV}', '', 'g')) AS digest FROM {_HID}",
     "invisible_in_word": f"SELECT doc_id, CAST(regexp_matches(text, '[\\p{{L}}\\p{{N}}]{_INV}[\\p{{L}}\\p{{N}}]') AS INT) AS inside FROM {_HID}",
@@ -191,7 +230,14 @@ ORACLES: dict[str, str] = {
     "age_resolver": chain("SELECT DISTINCT domain, coalesce(status, 'failed') AS status, CAST(CASE WHEN status = 'ok' THEN year END AS INT) AS year FROM facts"),
     "age_lookup_cap": chain("SELECT doc_id, domain, coalesce(status, 'failed') AS age_status FROM facts"),
     "extend_token": f"WITH t AS (SELECT page_id AS doc_id, regexp_extract(text, '(https?://[a-z0-9.-]+)', 1) AS u, CAST(page_id % 7 AS VARCHAR) AS k FROM (SELECT page_id, {V.CITATION} AS text FROM pages)) SELECT doc_id, u || '。evil' || k || '.xyz' AS url, 'evil' || k || '.xyz' AS domain FROM t WHERE contains(substr(u, 9), '.')",
-    "apply_list_op": "SELECT * FROM (VALUES ('block', 'new.org', true, false, false, true, 2::BIGINT, 8::BIGINT), ('unblock', '.xyz', true, true, false, false, 2, 7), ('whitelist', 'not valid', false, false, false, false, 2, 7), ('unwhitelist', 'none.org', true, false, false, false, 2, 7)) t(op, domain, ok, removed, in_whitelist, in_blocklist, n_whitelist, n_blocklist)",
+    "apply_list_op": f"WITH {_LOG}, {_DONE} SELECT store, seq, op, domain, ok, removed, in_whitelist, in_blocklist, n_whitelist, n_blocklist FROM done WHERE op IN ('block', 'unblock', 'whitelist', 'unwhitelist')",
+    "citation_manage": f"WITH {_LOG}, {_DONE} SELECT * FROM done",
+    "list_history": f"WITH {_LOG} SELECT store, list, pos, domain, reason FROM now",
+    "suffix_rules": f"WITH {_SUFFIX_RULES} SELECT * FROM rules",
+    "suffix_table": f"WITH {_SUFFIX_RULES}, {_SUFFIXED.replace('#HOSTS#', f'SELECT {V.HOST} AS host FROM pages')} SELECT host, n, suffix, registrable FROM suffixed",
+    "url_details_by_table": chain("SELECT 1").rpartition(chr(10))[0] + f""", {_SUFFIX_RULES}, {_SUFFIXED.replace("#HOSTS#", "SELECT host FROM hosts")}
+        SELECT doc_id, pos, url, CASE WHEN {IP.format("hosts.host")} THEN hosts.host ELSE coalesce(registrable, hosts.host) END AS domain, CAST(coalesce(registrable IN ({_names(SHORTENERS)}), false) AS INT) AS is_shortener
+        FROM hosts JOIN suffixed ON hosts.host = suffixed.host""",
     "safe_key": "SELECT page_id, regexp_replace(url, '[^a-zA-Z0-9_-]', '_', 'g') AS key FROM pages",
     "migrate_legacy": "WITH r AS (SELECT page_id, 'k' || CAST(page_id % 100 AS VARCHAR) AS key FROM pages) SELECT page_id, key FROM r WHERE page_id % 3 <> 0 AND key NOT IN (SELECT key FROM r WHERE page_id % 7 = 0)",
     "invisible_ratio": f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{_INV}')) / CAST(length(text) AS DOUBLE) > 0.001 AS INT) AS high FROM {_HID}",

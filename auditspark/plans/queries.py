@@ -11,7 +11,7 @@ from auditspark.config import Injection, Settings
 from auditspark.functions import normalise as N
 from auditspark.functions import scoring as S
 from auditspark.functions import urls as U
-from auditspark.operators import ages, audit, conversations, detect, enforce, lists
+from auditspark.operators import ages, audit, commands, conversations, detect, enforce, lists, suffixes
 from auditspark.plans import views as V
 from auditspark.sources import store
 
@@ -217,12 +217,12 @@ def ignore_filter(spark, sf):
 
 @query
 def read_list(spark, sf):
-    return lists.read_list(V.entries(spark, V.BLOCK)).select("pos", "domain")
+    return lists.read_list(V.listed(spark, sf)).select("pos", "domain")
 
 
 @query
 def list_sets(spark, sf):
-    exact, dotted = lists.sets(V.entries(spark, V.BLOCK))
+    exact, dotted = lists.sets(V.listed(spark, sf))
     return exact.select("domain", F.lit("exact").alias("kind")).unionByName(dotted.select("domain", F.lit("dotted").alias("kind")))
 
 
@@ -233,32 +233,61 @@ def domain_validation(spark, sf):
 
 @query
 def ensure_seeded(spark, sf):
-    return lists.seeded(V.entries(spark, ["a.org", ".xyz"]), [".xyz", ".top"]).select("domain", "reason")
+    return lists.seeded(V.listed(spark, sf), [".com", ".top", "wikipedia.org"]).select("pos", "domain", "reason")
 
 
 @query
 def add_to_list(spark, sf):
-    return lists.add(lists.add(V.entries(spark, ["a.org", "b.org"]), " A.org ", "again"), "not valid").select("pos", "domain", "reason")
+    return lists.add(lists.add(lists.read_list(V.listed(spark, sf)), " .COM ", "again"), "not valid").select("pos", "domain", "reason")
 
 
 @query
 def remove_from_list(spark, sf):
-    return lists.remove(V.entries(spark, ["a.org", "b.org"]), "B.org").select("domain")
+    return lists.remove(lists.read_list(V.listed(spark, sf)), " .Com").select("pos", "domain")
 
 
 @query
 def status_payload(spark, sf):
-    block, allow = _lists(spark)
-    return lists.read_list(block).agg(F.lit("block").alias("kind"), F.count("*").alias("n")).unionByName(lists.read_list(allow).agg(F.lit("allow").alias("kind"), F.count("*").alias("n")))
+    """Entries of both lists of each store, and its settings, after all commands."""
+    log = commands.with_seeds(V.commands(spark, sf))
+    n = commands.entries_at(log).groupBy("store").agg(*(F.count_if(F.col("list") == k).alias(f"n_{k}") for k in ("block", "whitelist")))
+    return commands.settings_at(log).join(n, "store", "left").select("store", "enabled", "mode", "policy", "injection", F.coalesce("n_block", F.lit(0)).alias("n_block"), F.coalesce("n_whitelist", F.lit(0)).alias("n_whitelist"))
 
 
 @query
 def apply_list_op(spark, sf):
-    block, allow = _lists(spark)
-    block, allow, one = lists.apply_op(block, allow, "block", " New.org ")
-    block, allow, two = lists.apply_op(block, allow, "unblock", ".xyz")
-    block, allow, three = lists.apply_op(block, allow, "whitelist", "not valid")
-    return one.unionByName(two).unionByName(three).unionByName(lists.apply_op(block, allow, "unwhitelist", "none.org")[2])
+    """What each operation on a list did."""
+    done = commands.results(V.commands(spark, sf)).where("op in ('block', 'unblock', 'whitelist', 'unwhitelist')")
+    return done.select("store", "seq", "op", "domain", "ok", "removed", "in_whitelist", "in_blocklist", "n_whitelist", "n_blocklist")
+
+
+@query
+def citation_manage(spark, sf):
+    return commands.results(V.commands(spark, sf), age_ok=False)
+
+
+@query
+def list_history(spark, sf):
+    """Both lists of each store after all commands on the seeds it began with."""
+    return commands.entries_at(commands.with_seeds(V.commands(spark, sf)))
+
+
+@query
+def suffix_rules(spark, sf):
+    return suffixes.parse_rules(V.rule_lines(spark, sf))
+
+
+@query
+def suffix_table(spark, sf):
+    """Public suffix and registrable domain of each host, by a table of rules."""
+    hosts = V.table(spark, sf, "pages").selectExpr(f"{V.HOST} AS host")
+    return suffixes.suffix_table(hosts, suffixes.parse_rules(V.rule_lines(spark, sf)))
+
+
+@query
+def url_details_by_table(spark, sf):
+    """URLs of texts, with domains by a table of rules."""
+    return audit.url_details(V.citations(spark, sf), suffixes.parse_rules(V.rule_lines(spark, sf))).select("doc_id", "pos", "url", "domain", F.col("is_shortener").cast("int").alias("is_shortener"))
 
 
 @query

@@ -29,6 +29,19 @@ CALL_NAME = "CASE page_id % 3 WHEN 0 THEN 'web_fetch' WHEN 1 THEN 'web_search' E
 CALL_ARGS = "CASE WHEN page_id % 2 = 0 THEN '{\"url\": \"' || url || '\"}' ELSE '{\"a\": [{\"b\": {\"q\": \"look at evil' || CAST(page_id % 7 AS VARCHAR(20)) || '.xyz and ' || url || '\"}}]}' END"
 KIND = "CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END"
 
+HOST = "regexp_extract(url, '^https?://([^/:?#]+)', 1)"
+LISTED = f"CASE page_id % 6 WHEN 0 THEN '  ' || upper({HOST}) || ' ' WHEN 1 THEN '.' || regexp_extract({HOST}, '([^.]+)$', 1) WHEN 2 THEN ' ' WHEN 3 THEN CAST(NULL AS VARCHAR(20)) ELSE {HOST} END"
+RULE_LINE = f"""CASE page_id % 8 WHEN 0 THEN '// ' || {HOST} WHEN 1 THEN '*.' || {HOST} WHEN 2 THEN '!' || {HOST} || ' note' WHEN 3 THEN upper({HOST})
+ WHEN 4 THEN '' WHEN 5 THEN CAST(NULL AS VARCHAR(20)) WHEN 6 THEN regexp_extract({HOST}, '([^.]+)$', 1) ELSE '  *.' || regexp_extract({HOST}, '([^.]+[.][^.]+)$', 1) END"""
+#: Commands on lists and settings; each user has a store.
+OP = """CASE event_id % 14 WHEN 0 THEN 'status' WHEN 1 THEN 'enabled' WHEN 2 THEN 'mode' WHEN 3 THEN 'policy' WHEN 4 THEN 'injection' WHEN 5 THEN 'test_age' WHEN 6 THEN 'unblock'
+ WHEN 7 THEN 'unwhitelist' WHEN 8 THEN 'remove' WHEN 9 THEN 'whitelist' WHEN 10 THEN 'whitelist' WHEN 11 THEN 'other' ELSE 'block' END"""
+OP_DOMAIN = """CASE event_id % 9 WHEN 0 THEN ' Site' || CAST(event_id % 4 AS VARCHAR(20)) || '.COM ' WHEN 1 THEN '.top' WHEN 2 THEN 'not valid' WHEN 3 THEN '' WHEN 4 THEN CAST(NULL AS VARCHAR(20))
+ WHEN 5 THEN 'github.com' ELSE 'site' || CAST(event_id % 5 AS VARCHAR(20)) || '.com' END"""
+OP_REASON = "CASE event_id % 3 WHEN 0 THEN ' ' WHEN 1 THEN CAST(NULL AS VARCHAR(20)) ELSE event_type END"
+OP_VALUE = "CASE event_id % 4 WHEN 0 THEN true WHEN 1 THEN false ELSE CAST(NULL AS BOOLEAN) END"
+OP_CHOICE = "CASE event_id % 5 WHEN 0 THEN 'simple' WHEN 1 THEN 'whitelist' WHEN 2 THEN 'ask' WHEN 3 THEN 'allow' ELSE 'nonsense' END"
+
 BLOCK = ["x", ".xyz", ".top", "evil1.xyz", ".site.net", "  Spaced.COM ", "spaced.com", "192.0.2.2", ""]
 ALLOW = ["wikipedia.org", "github.com", " GitHub.com"]
 AGES = [("example.com", "2010-05-01", "ok"), ("site.com", "2025-01-02", "ok"), ("nasa.gov", "1995-03-04", "ok"), ("bit.ly", None, "failed")]
@@ -68,6 +81,20 @@ def cache_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr("'d' || CAST(user_id AS VARCHAR(20)) AS domain", "CAST(ts AS TIMESTAMP) AS seen_at", f"{KIND} AS kind", "CAST(NULL AS TIMESTAMP) AS creation_date")
 
 
+def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of a list: a page's host, in several spellings, or its top level."""
+    return table(spark, sf_dir, "pages").selectExpr("page_id AS pos", f"{LISTED} AS domain", "'fixed' AS reason", "CAST(NULL AS TIMESTAMP) AS date")
+
+
+def rule_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a list of public suffixes."""
+    return table(spark, sf_dir, "pages").selectExpr(f"{RULE_LINE} AS value")
+
+
+def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").selectExpr("user_id AS store", "event_id AS seq", f"{OP} AS op", f"{OP_DOMAIN} AS domain", f"{OP_REASON} AS reason", f"{OP_VALUE} AS value", f"{OP_CHOICE} AS choice")
+
+
 def entries(spark: SparkSession, names: list[str]) -> DataFrame:
     return spark.createDataFrame([(k, d, "fixed", None) for k, d in enumerate(names)], "pos long, domain string, reason string, date timestamp")
 
