@@ -18,6 +18,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,9 @@ CAPACITY, END_ID = 4096, 1
 #: Classes of lengths, rounds of prices and their rate; parts of the program's solution, of which the best is taken.
 CLASSES, ROUNDS, RATE, PARTS = 96, 2000, 0.25, (0.25, 0.5, 0.75, 0.9, 1.0)
 #: Pieces of one length that are ranked in one task, about; chunks of text whose ids a worker keeps.
-RANKED, CACHE_ENTRIES = 65_536, 400_000
+RANKED, CACHE_ENTRIES = 1024, 600_000
+#: Signs that, in a row after a word, are one pre-token.
+SIGNS = ".,;:!?)]}(\"|$&*%#-+=/"
 
 
 class Encoder:
@@ -41,7 +44,7 @@ class Encoder:
 
     The tokenizer drops white space and never joins what stands on both sides of it, so that each distinct chunk between
     blanks is encoded once. Unknown chunks of letters alone are encoded together: each is one word, whose last id is one
-    that ends a word.
+    that ends a word. ASCII words are looked up in lower case, to which the tokenizer brings them.
     """
 
     def __init__(self, path: str):
@@ -53,37 +56,47 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, chunks: set[str]) -> None:
-        words = sorted({c for c in chunks if c.isascii() and c.isalpha()})
+        lower = {c: c.lower() if c.isascii() and c.isalpha() else c for c in chunks}
+        words = sorted({w for w in lower.values() if w.isalpha() and w not in self.known})
         for k in range(0, len(words), 1000):
             some = words[k : k + 1000]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
             after = np.flatnonzero(self.ends[ids]) + 1
             if len(after) == len(some) and after[-1] == len(ids):
-                self.known.update(zip(some, (p.tobytes() for p in np.split(ids, after[:-1])), strict=True))
-        for c in chunks:
-            if c not in self.known:
-                self.known[c] = self._ids(c)
+                blob, ends = ids.tobytes(), (4 * after).tolist()
+                self.known.update(zip(some, [blob[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True))
+        for c, w in lower.items():
+            if w not in self.known:
+                self.known[w] = self._ids(w)
+            self.known[c] = self.known[w]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
         chunked = [text.replace("\n", " ").split(" ") for text in texts]
-        new = {c for chunks in chunked for c in chunks}.difference(self.known)
+        new = set().union(*chunked).difference(self.known)
         if new:
             if len(self.known) + len(new) > CACHE_ENTRIES:
-                self.known, new = {}, {c for chunks in chunked for c in chunks}
-            # a word and the stop after it are two pre-tokens whatever follows
-            parted = {c: (c[:-1], c[-1]) for c in new if len(c) > 1 and c[-1] in ".,;:" and c[-2].isalpha()}
+                self.known, new = {}, set().union(*chunked)
+            # but for the names of special tokens, a word and the signs after it are encoded apart
+            cut = ((c, c.rstrip(SIGNS)) for c in new if c and c[-1] in SIGNS and "<" not in c)
+            parted = {c: (word, c[len(word) :]) for c, word in cut if word and word[-1].isalpha()}
             self._learn({p for c in new for p in parted.get(c, (c,))}.difference(self.known))
-            for c, (word, stop) in parted.items():
-                self.known[c] = self.known[word] + self.known[stop]
+            for c, (word, sign) in parted.items():
+                self.known[c] = self.known[word] + self.known[sign]
         return [b"".join(map(self.known.__getitem__, chunks)) for chunks in chunked]
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path)
+
+
 def pieces(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, ``piece``, ``start``, ``length``, ``ids_crc32`` and ``at``, which no other piece has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, at = Encoder(tokenizer_path), TaskContext.get().partitionId() << 40
+        encoder, at = encoder_of(tokenizer_path), TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in slices(batch, 64):
                 rows: list[tuple] = []
