@@ -1,8 +1,8 @@
 """Phrase collocation mining by contiguous pattern growth.
 
 1. Words are counted per language, added up in each task before the shuffle.
-2. Frequent words are the prefixes. For each of its occurrences the words that follow in the same piece are projected; equal
-   projections are added up in chunks, and all of a chunk for one prefix make one row.
+2. Frequent words are the prefixes. For each of their occurrences the words that follow in the same piece are projected;
+   equal projections are added up in chunks, and all of a chunk for one prefix make one row.
 3. Each prefix is one task's group: its projections lie in one array, occurrences are pointers into it with weights, and the
    prefix is extended to the right depth-first, each frequent extension with the pointers of its own occurrences.
 4. Counts of phrases meet by equality joins for the scores of cuts.
@@ -15,11 +15,11 @@ work, they change no result.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,51 +28,50 @@ from auditspark.llm.common import checkpoint, group_starts, slices, whole_groups
 
 #: Words of a phrase at most, its least count, percent of a phrase's count at which a longer one takes its place, phrases of a language.
 WORDS, LEAST, COVER, TOP = 3, 10, 50, 2000
-#: Words that are projected at a time, occurrences in a group, slots of the table of frequent words, parts in which a language's best are found.
-CHUNK, GROUP, SLOTS, PARTS = 1_000_000, 200_000, 1 << 22, 64
+#: Bytes of text that are projected at a time, occurrences in a group, slots of the table of frequent words, parts in which a language's best are found.
+CHUNK, GROUP, SLOTS, PARTS = 8_000_000, 200_000, 1 << 22, 64
 #: Fixed: what a byte becomes. A-Z to lower case, the ends of pieces to stops, tabs to blanks.
 BYTES = bytes(b + 32 if 65 <= b <= 90 else 46 if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
-STOP, NEXT = b".", b"\n"
+STOP = b"."
 
 
-class Numbers(dict):
-    """Numbers of words, in the order in which they are first asked for."""
+def numbered(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """Distinct words of the texts, and the number of the word at each place; the stop, number -1, ends every piece."""
+    raw = np.frombuffer(STOP.join([*texts, b""]).translate(BYTES).replace(STOP, b" . "), dtype=np.uint8)
+    blank = raw == 32
+    raw = raw[~(blank & np.r_[True, blank[:-1]])]  # each word has one blank after it
+    ends = np.flatnonzero(raw == 32) + 1
+    words = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(raw)]).dictionary_encode()
+    names, at = pc.utf8_rtrim(words.dictionary.cast(pa.string()), characters=" "), words.indices.to_numpy().astype(np.int64)
+    stop = names.index(".").as_py()
+    return names, np.where(at == stop, -1, at)
 
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        return number
 
-
-def words_and_stops(text: str) -> list[bytes]:
-    """Words of a text, with stops between its pieces and at its end."""
-    return (text.encode("utf-8", "surrogatepass") + STOP).translate(BYTES).replace(STOP, b" . ").split()
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
-    """Chunks of a language: the language, its distinct words and the number of the word at each place. 0 is the stop."""
-    numbers, places, held = {}, {}, 0
+def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
+    """Chunks of about ``size`` bytes: for each of its languages the distinct words and the number of the word at each place."""
+    texts, held = {}, 0
     for batch in batches:
         for part in slices(batch, 64):
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                words = words_and_stops(text)
-                own = numbers.setdefault(lang, Numbers({STOP: 0}))
-                places.setdefault(lang, []).append(np.fromiter(map(own.__getitem__, words), np.int64, len(words)))
-                held += len(words)
+                texts.setdefault(lang, []).append(text.encode("utf-8", "surrogatepass"))
+                held += len(texts[lang][-1])
                 if held >= size:
-                    yield from ((x, list(numbers[x]), np.concatenate(places[x])) for x in sorted(places))
-                    numbers, places, held = {}, {}, 0
-    yield from ((x, list(numbers[x]), np.concatenate(places[x])) for x in sorted(places))
+                    for own in sorted(texts):
+                        yield own, *numbered(texts[own])
+                    texts, held = {}, 0
+    for own in sorted(texts):
+        yield own, *numbered(texts[own])
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """``lang``, ``phrase`` (one word) and ``f``; a null phrase has the number of all words of the language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, names, places in _chunks(batches, CHUNK):
-            n = np.bincount(places, minlength=len(names))
-            used = np.flatnonzero(n[1:]) + 1
-            words = [names[k].decode("utf-8", "surrogatepass") for k in used.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(words) + 1), pa.string()), pa.array([*words, None], pa.string()), pa.array(np.r_[n[used], n[used].sum()])], names=["lang", "phrase", "f"])
+        for lang, names, at in _chunks(batches, CHUNK):
+            n = np.bincount(at[at >= 0], minlength=len(names))
+            used = np.flatnonzero(n)
+            words = pa.concat_arrays([names.take(pa.array(used)), pa.array([None], pa.string())])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), words, pa.array(np.r_[n[used], n.sum()])], names=["lang", "phrase", "f"])
 
     return texts.mapInArrow(count, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
@@ -87,69 +86,69 @@ def slot_table(words: DataFrame, least: int, group: int, slots: int = SLOTS) ->
     return table
 
 
-def slot_of(lang: str, word: bytes, slots: int) -> int:
-    """As Spark's ``xxhash64`` of both columns."""
-    return xxhash.xxh64_intdigest(word, xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 42)) % slots
+def word_hashes(lang: str, names: pa.Array) -> np.ndarray:
+    """As Spark's ``xxhash64`` of both columns, unsigned."""
+    seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 42)
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in names.cast(pa.binary()).to_pylist()), np.uint64, len(names))
 
 
-def project(names: list[bytes], places: np.ndarray, levels: np.ndarray, words: int) -> Iterator[tuple[bytes, int, int, list[bytes], np.ndarray]]:
-    """Rows of a chunk: prefix, its level, group, the distinct words that follow it (up to ``words`` - 1) and how often each."""
-    renamed = np.zeros(len(names), dtype=np.int64)
+def project(names: pa.Array, at: np.ndarray, levels: np.ndarray, hashes: np.ndarray, words: int) -> pa.RecordBatch:
+    """A row per prefix, and part of it if its level is over 1: ``prefix``, ``level``, ``part``, ``follow`` and ``times``.
+
+    ``follow`` has the ``words`` - 1 words after each distinct occurrence, between blanks, empty ones after a stop or a
+    word that isn't frequent; ``times`` how often it occurs, as 32-bit numbers.
+    """
     frequent = np.flatnonzero(levels)
-    renamed[frequent] = np.arange(1, len(frequent) + 1)
-    names = [b"", *(names[k] for k in frequent.tolist())]
-    places = np.r_[renamed[places], np.zeros(words, dtype=np.int64)]
-    at = np.flatnonzero((places[:-1] > 0) & (places[1:] > 0))
-    if not len(at):
-        return
-    key, columns, on = places[at], [places[at]], np.ones(len(at), dtype=bool)
+    number = np.zeros(len(names) + 1, dtype=np.int64)  # the last is the stop's
+    number[frequent] = np.arange(1, len(frequent) + 1)
+    place = np.r_[number[at], np.zeros(words, dtype=np.int64)]
+    starts = np.flatnonzero((place[:-1] > 0) & (place[1:] > 0))
+    key, columns, on = place[starts], [place[starts]], True
     for k in range(1, words):
-        on = on & (places[at + k] > 0)  # after a stop or a rare word nothing follows
-        columns.append(np.where(on, places[at + k], 0))
-        if key.max() > (1 << 62) // len(names):
+        on = on & (place[starts + k] > 0)
+        columns.append(np.where(on, place[starts + k], 0))
+        if len(key) and key.max() > (1 << 62) // (len(frequent) + 1):
             key = np.unique(key, return_inverse=True)[1]
-        key = key * len(names) + columns[-1]
+        key = key * (len(frequent) + 1) + columns[-1]
     _, first, n = np.unique(key, return_index=True, return_counts=True)
-    prefix, *follow = (c[first].tolist() for c in columns)
-    after = [b" ".join([names[k] for k in ks if k]) for ks in zip(*follow, strict=True)]
-    starts = np.flatnonzero(np.r_[True, np.diff(columns[0][first]) > 0]).tolist()
-    for a, b in zip(starts, [*starts[1:], len(after)], strict=True):
-        word, level = names[prefix[a]], int(levels[frequent[prefix[a] - 1]])
-        if level == 1:
-            yield word, level, 0, after[a:b], n[a:b]
-            continue
-        group = np.array([zlib.crc32(x) for x in after[a:b]]) & ((1 << (level - 1)) - 1)
-        order = np.argsort(group, kind="stable")
-        edges = np.flatnonzero(np.r_[True, np.diff(group[order]) > 0, True]).tolist()
-        for c, d in zip(edges, edges[1:], strict=False):
-            own = order[c:d]
-            yield word, level, int(group[own[0]]), [after[a + k] for k in own.tolist()], n[a:b][own]
-
-
-def projections(texts: DataFrame, table: np.ndarray, words: int, chunk: int = CHUNK) -> DataFrame:
-    """``lang``, ``prefix``, ``level``, ``part``, ``follow`` (what follows, a line each) and ``times`` (32-bit numbers)."""
+    prefix, *follow = (c[first] for c in columns)
+    level = np.r_[np.uint8(0), levels[frequent]][prefix].astype(np.int64)
+    mixed = np.zeros(len(prefix), dtype=np.uint64)
+    for c in follow:
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + np.r_[np.uint64(0), hashes[frequent]][c]
+    part = (mixed >> np.uint64(20)).astype(np.int64) & ((1 << np.maximum(level - 1, 0)) - 1)
+    order = np.lexsort((part, prefix))
+    prefix, part, level, n = prefix[order], part[order], level[order], n[order]
+    new = np.flatnonzero(np.r_[True, (np.diff(prefix) != 0) | (np.diff(part) != 0)]) if len(order) else order
+    bounds = np.r_[new, len(order)].astype(np.int32)
+    known = pa.concat_arrays([pa.array([""], pa.string()), names.take(pa.array(frequent))])
+    after = known.take(pa.array(follow[0][order]))
+    for c in follow[1:]:
+        after = pc.binary_join_element_wise(after, known.take(pa.array(c[order])), " ")
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds), after), " ")
+    times = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(4 * bounds), pa.py_buffer(n.astype("<u4"))])
+    return pa.RecordBatch.from_arrays([known.take(pa.array(prefix[new])), pa.array(level[new], pa.int32()), pa.array(part[new]), joined, times], names=["prefix", "level", "part", "follow", "times"])
+
+
+def projections(texts: DataFrame, table: np.ndarray, words: int) -> DataFrame:
+    """``lang`` and the rows of ``project`` of each chunk."""
     sent = texts.sparkSession.sparkContext.broadcast(table.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(sent.value, dtype=np.uint8)
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-        for lang, names, places in _chunks(batches, chunk):
-            levels = table[np.array([slot_of(lang, w, len(table)) for w in names])]
-            levels[0] = 0
-            rows: list[tuple] = []
-            for word, level, part, after, n in project(names, places, levels, words):
-                rows.append((lang, word.decode("utf-8", "surrogatepass"), level, part, NEXT.join(after), n.astype("<u4").tobytes()))
-                if len(rows) == 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=["lang", "prefix", "level", "part", "follow", "times"])
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=["lang", "prefix", "level", "part", "follow", "times"])
-
-    return texts.mapInArrow(run, "lang string, prefix string, level int, part long, follow binary, times binary")
+        for lang, names, at in _chunks(batches, CHUNK):
+            hashes = word_hashes(lang, names)
+            levels = np.where(np.arange(len(names)) == names.index(".").as_py(), 0, table[hashes % np.uint64(len(table))])
+            rows = project(names, at, levels, hashes, words)
+            for k in range(0, rows.num_rows, 10_000):
+                some = rows.slice(k, 10_000)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * some.num_rows, pa.string()), *some.columns], names=["lang", *some.schema.names])
+
+    return texts.mapInArrow(run, "lang string, prefix string, level int, part long, follow string, times binary")
 
 
 class Growth:
-    """Growth of the phrases of one prefix: ``found`` has (words after the prefix, count)."""
+    """Growth of the phrases of one prefix: ``found`` has (words after the prefix, count). An occurrence is a pointer to what follows it; -1 is nothing."""
 
     def __init__(self, after: np.ndarray, least: int, words: int, whole: bool):
         self.after, self.least, self.words, self.whole, self.found = after, least, words, whole, []
@@ -157,21 +156,24 @@ class Growth:
     def extend(self, phrase: tuple[int, ...], at: np.ndarray, times: np.ndarray) -> None:
         """All frequent phrases that begin with ``phrase``, whose occurrences are followed by what lies at the pointers ``at``."""
         follow = self.after[at]
-        on = np.flatnonzero(follow)
-        if not len(on):
+        order = np.argsort(follow, kind="stable")
+        order = order[np.searchsorted(follow[order], 0) :]
+        if not len(order):
             return
-        order = on[np.argsort(follow[on], kind="stable")]
-        starts = np.flatnonzero(np.r_[True, np.diff(follow[order]) > 0])
-        counts, ends = np.add.reduceat(times[order], starts), np.r_[starts[1:], len(order)]
+        ids = follow[order]
+        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        counts = np.add.reduceat(times[order], starts)
         last = len(phrase) + 2 == self.words
         # a group with only some of the prefix's occurrences has all of a phrase of full length, but only some of a shorter one
-        shown = np.flatnonzero(counts >= (self.least if last or self.whole else 1)).tolist()
-        for k in shown:
-            longer, n = (*phrase, int(follow[order[starts[k]]])), int(counts[k])
-            self.found.append((longer, n))
-            if not last and n >= self.least:
-                own = order[starts[k] : ends[k]]
-                self.extend(longer, at[own] + 1, times[own])
+        shown = np.flatnonzero(counts >= (self.least if last or self.whole else 1))
+        words, n = ids[starts[shown]].tolist(), counts[shown].tolist()
+        self.found += [((*phrase, w), c) for w, c in zip(words, n, strict=True)]
+        if not last:
+            ends = np.r_[starts[1:], len(order)]
+            for k, w, c in zip(shown.tolist(), words, n, strict=True):
+                if c >= self.least:
+                    own = order[starts[k] : ends[k]]
+                    self.extend((*phrase, w), at[own] + 1, times[own])
 
 
 def grow(projected: DataFrame, least: int, words: int) -> DataFrame:
@@ -180,23 +182,24 @@ def grow(projected: DataFrame, least: int, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, keys):
-            starts = group_starts(table, keys).tolist()
+            starts = group_starts(table, keys)
+            tokens = pc.split_pattern(table["follow"].combine_chunks(), " ")
+            edges = np.r_[starts, table.num_rows]
+            edges = (tokens.offsets.to_numpy()[edges] - tokens.offsets.to_numpy()[0]) // (words - 1)
+            coded = tokens.flatten().dictionary_encode()
+            names, after = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            after = np.where(after == (names.index("") if "" in names else -1), -1, after)
+            times = np.frombuffer(b"".join(table["times"].to_pylist()), dtype="<u4").astype(np.int64)
             langs, phrases, sizes, counts = [], [], [], []
-            for a, b in zip(starts, [*starts[1:], table.num_rows], strict=True):
-                rows = table.slice(a, b - a)
-                lang, prefix, level = (rows[c][0].as_py() for c in ("lang", "prefix", "level"))
-                numbers = Numbers({NEXT: 0})
-                lines = NEXT.join(rows["follow"].to_pylist()).replace(NEXT, b" \n ").split(b" ")
-                after = np.fromiter(map(numbers.__getitem__, [*lines, NEXT]), np.int64, len(lines) + 1)
-                times = np.frombuffer(b"".join(rows["times"].to_pylist()), dtype="<u4").astype(np.int64)
-                growth = Growth(after, least, words, level == 1)
-                growth.extend((), np.r_[0, np.flatnonzero(after[:-1] == 0) + 1], times)
-                names = [w.decode("utf-8", "surrogatepass") for w in numbers]
+            lang, prefix, level = (table[c].take(pa.array(starts)).to_pylist() for c in ("lang", "prefix", "level"))
+            for k, (a, b) in enumerate(zip(edges.tolist(), edges[1:].tolist(), strict=False)):
+                growth = Growth(after, least, words, level[k] == 1)
+                growth.extend((), np.arange(a, b) * (words - 1), times[a:b])
                 for phrase, n in growth.found:
-                    phrases.append(" ".join([prefix, *(names[k] for k in phrase)]))
+                    phrases.append(" ".join([prefix[k], *(names[w] for w in phrase)]))
                     sizes.append(len(phrase) + 1)
                     counts.append(n)
-                langs += [lang] * len(growth.found)
+                langs += [lang[k]] * len(growth.found)
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(sizes, pa.int32()), pa.array(counts, pa.int64())], names=["lang", "phrase", "words", "f"])
 
     dealt = projected.repartition(*keys).sortWithinPartitions(*keys)

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -167,10 +168,11 @@ def test_phrases_of_odd_and_no_texts(spark):
 
 
 def test_projection_by_many_words_does_not_overflow():
-    names, places = [b".", *(b"w%d" % k for k in range(50))], np.tile(np.arange(1, 51), 4)
-    got = list(phrases.project(names, places, np.r_[0, np.ones(50)].astype(np.uint8), 12))
-    assert sum(int(n.sum()) for *_, n in got) == 199
-    assert all(len(x.split()) == 11 for word, _, _, after, n in got if word == b"w1" for x in after)
+    names, at = pa.array([f"w{k}" for k in range(50)]), np.tile(np.arange(50), 4)
+    got = phrases.project(names, at, np.ones(50, dtype=np.uint8), np.arange(50, dtype=np.uint64), 12).to_pylist()
+    assert sum(np.frombuffer(r["times"], "<u4").sum() for r in got) == 199
+    follow = next(r["follow"] for r in got if r["prefix"] == "w1").split(" ")
+    assert follow == [f"w{k}" for k in range(2, 13)]
 
 
 # --- importance resampling
