@@ -46,16 +46,18 @@ NEGATIVE = frozenset("ad ads adv advert advertisement adverts advertising adsens
 #: Whole names that say what an element is, other words only weigh; those of readers' comments, which may be longer than the article.
 READERS = frozenset("comment comments comment-list comments-area disqus disqus_thread respond".split())
 NAMES = READERS | frozenset("ad ads advert advertisement adverts adsense sponsored promo banner cookie-banner cookie-notice cookie-consent consent popup modal newsletter sidebar navbar nav navigation menu breadcrumb breadcrumbs footer masthead share sharing share-buttons social related related-posts pagination pager widget".split())
+#: Further names of paragraphs; characters of paragraphs beside readers' comments that are an article.
+ODD_PARAGRAPHS, SHORT_ARTICLE = frozenset(("notice",)), 40
 POSITIVE = frozenset("article body content entry main page post story text blog".split())
 WEIGHT = {"article": 10.0, "main": 8.0, "div": 5.0, "section": 3.0, "td": 3.0, "blockquote": 3.0, "pre": 3.0, "form": -3.0, "ul": -3.0, "ol": -3.0, "li": -3.0, "dl": -3.0, "h1": -5.0, "h2": -5.0, "th": -5.0}
 
 
 class Node:
-    __slots__ = ("tag", "words", "names", "parent", "parts", "out", "score", "chars", "linked", "plain", "points", "depth", "holds")
+    __slots__ = ("tag", "words", "names", "parent", "parts", "out", "score", "chars", "linked", "plain", "read", "points", "depth", "holds")
 
     def __init__(self, tag: str, words: frozenset, parent: Node | None, out: bool, names: frozenset = frozenset()):
         self.tag, self.words, self.parent, self.out, self.names = tag, words, parent, out, names
-        self.plain, self.holds = 0, False
+        self.plain, self.read, self.holds = 0, 0, False
         self.parts: list = []
         self.score, self.points, self.chars, self.linked = 0.0, 0.0, 0, 0
         self.depth: int = 0 if parent is None else parent.depth + 1
@@ -175,14 +177,16 @@ def _leave_out(root: Node) -> None:
         kids = [x for x in node.parts if isinstance(x, Node) and not x.out]
         node.holds = node.tag in ARTICLES or any(x.holds for x in kids)
         node.plain = 0 if node.tag == "a" else sum(len(x.strip()) for x in node.parts if isinstance(x, str)) + sum(x.plain for x in kids)
-        if node.tag in ("html", "body", "article", "main") or node.tag in HEADINGS or node.tag == "p" and not node.names & {"ad", "ads", "notice", "comment", "comments"}:
+        node.read = node.plain if node.tag == "p" else sum(x.read for x in kids)
+        if node.tag in ("html", "body", "article", "main") or node.tag in HEADINGS:
             continue
         if node.tag == "header" and not inside:
             node.out = True
-        elif node.names & NAMES and not node.holds and not (inside and node.tag == "header"):
+        elif node.names & (NAMES | ODD_PARAGRAPHS if node.tag == "p" else NAMES) and not node.holds and not (inside and node.tag == "header"):
             named.append(node)
     for node in named:
-        node.out = bool(node.names & READERS) or node.plain * 2 <= root.plain
+        # readers' comments may be longer than the article, if there is one beside them
+        node.out = node.plain * 2 <= root.plain or bool(node.names & READERS) and root.read - node.read >= SHORT_ARTICLE
 
 
 def _measure(root: Node) -> None:
@@ -218,8 +222,8 @@ def _measure(root: Node) -> None:
 
 
 def _blocks(kept: Node | str, blocks: list[list[str]], page: bool) -> None:
-    """Adds the text of what is kept, block by block; ``page``: it is the whole page, whose menus are no part of it."""
-    todo: list = [kept]
+    """Adds the text of what is kept, block by block; ``page``: it is the whole page, whose menus are no part of it: lists of links below its body or before its first paragraph."""
+    todo, begun = [kept], False
     while todo:
         x = todo.pop()
         if x is None:
@@ -227,10 +231,12 @@ def _blocks(kept: Node | str, blocks: list[list[str]], page: bool) -> None:
         elif not isinstance(x, Node):
             blocks[-1].append(x)
         elif not x.out and x.tag not in VOID:
-            if page and x.tag in ("ul", "ol", "table", "dl") and x.chars and x.linked > 0.6 * x.chars and x.parent.tag in ("body", "html"):
+            if page and x.tag in ("ul", "ol", "table", "dl") and x.chars and x.linked > 0.6 * x.chars and (x.parent.tag in ("body", "html") or not begun):
                 continue
-            if x is not kept and x.words & NEGATIVE and x.score < 0 and x.tag not in PARAGRAPHS and not x.holds and x.plain * 2 <= kept.plain:
+            unread = x.score < 0 or x.chars and x.linked > 0.5 * x.chars  # a block of links has no points
+            if x is not kept and x.words & NEGATIVE and unread and x.tag not in PARAGRAPHS and x.tag != "a" and not x.holds and x.plain * 2 <= kept.plain:
                 continue
+            begun = begun or x.tag in ("p", "pre", "blockquote") and x.chars > 0
             if x.tag in ("td", "th"):
                 blocks[-1].append(" ")
             if x.tag in BLOCK:

@@ -324,9 +324,9 @@ def judged(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     """The columns ``keep`` with ``__loss``, ``__lowest`` and ``__highest`` (null without limits) and ``__kept``."""
     rows = losses(df.withColumn("__lang", _language(df)), labels, id_col, text_col, [*(keep or df.columns), "__lang"], head)
     good = trusted(rows.where("__loss is not null"), labels, id_col).select(F.col("__lang").alias("lang"), F.col("__chars").alias("chars"), F.col("__loss").alias("loss"))
-    limits = checkpoint(bounds(good).withColumnRenamed("lang", "__lang"))
+    limits = checkpoint(bounds(good).select(F.col("lang").alias("__lang"), F.col("mid").alias("__mid"), F.col("low").alias("__low"), F.col("high").alias("__high")))
     rows = rows.join(F.broadcast(limits) if limits.count() <= BROADCAST_ROWS else limits, "__lang", "left")
-    low, high = F.col("mid") + F.col("low") / _shrunk(F.col("__chars")), F.col("mid") + F.col("high") / _shrunk(F.col("__chars"))
+    low, high = (F.col("__mid") + F.col(c) / _shrunk(F.col("__chars")) for c in ("__low", "__high"))
     rows = rows.withColumns({"__lowest": F.when(F.col("__chars") > 0, low), "__highest": F.when(F.col("__chars") > 0, high)})
     return rows.withColumn("__kept", F.coalesce(F.col("__loss").between(F.col("__lowest"), F.col("__highest")), F.lit(True)))
 

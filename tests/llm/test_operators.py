@@ -98,6 +98,26 @@ def test_link_lists_short_paragraphs_and_bare_text_of_an_article_stay():
     assert html_extract.main_text(page) == "\n".join([LONG] * 9 + ["bare text", "Short end."])
 
 
+@pytest.mark.parametrize("name", ["respond", "comments", "disqus", "comment-list"])
+def test_names_of_comments_around_the_whole_article_take_nothing(name):
+    assert html_extract.main_text(f"<body><nav><a href='/'>Home</a></nav><div class='{name}'><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div>") == f"Title\n{LONG}\n{LONG}"
+    page = f"<body><div class='content'><p>{LONG}</p></div><div class='{name}'>" + f"<p>{LONG} A reader.</p>" * 9 + "</div>"
+    assert html_extract.main_text(page) == LONG
+
+
+def test_negative_blocks_of_links_and_named_paragraphs_go():
+    inner = f"<p>{LONG}</p><div class='share-bar'><a href='t'>Tweet</a> <a href='p'>Post</a></div><p class='advert'>Buy this now, really.</p><p>{LONG}</p><p class='promo'>More offers.</p>"
+    for page in (f"<body><article>{inner}</article>", f"<body><div class='content'>{inner}</div>"):
+        assert html_extract.main_text(page) == f"{LONG}\n{LONG}"
+    assert html_extract.main_text(f"<body><article><p>{LONG}</p><div class='sources'><a href='t'>Source</a></div></article>") == f"{LONG}\nSource"
+
+
+def test_menus_without_names_before_the_first_paragraph_go():
+    menu = "<div><ul><li><a href='/'>Home</a></li><li><a href='/b'>Blog</a></li></ul></div>"
+    assert html_extract.main_text(f"<body>{menu}<p>{LONG}</p>") == LONG
+    assert html_extract.main_text(f"<body>{menu}<p>{LONG}</p><div><ul><li><a href='s'>Source</a></li></ul></div><p>{LONG}</p>") == f"{LONG}\nSource\n{LONG}"
+
+
 def test_null_pages(spark):
     df = spark.createDataFrame([(1, None, None, 3), (2, "u", "", 3)], "page_id long, url string, html string, text int")
     assert [(r.text, r.n_chars) for r in html_extract.extract_text(df).collect()] == [("", 0), ("", 0)]

@@ -157,3 +157,13 @@ def test_hashes_and_pieces_of_long_texts(monkeypatch):
     monkeypatch.setattr(quality, "PIECE", 7)
     parts = [(int(o), int(h)) for _, owner, hashes in quality._pieces(texts) for o, h in zip(owner, hashes, strict=True) if o >= 0]
     assert parts == whole and len(whole) == sum(map(len, texts))
+
+
+def test_columns_of_the_names_used_inside_stay(spark):
+    names = ["low", "mid", "high", "n", "q", "z", "chars", "loss", "times", "log_p", "perplexity", "kept", "quality", "toxic", "id", "h", "text_key"]
+    rows = [(k, f"some plain words of text number {k % 7} that repeat", "en", *["x"] * len(names)) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"{n} string" for n in names))
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(20)], "doc_id long, quality int, toxic int")
+    got = quality.drop_low_quality(df, labels)
+    assert got.columns == df.columns and got.where("low = 'x' and mid = 'x' and high = 'x'").count() == got.count() > 0
+    assert quality.score_quality(df, labels).count() == 30
