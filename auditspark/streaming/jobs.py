@@ -30,9 +30,14 @@ def audit_stream(texts: DataFrame, lists: Callable[[], tuple[DataFrame, DataFram
     return _each_batch(texts, lambda rows: audit.audit(rows, *lists(), settings()), path, checkpoint)
 
 
-def detect_stream(texts: DataFrame, path: str, checkpoint: str, settings: Injection | None = None):
-    """Findings in arriving texts."""
-    return _each_batch(texts, lambda rows: detect.detect(rows, settings), path, checkpoint)
+def detect_stream(texts: DataFrame, path: str, checkpoint: str, settings: Callable[[], Injection] = Injection):
+    """Findings in arriving texts. ``settings`` are asked anew for each batch; while they are disabled nothing is found."""
+
+    def judge(rows: DataFrame) -> DataFrame:
+        now = settings()
+        return detect.detect(rows if now.enabled else rows.where("false"), now)
+
+    return _each_batch(texts, judge, path, checkpoint)
 
 
 def first_seen(texts: DataFrame, ts: str = "ts", late: str = "1 hour") -> DataFrame:
@@ -43,7 +48,7 @@ def first_seen(texts: DataFrame, ts: str = "ts", late: str = "1 hour") -> DataFr
 
 
 def age_cache(events: DataFrame) -> DataFrame:
-    """State per domain from ``(domain, seen_at, kind)``: a success stays for ever, a failure for seven days of event time."""
+    """State per domain from ``(domain, seen_at, kind)``: the first success stays until a failure replaces it, a failure for seven days of event time. ``stateful.age_states`` lets the store drop failures by itself."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
