@@ -16,6 +16,7 @@ Pieces get a rank among those of their length, and the plan says which ranks go
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from auditspark.llm.common import shared_path, slices, text_frame, texts_of
 
@@ -34,56 +36,49 @@ CAPACITY, END_ID = 4096, 1
 #: Classes of lengths, rounds of prices and their rate; parts of the program's solution, of which the best is taken.
 CLASSES, ROUNDS, RATE, PARTS = 96, 2000, 0.25, (0.25, 0.5, 0.75, 0.9, 1.0)
 #: Pieces of one length that are ranked in one task, about; chunks of text whose ids a worker keeps.
-RANKED, CACHE_ENTRIES = 1024, 600_000
+RANKED, CACHE_ENTRIES = 1024, 1_200_000
 #: Signs that, in a row after a word, are one pre-token.
 SIGNS = ".,;:!?)]}(\"|$&*%#-+=/"
+#: Words of letters below this one (Latin, Greek, Cyrillic) are letters in every version of Unicode that libraries may have.
+LETTERS = "\u0530"
 
 
-class Encoder:
-    """Ids of texts, as the library gives them, as little-endian unsigned 32-bit numbers.
+class Encoder(dict):
+    """Ids of chunks of texts between blanks, as the library gives them, as little-endian unsigned 32-bit numbers; a chunk is encoded when it is first asked for.
 
-    The tokenizer drops white space and never joins what stands on both sides of it, so that each distinct chunk between
-    blanks is encoded once. Unknown chunks of letters alone are encoded together: each is one word, whose last id is one
-    that ends a word. ASCII words are looked up in lower case, to which the tokenizer brings them.
+    The tokenizer drops white space and never joins what stands on both sides of it, nor a word and signs after it. A word of
+    letters alone is one of its pre-tokens: it goes through the normaliser and the byte alphabet (which change no small
+    ASCII letters) to the model, without the search for pre-tokens and offsets.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
-        self.ends[[k for word, k in self.tokenizer.get_vocab().items() if word.endswith("</w>")]] = True
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, chunks: set[str]) -> None:
-        lower = {c: c.lower() if c.isascii() and c.isalpha() else c for c in chunks}
-        words = sorted({w for w in lower.values() if w.isalpha() and w not in self.known})
-        for k in range(0, len(words), 1000):
-            some = words[k : k + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            after = np.flatnonzero(self.ends[ids]) + 1
-            if len(after) == len(some) and after[-1] == len(ids):
-                blob, ends = ids.tobytes(), (4 * after).tolist()
-                self.known.update(zip(some, [blob[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True))
-        for c, w in lower.items():
-            if w not in self.known:
-                self.known[w] = self._ids(w)
-            self.known[c] = self.known[w]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text."""
-        chunked = [text.replace("\n", " ").split(" ") for text in texts]
-        new = set().union(*chunked).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > CACHE_ENTRIES:
-                self.known, new = {}, set().union(*chunked)
-            # but for the names of special tokens, a word and the signs after it are encoded apart
-            cut = ((c, c.rstrip(SIGNS)) for c in new if c and c[-1] in SIGNS and "<" not in c)
-            parted = {c: (word, c[len(word) :]) for c, word in cut if word and word[-1].isalpha()}
-            self._learn({p for c in new for p in parted.get(c, (c,))}.difference(self.known))
-            for c, (word, sign) in parted.items():
-                self.known[c] = self.known[word] + self.known[sign]
-        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in chunked]
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.alphabet = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def _ids(self, chunk: str) -> list[int]:
+        norm = chunk if chunk.isascii() else self.tokenizer.normalizer.normalize_str(chunk)
+        if norm.isalpha() and max(norm) < LETTERS:
+            word = norm if norm.isascii() else self.alphabet.pre_tokenize_str(norm)[0][0]
+            return [t.id for t in self.model.tokenize(word)]
+        return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+
+    def __missing__(self, chunk: str) -> bytes:
+        word = chunk.rstrip(SIGNS)
+        if chunk.isascii() and chunk.isalpha() and not chunk.islower():
+            ids = self[chunk.lower()]
+        elif word and len(word) < len(chunk) and word[-1].isalpha() and "<" not in chunk:  # not within the name of a special token
+            ids = self[word] + self[chunk[len(word) :]]
+        else:
+            ids = array("I", self._ids(chunk)).tobytes()
+        self[chunk] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text."""
+        if len(self) > CACHE_ENTRIES:
+            self.clear()
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @lru_cache(maxsize=1)
@@ -100,7 +95,7 @@ def pieces(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
         for batch in batches:
             for part in slices(batch, 64):
                 rows: list[tuple] = []
-                for k, ids in enumerate(encoder.encode(texts_of(part, text_col))):
+                for k, ids in enumerate(map(encoder.encode, texts_of(part, text_col))):
                     ids += int(end_id).to_bytes(4, "little")
                     rows += [(k, i, i * capacity, ids[4 * i * capacity : 4 * (i + 1) * capacity]) for i in range(-(-len(ids) // (4 * capacity)))]
                 of, piece, start, ids_of = zip(*rows, strict=True) if rows else ((), (), (), ())

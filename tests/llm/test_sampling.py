@@ -69,10 +69,18 @@ def test_packing_of_nothing(spark):
 
 
 def test_ids_of_chunks_are_those_of_texts():
-    texts = ["It's THE end.  The end,the end... x<|endoftext|>. á A̱ H̱. café; Ω 12,345: don't I'd. 's 'LL\tno\x0bn b 　 wide\x85line", "word$$$ two,&&& x<|endoftext|> <|endoftext|>. a|> b.'s c.' d-- e...f (g). h)(", "İstanbul. ẞ ǅ; ﬁne, é.", "", " ", "\n.\n", "a" * 3000, "日本語。\U0001f600 x̸"]
+    texts = ["It's THE end.  The end,the end... x<|endoftext|>. á A̱ H̱. café; Ω 12,345: don't I'd. 's 'LL\tno\x0bn b 　 wide\x85line", "word$$$ two,&&& $$$ WORD!! Ünï.. ù̀ ÀÉ été İx ΑΣ Ὀδ ЖЁ ŉ ĳ ǆ ԛ ՙա ß ŒŸ x<|endoftext|> <|endoftext|>. a|> b.'s c.' d-- e...f (g). h)(", "İstanbul. ẞ ǅ; ﬁne, é.", "", " ", "\n.\n", "a" * 3000, "日本語。\U0001f600 x̸"]
     tokenizer, encoder = Tokenizer.from_file(PATH), packing.Encoder(PATH)
     for _ in range(2):
-        assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(encoder.encode(t), "<u4").tolist() for t in texts] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_ids_do_not_depend_on_the_cache(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_ENTRIES", 5)
+    encoder, tokenizer = packing.Encoder(PATH), Tokenizer.from_file(PATH)
+    for k in range(4):
+        texts = [f"word{k} Some, other-words and{chr(97 + k)} more.", "", f"{k} end"]
+        assert [np.frombuffer(encoder.encode(t), "<u4").tolist() for t in texts] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def filled(plan, lengths, counts, capacity):
