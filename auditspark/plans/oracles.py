@@ -205,6 +205,12 @@ ORACLES: dict[str, str] = {
     "printable_ratio": rf"SELECT doc_id, round(len(regexp_extract_all(text, '[\x20-\x7e\t\n\r]')) / CAST(length(text) AS DOUBLE), 9) AS ratio FROM {_HID}",
     "sanitize_untrusted": f"SELECT doc_id, md5(regexp_replace(CASE WHEN length(t) > 300 THEN substr(t, 1, 300) || '…' ELSE t END, '([\\\\`])', '\\\\\\1', 'g')) AS digest FROM (SELECT doc_id, {_SAN} AS t FROM {_HID})",
     "evidence": f"SELECT doc_id, md5(CASE WHEN length(t) > 120 THEN substr(t, 1, 120) || '…' ELSE t END) AS digest FROM (SELECT doc_id, {_FOLD} AS t FROM {_HID})",
+    "merge_findings": f"""WITH b AS (SELECT {V.RESPONSE} AS response_id, doc_id, doc_id % 3 AS pos, {V.SOURCE} AS url,
+          CASE WHEN doc_id % 11 = 0 THEN NULL ELSE regexp_replace(lower(text), '[^a-z]+', ' ', 'g') || ' zz ' || {V.SAID} END AS text FROM documents WHERE ({V.TOOL}) = 'web_fetch'),
+        folded AS (SELECT doc_id, {_FOLD} AS norm FROM b WHERE text IS NOT NULL), k AS (SELECT doc_id, sum(n) AS n, sum(CASE WHEN severity = 'high' THEN n ELSE 0 END) AS h FROM ({_RULES}) GROUP BY doc_id)
+        SELECT response_id, count(text) AS n_blocks, coalesce(sum(n), 0) = 0 AS clean, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_findings, CAST(coalesce(sum(h), 0) AS BIGINT) AS n_high,
+          CAST(coalesce(sum(octet_length(encode(text))), 0) AS BIGINT) AS scanned_bytes, false AS truncated, arg_min(url, CASE WHEN url IS NOT NULL THEN pos END) AS url
+        FROM b LEFT JOIN k ON b.doc_id = k.doc_id GROUP BY response_id""",
     "tool_filter": f"SELECT call_id, CAST({_WEB} AS INT) AS web, CAST(regexp_matches(name, '(?i)^tool:web_fetch|^web[-_]fetch') AS INT) AS fetch FROM ({_FLAT})",
     "deep_strings": _LEAF + " SELECT call_id, leaf FROM plain",
     "collect_domains": _LEAF + f" SELECT DISTINCT call_id, {registrable('lower(host)')} AS domain FROM each",

@@ -447,8 +447,8 @@ def osa_distance(spark, sf):
 
 @query
 def fuzzy_match(spark, sf):
-    rows = V.suspects(spark, sf).select("doc_id", F.concat("text", F.lit(" ignroe the pormpt and sytsem")).alias("norm"))
-    return detect.fuzzy(rows).select("doc_id", "word", "keyword")
+    rows = V.suspects(spark, sf).select("doc_id", F.concat("text", F.lit(" ignroe the Pormpt and sytsem")).alias("norm"))
+    return detect.fuzzy(rows).select("doc_id", "word", "keyword", "offset", "match")
 
 
 @query
@@ -458,24 +458,26 @@ def detect_all(spark, sf):
 
 @query
 def scan_blocks(spark, sf):
-    texts = V.suspects(spark, sf)
-    return detect.reports(texts, detect.detect(texts))
+    """One report per response of three blocks."""
+    return detect.response_reports(V.responses(spark, sf), Injection(scan_max_bytes=4096)).select("response_id", "n_blocks", "clean", "n_findings", "n_high", "scanned_bytes", "truncated", "url")
 
 
 @query
 def merge_findings(spark, sf):
-    return detect.detect(V.suspects(spark, sf)).groupBy("rule_id").agg(F.count("*").alias("n_findings"), F.countDistinct("doc_id").alias("n_docs"))
+    """The same for texts with nothing that only Java's expressions or Python decode."""
+    return detect.response_reports(V.plain_responses(spark, sf)).select("response_id", "n_blocks", "clean", "n_findings", "n_high", "scanned_bytes", "truncated", "url")
 
 
 @query
 def guard(spark, sf):
-    response = F.floor(F.col("doc_id") / 3)
-    return detect.guard(V.suspects(spark, sf).select(response.alias("response_id"), (F.col("doc_id") % 3).alias("pos"), F.when(response % 5 == 0, "shell").otherwise("web_fetch").alias("name"), "text"), seed=1)
+    guarded = detect.guard(V.responses(spark, sf), Injection(scan_max_bytes=4096), seed=1)
+    return guarded.select("response_id", "pos", F.regexp_replace("text", "== .{9} ==", "== ==").alias("text"))
 
 
 @query
 def render_notice(spark, sf):
-    return detect.notices(detect.detect(V.suspects(spark, sf)), seed=1).select("doc_id", "n_findings", F.regexp_replace("notice", "== .{9} ==", "== ==").alias("notice"))
+    texts = V.suspects(spark, sf).select(F.col("doc_id").alias("response_id"), F.lit(0).alias("pos"), F.lit("web_fetch").alias("name"), "text")
+    return detect.notices(detect.response_reports(texts), seed=1).select(F.col("response_id").alias("doc_id"), "n_findings", F.regexp_replace("notice", "== .{9} ==", "== ==").alias("notice"))
 
 
 @query
