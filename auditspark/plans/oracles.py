@@ -211,6 +211,9 @@ ORACLES: dict[str, str] = {
         SELECT response_id, count(text) AS n_blocks, coalesce(sum(n), 0) = 0 AS clean, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_findings, CAST(coalesce(sum(h), 0) AS BIGINT) AS n_high,
           CAST(coalesce(sum(octet_length(encode(text))), 0) AS BIGINT) AS scanned_bytes, false AS truncated, arg_min(url, CASE WHEN url IS NOT NULL THEN pos END) AS url
         FROM b LEFT JOIN k ON b.doc_id = k.doc_id GROUP BY response_id""",
+    "benign_comment": f"""WITH c AS (SELECT page_id, unnest(regexp_extract_all(html, '<!--(?s:.)*?-->')) AS comment, generate_subscripts(regexp_extract_all(html, '<!--(?s:.)*?-->'), 1) - 1 AS pos FROM pages),
+        b AS (SELECT page_id, pos, trim(regexp_replace(regexp_replace(regexp_replace(comment, '^<!--', ''), '-->$', ''), '{_SP}+', ' ', 'g'), ' ') AS body FROM c)
+        SELECT page_id, CAST(pos AS INT) AS pos, CAST(body = '' OR ((length(body) <= 80 OR regexp_matches(body, '(?i)^(?:\\[if|\\[endif\\]|!|build|built|generated|version|copyright|\\(c\\))')) AND NOT ({" OR ".join(f"regexp_matches(body, {_q('(?i)' + r[3])})" for r in R.DIRECT)})) AS INT) AS benign FROM b""",
     "tool_filter": f"SELECT call_id, CAST({_WEB} AS INT) AS web, CAST(regexp_matches(name, '(?i)^tool:web_fetch|^web[-_]fetch') AS INT) AS fetch FROM ({_FLAT})",
     "deep_strings": _LEAF + " SELECT call_id, leaf FROM plain",
     "collect_domains": _LEAF + f" SELECT DISTINCT call_id, {registrable('lower(host)')} AS domain FROM each",

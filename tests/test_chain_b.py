@@ -213,3 +213,23 @@ def test_cut_and_clamped_texts_by_brute_force(spark, sf_dir):
                     kept.append(x)
                     used += len(x) + 1
             assert got[k] == (t if len(t) <= budget else "\n".join(kept))
+
+
+def test_edits_by_brute_force(spark, sf_dir):
+    from functools import lru_cache
+
+    def distance(a, b):
+        @lru_cache(maxsize=None)
+        def of(i, j):
+            if not i or not j:
+                return i + j
+            ways = [of(i - 1, j) + 1, of(i, j - 1) + 1, of(i - 1, j - 1) + (a[i - 1] != b[j - 1])]
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                ways.append(of(i - 2, j - 2) + 1)
+            return min(ways)
+
+        return of(len(a), len(b))
+
+    got = {r.word: r.distance for r in QUERIES["osa_distance"](spark, sf_dir).collect()}
+    words = {w for r in V.table(spark, sf_dir, "benchmark").collect() for w in re.findall("[a-z]+", r.text.lower())}
+    assert got == {w: distance(w, "instruction") for w in words}
