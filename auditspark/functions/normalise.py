@@ -51,6 +51,10 @@ def invisible_count(text: Column) -> Column:
     return F.length(text) - F.length(strip_invisible(text))
 
 
+def homoglyph_count(text: Column) -> Column:
+    return F.length(text) - F.length(F.translate(text, "".join(HOMOGLYPHS), ""))
+
+
 def invisible_in_word(text: Column) -> Column:
     return (invisible_count(text) > 0) & text.rlike(rf"[\p{{L}}\p{{N}}]{char_class(INVISIBLE)}[\p{{L}}\p{{N}}]")
 

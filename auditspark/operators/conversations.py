@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditspark.functions.normalise import let
+
 #: Characters of tool text; lines with a URL stay beyond it.
 TOOL_BUDGET = 48 * 1024
 
@@ -90,42 +88,57 @@ BLOCK_DEPTH, CALL_DEPTH = 4, 8
 INNER = ["content", "blocks", "result", "results", "data"]
 
 
-def block_text(block: object, depth: int = 0) -> str:
-    """The text of a content block; the texts of a list by lines; empty if there is none."""
-    if depth > BLOCK_DEPTH or not isinstance(block, list | dict):
-        return ""
-    if isinstance(block, list):
-        return "\n".join(filter(None, (block_text(b, depth + 1) for b in block)))
-    own = block.get("text")
-    return own if isinstance(own, str) and own else next(filter(None, (block_text(block.get(k), depth + 1) for k in INNER)), "")
+def _part(v: Column, path: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(v, path, kind)
+
+
+def _string(v: Column) -> Column:
+    """A variant that is a string; null for all others."""
+    return F.when(F.schema_of_variant(v) == "STRING", _part(v, "$", "string"))
+
+
+def _block_text(block: Column, depth: int, most: int) -> Column:
+    """The text of a content block; the texts of a list by lines, else of the first field of those that hold blocks; empty if there is none."""
+    if depth > most:
+        return F.lit("")
+    items = _part(block, "$", "array<variant>")
+    children = F.when(items.isNotNull(), items).otherwise(F.array(*(_part(block, f"$.{k}") for k in INNER)))
+    inner = F.filter(F.transform(children, lambda c: _block_text(c, depth + 1, most)), lambda t: t != "")
+    found = let(inner, lambda ts: F.when(items.isNotNull(), F.array_join(ts, "\n")).otherwise(F.coalesce(F.get(ts, F.lit(0)), F.lit(""))))
+    return F.when(block.isNull(), "").otherwise(F.coalesce(F.nullif(_string(_part(block, "$.text")), F.lit("")), found))
+
+
+def _all_calls(root: Column, most: int) -> Column:
+    """A call and those it made, and so on, as an array of ``path`` and ``v``; a call's path begins with that of the one it was made by."""
+    kind = "array<struct<path:string,v:variant>>"
+
+    def below(calls: Column) -> Column:
+        subs = lambda x: F.coalesce(_part(x["v"], "$.subCalls", "array<variant>"), F.array().cast("array<variant>"))
+        made = lambda x: F.transform(subs(x), lambda v, k: F.struct(F.concat(x["path"], F.lpad(k.cast("string"), 10, "0")).alias("path"), v.alias("v")))
+        return F.flatten(F.transform(calls, made)).cast(kind)
+
+    def grown(calls: Column, depth: int) -> Column:
+        return calls if depth > most else let(below(calls), lambda more: F.concat(calls, grown(more, depth + 1)))
 
+    return grown(F.array(F.struct(F.lit("").alias("path"), root.alias("v"))).cast(kind), 1)
 
-def call_lines(call: object, depth: int = 0) -> Iterator[str]:
-    """Arguments of web tools and text of results, of a call and then of the calls it made."""
-    if not isinstance(call, dict) or depth > CALL_DEPTH:
-        return
-    head = call["call"] if isinstance(call.get("call"), dict) else {}
-    name, args = (head.get(k) if head.get(k) is not None else call.get(k) for k in ("name", "argsRaw"))
-    if isinstance(name, str) and "web" in name.lower() and isinstance(args, str) and args:
-        yield f"{name} {args}"
-    if text := block_text(call.get("content")):
-        yield text
-    inner = call.get("subCalls")
-    for sub in inner if isinstance(inner, list) else []:
-        yield from call_lines(sub, depth + 1)
 
+def _call_lines(call: Column, blocks: int) -> Column:
+    """Arguments of a web tool and the text of its result, as an array of lines."""
 
-def _parsed(text: str | None) -> object:
-    try:
-        return json.loads(text or "null")
-    except ValueError:
-        return None
+    def field(name: str) -> Column:
+        head = _part(call, f"$.call.{name}")
+        return _string(F.when(head.isNotNull() & ~F.is_variant_null(head), head).otherwise(_part(call, f"$.{name}")))
 
+    head = let(F.struct(field("name").alias("name"), field("argsRaw").alias("args")), lambda h: F.when(F.lower(h["name"]).contains("web") & (h["args"] != ""), F.concat(h["name"], F.lit(" "), h["args"])))
+    return F.array_compact(F.array(head, F.nullif(_block_text(_part(call, "$.content"), 0, blocks), F.lit(""))))
 
-def tool_text(node: Column) -> Column:
-    """Text of a tool's node, given as JSON; empty for a null or for what is no JSON object."""
-    return F.pandas_udf(_tool_text, "string")(node)
 
+def tool_text(node: Column, call_depth: int = CALL_DEPTH, block_depth: int = BLOCK_DEPTH) -> Column:
+    """Text of a tool's node, given as JSON; empty for a null or for what is no JSON object (a key that is repeated in an object is no JSON here).
 
-def _tool_text(nodes: pd.Series) -> pd.Series:
-    return nodes.map(lambda n: "\n".join(call_lines(_parsed(n))))
+    A walk over variants in the JVM: all calls by level, put in the order of their paths, and the text of each.
+    """
+    by_path = lambda a, b: F.when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1).otherwise(0)
+    calls = let(F.try_parse_json(node), lambda v: F.array_sort(_all_calls(v, call_depth), by_path))
+    return F.coalesce(F.array_join(F.flatten(F.transform(calls, lambda x: _call_lines(x["v"], block_depth))), "\n"), F.lit(""))

@@ -172,7 +172,13 @@ def structural(rows: DataFrame) -> DataFrame:
 # --- encoded payloads: small helpers of one Arrow function
 
 
+def printable(text: Column) -> Column:
+    """The part of a text's characters that are printable ASCII, tabs and line ends; null for an empty text."""
+    return F.regexp_count(text, F.lit(r"[\x20-\x7e\t\n\r]")) / F.nullif(F.length(text), F.lit(0))
+
+
 def printable_ratio(text: str) -> float:
+    """The same in tasks; 0 for an empty text."""
     return sum(" " <= c <= "~" or c in "\t\n\r" for c in text) / len(text) if text else 0.0
 
 

@@ -199,7 +199,9 @@ ORACLES: dict[str, str] = {
     "homoglyphs": f"SELECT doc_id, md5(translate(text, {_q(''.join(N.HOMOGLYPHS))}, {_q(''.join(N.HOMOGLYPHS.values()))})) AS digest FROM {_HID}",
     "fold_space": f"SELECT doc_id, md5({_FOLD}) AS digest FROM {_HID}",
     "rule_scan": f"WITH folded AS (SELECT doc_id, {_FOLD} AS norm FROM {_SUS}) SELECT doc_id, rule_id, n FROM ({_RULES}) WHERE n > 0",
-    "notice_summary": f"WITH folded AS (SELECT doc_id, {_FOLD} AS norm FROM {_SUS}) SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_findings, CAST(sum(CASE WHEN severity = 'high' THEN n ELSE 0 END) AS BIGINT) AS n_high FROM ({_RULES}) WHERE n > 0 GROUP BY doc_id",
+    "notice_summary": f"""WITH b AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z]+', ' ', 'g') || ' zz ' || {V.SAID} AS text FROM documents WHERE doc_id % 11 <> 0), folded AS (SELECT doc_id, {_FOLD} AS norm FROM b)
+        SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_findings, CAST(sum(CASE WHEN severity = 'high' THEN n ELSE 0 END) AS BIGINT) AS n_high FROM ({_RULES}) WHERE n > 0 GROUP BY doc_id""",
+    "age_query": chain("SELECT DISTINCT domain, CASE WHEN regexp_matches(domain, '[0-9]') THEN 'failed' ELSE 'ok' END AS status, CASE WHEN NOT regexp_matches(domain, '[0-9]') THEN CAST(1990 + length(domain) % 30 AS INT) END AS year FROM dom"),
     "norm_anomaly": f"SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '{_INV}')) / CAST(length(text) AS DOUBLE) > 0.001 THEN 'medium' ELSE 'low' END AS severity FROM {_HID} WHERE regexp_matches(text, '{_INV}')",
     "hidden_in_word": f"SELECT doc_id, 'high' AS severity FROM {_HID} WHERE regexp_matches(text, '[\\p{{L}}\\p{{N}}]{_INV}[\\p{{L}}\\p{{N}}]')",
     "printable_ratio": rf"SELECT doc_id, round(len(regexp_extract_all(text, '[\x20-\x7e\t\n\r]')) / CAST(length(text) AS DOUBLE), 9) AS ratio FROM {_HID}",

@@ -11,6 +11,7 @@ from auditspark.config import Injection, Settings
 from auditspark.functions import normalise as N
 from auditspark.functions import scoring as S
 from auditspark.functions import urls as U
+from auditspark.operators import age_query as ages_by
 from auditspark.operators import ages, audit, commands, conversations, detect, enforce, lists, suffixes
 from auditspark.plans import views as V
 from auditspark.sources import store
@@ -316,9 +317,7 @@ def invisible_ratio(spark, sf):
 
 @query
 def invisible_homoglyph(spark, sf):
-    each = V.hidden(spark, sf).select("doc_id", F.explode(F.split("text", "")).alias("c")).where("c <> ''")
-    of = lambda points: F.count_if(F.col("c").rlike(N.char_class(points)))
-    return each.groupBy("doc_id").agg(of(N.INVISIBLE).alias("n_invisible"), of([ord(c) for c in N.HOMOGLYPHS]).alias("n_homoglyphs"))
+    return V.hidden(spark, sf).select("doc_id", N.invisible_count(F.col("text")).cast("long").alias("n_invisible"), N.homoglyph_count(F.col("text")).cast("long").alias("n_homoglyphs"))
 
 
 @query
@@ -436,7 +435,7 @@ def partial_decode(spark, sf):
 
 @query
 def printable_ratio(spark, sf):
-    return V.hidden(spark, sf).select("doc_id", F.round(F.regexp_count(F.col("text"), F.lit(r"[\x20-\x7e\t\n\r]")) / F.length("text"), 9).alias("ratio"))
+    return V.hidden(spark, sf).select("doc_id", F.round(detect.printable(F.col("text")), 9).alias("ratio"))
 
 
 @query
@@ -487,9 +486,16 @@ def nonce(spark, sf):
 
 @query
 def notice_summary(spark, sf):
-    found = detect.rule_counts(V.suspects(spark, sf).select("doc_id", N.fold_space(F.col("text")).alias("norm")))
-    high = [r[0] for r in detect.R.DIRECT if r[1] == "high"]
-    return found.groupBy("doc_id").agg(F.sum("n").cast("long").alias("n_findings"), F.sum(F.when(F.col("rule_id").isin(high), F.col("n")).otherwise(0)).cast("long").alias("n_high"))
+    """Totals of the findings of each text; of texts that only direct rules match, as SQL has no others."""
+    texts = V.plain_responses(spark, sf).select((F.col("response_id") * 3 + F.col("pos")).alias("doc_id"), "text")
+    return detect.reports(texts).where(~F.col("clean")).select("doc_id", "n_findings", "n_high")
+
+
+@query
+def age_query(spark, sf):
+    """Ages of all domains of texts by a function of the user's own, of which some calls fail."""
+    found = ages_by.query_ages(_names(spark, sf), V.year_of)
+    return found.select("domain", "status", F.year("creation_date").alias("year"))
 
 
 @query

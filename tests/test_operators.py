@@ -381,3 +381,47 @@ def test_text_of_tools_nodes(spark):
     ]
     texts = [json.dumps(n) for n in nodes] + ["{", "[1]", None]
     assert column(spark, texts, conversations.tool_text) == ["web_fetch {}\na\nb\nc", "Web_search q", "", "", "", ""]
+
+
+def brute_lines(call, depth=0):
+    def text_of(block, depth=0):
+        if depth > 4 or not isinstance(block, list | dict):
+            return ""
+        if isinstance(block, list):
+            return "\n".join(t for t in (text_of(b, depth + 1) for b in block) if t)
+        if isinstance(block.get("text"), str) and block["text"]:
+            return block["text"]
+        return next((t for t in (text_of(block.get(k), depth + 1) for k in ("content", "blocks", "result", "results", "data")) if t), "")
+
+    if depth > 8 or not isinstance(call, dict):
+        return []
+    head = call["call"] if isinstance(call.get("call"), dict) else {}
+    name, args = (head[k] if head.get(k) is not None else call.get(k) for k in ("name", "argsRaw"))
+    out = [f"{name} {args}"] if isinstance(name, str) and "web" in name.lower() and isinstance(args, str) and args else []
+    out += [t] if (t := text_of(call.get("content"))) else []
+    return out + [x for sub in (call.get("subCalls") if isinstance(call.get("subCalls"), list) else []) for x in brute_lines(sub, depth + 1)]
+
+
+def test_text_of_random_nodes_by_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    word = lambda: rng.choice(["a", "b c", "", "日本", None, 7, True])
+
+    def block(depth):
+        if depth > 5 or rng.random() < 0.3:
+            return rng.choice([{"text": word()}, word(), [], {}])
+        return rng.choice([lambda: [block(depth + 1) for _ in range(rng.randint(0, 3))], lambda: {rng.choice(["content", "blocks", "result", "results", "data", "x"]): block(depth + 1) for _ in range(rng.randint(1, 3))}])()
+
+    def call(depth):
+        head = {"name": rng.choice(["web_fetch", "shell", None, 3]), "argsRaw": word()}
+        node = {"call": head, "name": rng.choice(["Web_x", None])} if rng.random() < 0.5 else head
+        return node | {"content": block(0), "subCalls": [call(depth + 1) for _ in range(rng.randint(0, 12 if depth == 0 else 2))] if depth < 11 else []}
+
+    nodes = [call(0) for _ in range(60)]
+    deep = {"name": "web", "argsRaw": "end"}
+    for k in range(11):
+        deep = {"name": "web", "argsRaw": str(k), "subCalls": [deep]}
+    nodes += [deep, [deep], "x", None, {"subCalls": {"name": "web"}}]
+    assert column(spark, [json.dumps(n) for n in nodes], conversations.tool_text) == ["\n".join(brute_lines(n)) for n in nodes]
+    assert sum(bool(brute_lines(n)) for n in nodes) > 30
