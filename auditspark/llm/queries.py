@@ -41,7 +41,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
-    return warc.page_records(warc.read_archive(spark, path))
+    return warc.page_records(warc.read_archive(spark, path), strict=True)
 
 
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from auditspark.llm.common import slices
 
-#: Payloads from this size on are stored once; rows of a file at most.
-REVISIT_BYTES, FILE_ROWS = 1000, 2000
+#: Payloads from this size on are stored once. Records of a file at most, if none is larger than LARGE bytes; of larger ones
+#: a file has the fewer the larger the largest is, so that a file has about FILE_ROWS * LARGE bytes of payload at most.
+REVISIT_BYTES, FILE_ROWS, LARGE = 1000, 2000, 500_000
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 MEMBER = re.compile(rb"\x1f\x8b\x08[\x00-\x1f].{6}", re.S)
 END = b"\r\n\r\n"
@@ -184,7 +185,8 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1(F.col("payload").cast("binary")))
     groups = rows.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.max("id").alias("original"), F.count("*").alias("n")).where("n > 1")
-    many = max(1000, rows.count() // 1000)
+    n_rows, largest = rows.agg(F.count("*"), F.coalesce(F.max("size"), F.lit(0))).first()
+    many = max(1000, n_rows // 1000)
     hot = groups.where(F.col("n") > many).select("digest", "original")
     hot_rows = [(r.digest, r.original) for r in hot.collect()]
     spark = pages.sparkSession
@@ -219,8 +221,16 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
             for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([pa.array([member_line(x) for x in part.column(0).to_pylist()], pa.binary())], names=["value"])
 
-    records = rows.select(F.concat(head, F.col("block"), F.lit(END.decode())).cast("binary").alias("value")).mapInArrow(pack, "value binary")
-    records.select(F.col("value").cast("string").alias("value")).write.option("lineSep", LAST).option("compression", "none").option("maxRecordsPerFile", FILE_ROWS).mode("error").text(path)
+    def write(some: DataFrame, files_rows: int, mode: str) -> None:
+        records = some.select(F.concat(head, F.col("block"), F.lit(END.decode())).cast("binary").alias("value")).mapInArrow(pack, "value binary")
+        records.select(F.col("value").cast("string").alias("value")).write.option("lineSep", LAST).option("compression", "none").option("maxRecordsPerFile", files_rows).mode(mode).text(path)
+
+    # files are read whole, so that none may hold too many bytes
+    if largest <= LARGE:
+        write(rows, FILE_ROWS, "error")
+    else:
+        write(rows.where(F.col("size") <= LARGE), FILE_ROWS, "error")
+        write(rows.where(F.col("size") > LARGE), max(1, FILE_ROWS * LARGE // largest), "append")
 
 
 RECORD = "file string, offset long, type string, record_id string, refers_to string, uri string, payload_digest string, payload_length long, payload binary, gap_length long, why string"
@@ -253,13 +263,21 @@ def _row(file: str, r: Record) -> dict:
     }
 
 
-def page_records(records: DataFrame) -> DataFrame:
+def gaps(records: DataFrame) -> DataFrame:
+    """The log of what was quarantined: ``file``, ``offset``, ``gap_length`` and ``why``."""
+    return records.where("type = 'gap'").select("file", "offset", "gap_length", "why")
+
+
+def page_records(records: DataFrame, strict: bool = False) -> DataFrame:
     """Pages as read back: ``page_id``, ``payload_bytes``, ``payload_digest`` (of the payload itself for responses), ``record_type`` and ``refers_to``.
 
     Defined cases: null html is an empty payload; a null id has a record without one; pages with equal payloads and equal
     largest ids are all responses; repeated rows give one row each; an empty table gives an empty table; other columns
-    are ignored.
+    are ignored. Gaps have no page; ``gaps`` tells of them, and with ``strict`` the first one fails the query.
     """
+    if strict:
+        told = F.concat(F.lit("quarantined bytes in "), "file", F.lit(" at "), F.col("offset").cast("string"), F.lit(": "), F.coalesce("why", F.lit("")))
+        records = records.where(F.when(F.col("type") == "gap", F.raise_error(told).cast("boolean")).otherwise(True))
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '<urn:page:(-?[0-9]+)>', 1) AS long)")
     digest = F.when(F.col("type") == "response", F.sha1("payload")).otherwise(F.regexp_replace("payload_digest", "^sha1:", ""))
     size = F.when(F.col("type") == "response", F.octet_length("payload").cast("long")).otherwise(F.col("payload_length"))

@@ -650,3 +650,28 @@ def test_pipeline_stages(spark, sf_dir):
         assert kept.select("doc_id").exceptAll(docs.select("doc_id")).count() == 0
     out = corpus_pipeline.run(spark, sf_dir)
     assert 0 < out.count() <= docs.count() and out.where("not round_trip").count() == 0
+
+
+def test_files_of_large_pages_have_few_records_and_gaps_are_told(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "LARGE", 3000)
+    monkeypatch.setattr(warc, "FILE_ROWS", 10)
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    pages = [(k, f"https://a.com/{k}", text(100 if k % 3 else 9000 + k)) for k in range(60)]
+    df, path = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), tmp_path / "warc"
+    warc.write_archive(df, str(path))
+    files = sorted(path.glob("*.txt"))
+    sizes = [sum(len(r.payload) for r in warc.salvage(f.read_bytes()).records) for f in files]
+    assert len(files) >= 4 + 7 and max(sizes) <= 30_000
+    read = warc.read_archive(spark, str(path))
+    assert {r.page_id: r.payload_bytes for r in warc.page_records(read, strict=True).collect()} == {k: len(t) for k, _, t in pages}
+    assert warc.gaps(read).count() == 0
+    data = bytearray(files[0].read_bytes())
+    data[200] ^= 255
+    files[0].write_bytes(bytes(data))
+    (files[0].parent / f".{files[0].name}.crc").unlink(missing_ok=True)
+    told = warc.gaps(read).collect()
+    assert told and all(g.gap_length > 0 and g.file.endswith(files[0].name) for g in told)
+    assert 0 < warc.page_records(read).count() < 60
+    with pytest.raises(Exception, match="quarantined bytes in"):
+        warc.page_records(read, strict=True).collect()
