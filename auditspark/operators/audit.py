@@ -11,16 +11,16 @@ from auditspark.functions.urls import FLAGS, detail, details, extract_urls, host
 from auditspark.operators import lists
 from auditspark.operators.suffixes import with_registrable
 
-#: Characters of a text that are audited, and domains of a text whose age is looked up: both limits are part of the audit.
+#: Characters of a text that are audited, and domains of a text whose age is looked up: both limits are part of the audit, and parameters.
 AUDIT_CHARS, AGE_LOOKUPS = 65_536, 100
 
 
-def url_details(texts: DataFrame, rules: list[str] | DataFrame | None = None) -> DataFrame:
+def url_details(texts: DataFrame, rules: list[str] | DataFrame | None = None, chars: int = AUDIT_CHARS) -> DataFrame:
     """A row per distinct URL of a text with a domain: doc_id, pos (from 0), url, domain and its signals.
 
     ``rules`` are public suffixes: a few as a list, which is part of the plan, or any number as a table (see ``suffixes``).
     """
-    urls = extract_urls(F.substring("text", 1, AUDIT_CHARS))
+    urls = extract_urls(F.substring("text", 1, chars))
     if not isinstance(rules, DataFrame):
         return texts.select("doc_id", F.explode(details(urls, rules)).alias("d")).select("doc_id", "d.*")
     rows = texts.select("doc_id", F.posexplode(urls).alias("pos", "url")).withColumn("host", host(F.col("url")))
@@ -33,12 +33,12 @@ def domain_signals(details: DataFrame) -> DataFrame:
     return details.groupBy("doc_id", "domain").agg(F.min("pos").alias("first_pos"), *(F.bool_or(f).alias(f) for f in FLAGS))
 
 
-def with_ages(domains: DataFrame, ages: DataFrame | None, settings: Settings) -> DataFrame:
+def with_ages(domains: DataFrame, ages: DataFrame | None, settings: Settings, lookups: int = AGE_LOOKUPS) -> DataFrame:
     """With ``creation_date`` and ``age_status``; only a text's first domains are looked up, all stay."""
     if ages is None or not settings.age_query:
         return domains.withColumns({"creation_date": F.lit(None).cast("timestamp"), "age_status": F.lit("disabled")})
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("first_pos"))
-    wanted = domains.withColumn("lookup", F.when(rank <= AGE_LOOKUPS, F.col("domain")))
+    wanted = domains.withColumn("lookup", F.when(rank <= lookups, F.col("domain")))
     known = ages.select(F.col("domain").alias("lookup"), "creation_date", F.col("status").alias("age_status"))
     joined = wanted.join(known, "lookup", "left")
     return joined.select(*domains.columns, F.when(F.col("age_status") == "ok", F.col("creation_date")).alias("creation_date"), F.coalesce("age_status", F.lit("failed")).alias("age_status"))
