@@ -403,13 +403,19 @@ def near_duplicate_classes(df: DataFrame, words: int = 5, similarity: float = 0.
     if not 0 < similarity <= 1:
         raise ValueError("similarity must be over 0 and at most 1")
     rows = checkpoint(_signatures(df, words, similarity, id_col, text_col))
-    classes = rows.groupBy("key").agg(F.min(id_col).alias("least"), F.count("*").alias("n_rows"), F.min("size").alias("size"), F.first("first").alias("first"), F.first("wide").alias("wide"), *(F.min(c).alias(c) for c in SIGNS))
+    classes = rows.groupBy("key").agg(F.min(id_col).alias("least"), F.count("*").alias("n_rows"))
     # a text's node is its least id; texts that have no id at all, or share one, get a number of their own
     shared = classes.groupBy("least").agg(F.count("*").alias("n")).where("n > 1 and least is not null").select(F.col("least"), F.lit(True).alias("shared"))
-    classes = classes.join(shared, "least", "left").withColumn("node", F.when(F.col("least").isNull() | F.col("shared") | (F.col("least") < 0), F.bitwise_not(F.abs(F.xxhash64("key")))).otherwise(F.col("least"))).drop("shared")
-    classes = checkpoint(classes)
-    sized = classes.where("size > 0").select("node", "size", "wide", *SIGNS)
-    firsts = classes.where("size > 0").select("node", F.explode("first").alias("bucket"))
+    node = F.when(F.col("least").isNull() | F.col("shared") | (F.col("least") < 0), F.bitwise_not(F.abs(F.xxhash64("key")))).otherwise(F.col("least"))
+    classes = checkpoint(classes.join(shared, "least", "left").select("key", "least", "n_rows", node.alias("node")))
+    # shingles and parities stay where they are but for texts of several rows: of these one row's are taken
+    odd = if_few(checkpoint(classes.where("n_rows > 1 or not node <=> least").select(F.col("key").alias("odd_key"), "least", "node")))
+    parts = ["node", "size", "first", "wide", *SIGNS]
+    alone = rows.join(odd, rows["key"] == odd["odd_key"], "left_anti").withColumn("node", F.col(id_col))
+    one = checkpoint(rows.join(odd, (rows["key"] == odd["odd_key"]) & rows[id_col].eqNullSafe(odd["least"])).dropDuplicates(["key"]).select(parts))
+    held = alone.select(parts).unionByName(one)
+    sized = held.where("size > 0").select("node", "size", "wide", *SIGNS)
+    firsts = held.where("size > 0").select("node", F.explode("first").alias("bucket"))
     members = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
     buckets = firsts.groupBy("bucket").agg(*members).where("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"))
     dealt = checkpoint(firsts.join(buckets.select("bucket"), "bucket"))
