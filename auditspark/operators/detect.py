@@ -196,8 +196,8 @@ def _base64(found: str) -> str | None:
 
 
 def _base32(found: str) -> str | None:
-    body = re.sub(r"\s", "", found.rstrip("=")).upper()
-    if "=" in body:  # padding is read at the end alone
+    body = re.sub(r"\s", "", found).upper().rstrip("=")
+    if "=" in body:  # padding is read at the end alone, also before a blank
         return None
     body = body[: len(body) // 8 * 8 + {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5, 6: 5, 7: 7}[len(body) % 8]]
     try:

@@ -95,7 +95,7 @@ def payloads(text, most, most_bytes):
         if len(body) % 2 == 0:
             admit(m.start(), bytes.fromhex(body).decode("utf-8", "replace"))
     for m in re.finditer(r"(?:[A-Za-z2-7]{8,}={0,6}\s?){5,}", text):
-        bits = "".join(f"{'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567='.index(c):05b}" if c != "=" else "x" for c in re.sub(r"\s", "", m[0].rstrip("=")).upper())
+        bits = "".join(f"{'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567='.index(c):05b}" if c != "=" else "x" for c in re.sub(r"\s", "", m[0]).rstrip("=").upper())
         if "x" not in bits:
             admit(m.start(), "".join(chr(int(bits[i : i + 8], 2)) for i in range(0, len(bits) - 7, 8)))
     for m in re.finditer(r"(?:%[0-9a-fA-F]{2}){6,}", text):
