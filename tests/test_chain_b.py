@@ -277,3 +277,10 @@ def test_vectorised_helpers_hold_a_slice_of_objects():
     values = ["a", None, "é"] * 1000
     assert run(pa.array(values)).to_pylist() == [v and v.upper() for v in values] and run(pa.array([], pa.string())).to_pylist() == []
     assert max(seen) == N.ROWS
+
+
+@pytest.mark.parametrize("name", ["detect_all", "notice_summary", "hidden_in_word", "norm_anomaly", "structural_scan"])
+def test_detection_is_planned_once(spark, sf_dir, name):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan.split("Repartition ")[-1]
+    assert "Repartition" in plan and "ArrowEvalPython" not in below
