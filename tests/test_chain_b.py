@@ -279,7 +279,7 @@ def test_vectorised_helpers_hold_a_slice_of_objects():
     assert max(seen) == N.ROWS
 
 
-@pytest.mark.parametrize("name", ["detect_all", "notice_summary", "hidden_in_word", "norm_anomaly", "structural_scan"])
+@pytest.mark.parametrize("name", ["detect_all", "notice_summary", "hidden_in_word", "norm_anomaly", "structural_scan", "rule_scan", "decode_payloads", "payload_rescan", "partial_decode"])
 def test_detection_is_planned_once(spark, sf_dir, name):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     below = plan.split("Repartition ")[-1]
