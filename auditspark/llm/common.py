@@ -57,12 +57,15 @@ def hot_bound(n_rows: int) -> int:
     return max(1_000, n_rows // HOT_KEYS)
 
 
-def join_split(rows: DataFrame, side: DataFrame, key: str, n_col: str, bound: int) -> DataFrame:
+def join_split(rows: DataFrame, side: DataFrame, key: str, n_col: str, bound: int, total: int | None = None) -> DataFrame:
     """Inner join of ``rows`` with ``side``, which has each key once and in ``n_col`` how many rows have it.
 
     Keys of more than ``bound`` rows are broadcast, so that none fills a task; ``bound`` is ``hot_bound`` of the rows, so
-    these are at most HOT_KEYS. The others are joined by a shuffle.
+    these are at most HOT_KEYS. The others are joined by a shuffle. If ``rows`` are known to be no more than ``bound`` in
+    ``total``, no key can have more, and one join is the same.
     """
+    if total is not None and total <= bound:
+        return rows.join(side, key)
     hot = side.where(F.col(n_col) > bound)
     few = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(side.where(F.col(n_col) <= bound), key)
     return rows.join(F.broadcast(hot), key).unionByName(few)

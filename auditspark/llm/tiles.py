@@ -27,7 +27,7 @@ def deal_tiles(rows: DataFrame, row_id: str, tile_rows: int, deal: bool = True,
     total = counts.agg(F.coalesce(F.sum("n_bucket"), F.lit(0))).first()[0]
     chunks = F.least(F.col("n_bucket"), F.greatest(F.ceil(F.col("n_bucket") / tile_rows), F.ceil(F.col("weight_bucket") / tile_weight))).cast("int")
     dealt = (
-        join_split(rows, counts, "bucket", "n_bucket", hot_bound(total))
+        join_split(rows, counts, "bucket", "n_bucket", hot_bound(total), total)
         .withColumn("n_chunks", chunks)
         .drop("n_bucket", "weight_bucket")
         .withColumn("chunk", F.pmod(F.xxhash64(row_id), F.col("n_chunks")).cast("int"))

@@ -15,12 +15,14 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +34,8 @@ WORD = re.compile(r"\w+")
 SAMPLE, WINDOW = 2_500, 15
 #: Letters of the prefixes that are features, entries of the lexicon at most, and distinct words a worker keeps.
 PREFIXES, LEXICON, CACHE = (3, 4, 5), 400, 250_000
+#: Distinct words that training keeps on the driver.
+TRAIN_CACHE = 20_000
 
 
 def features(word: str) -> list[str]:
@@ -135,14 +139,30 @@ def _own(text: str) -> set[str]:
     return {f for w in set(WORD.findall(text)) for f in features(w)}
 
 
-def lexicon(texts: list[str], toxic: np.ndarray) -> set[str]:
+class Texts(Sequence):
+    """Texts of an Arrow column in an order, of which one at a time is a Python object."""
+
+    def __init__(self, column: pa.ChunkedArray, order: np.ndarray):
+        self.column, self.order = column, order
+
+    def __len__(self) -> int:
+        return len(self.order)
+
+    def __getitem__(self, i: int) -> str:
+        return self.column[int(self.order[i])].as_py()
+
+
+def lexicon(texts: Sequence[str], toxic: np.ndarray) -> set[str]:
     """Features that cover the toxic documents and are all but absent from the others, chosen one by one."""
     clean, bad = Counter(), Counter()
-    for text, y in zip(texts, toxic, strict=True):
-        (bad if y else clean).update(_own(text))
+    for i in np.flatnonzero(toxic).tolist():
+        bad.update(_own(texts[i]))
+    bad = {f: n for f, n in bad.items() if n >= 2}
+    for i in np.flatnonzero(~toxic).tolist():  # what few or no toxic documents have is never asked
+        clean.update(f for f in _own(texts[i]) if f in bad)
     n_bad, n_clean = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
     # rarer than a third of a per cent among others, and far more frequent among toxic documents
-    able = {f for f, n in bad.items() if n >= 2 and clean[f] / n_clean <= 0.003 and n / n_bad >= 12 * (clean[f] + 0.5) / n_clean}
+    able = {f for f, n in bad.items() if clean[f] / n_clean <= 0.003 and n / n_bad >= 12 * (clean[f] + 0.5) / n_clean}
     del bad
     own = {i: _own(texts[i]) & able for i in np.flatnonzero(toxic).tolist()}
     has: dict[str, list[int]] = {f: [] for f in able}
@@ -169,47 +189,57 @@ def lexicon(texts: list[str], toxic: np.ndarray) -> set[str]:
     return chosen
 
 
-def train(texts: list[str], toxic: np.ndarray, rounds: int = 120, seed: int = 7) -> Field:
-    """A field from whole texts and their labels. Without labels of both kinds every text has a low score."""
+def train(texts: Sequence[str], toxic: np.ndarray, rounds: int = 120, seed: int = 7) -> Field:
+    """A field from whole texts and their labels. Without labels of both kinds every text has a low score.
+
+    It runs on the driver, so of the texts' words only those with features of the field are kept, and windows are arrays.
+    """
     model = Field()
     toxic = np.asarray(toxic, dtype=bool)
     if not len(texts) or toxic.all() or not toxic.any():
         return model
     lex = lexicon(texts, toxic)
-    known: dict[str, bool] = {}
     index: dict[str, int] = {}
-    for text, y in zip(texts, toxic, strict=True):
-        for w in sorted(set(WORD.findall(text))):
-            if w not in known:
-                known[w] = any(f in lex for f in features(w))
-            if y and known[w]:
+    for i in np.flatnonzero(toxic).tolist():
+        for w in sorted(set(WORD.findall(texts[i]))):
+            if any(f in lex for f in features(w)):
                 for f in features(w):
                     index.setdefault(f, len(index))
-    ids = {w: found for w in known if (found := [index[f] for f in features(w) if f in index])}
-    none: list[int] = []
+    ids: dict[str, list[int]] = {}
+    known: set[str] = set()
     rng = np.random.default_rng(seed)
-    windows, labels = [], []
+    cells, feats, labels, lengths = array("q"), array("q"), bytearray(), array("q")
     for text, y in zip(texts, toxic, strict=True):
         words = WORD.findall(text)
+        for w in set(words) - ids.keys():
+            if found := [index[f] for f in features(w) if f in index]:
+                ids[w] = found
+                if any(f in lex for f in features(w)):
+                    known.add(w)
         places = [i for i, w in enumerate(words) if w in ids]
         places += rng.integers(0, len(words), size=3).tolist() if words else []
         for i in places:
             start = max(0, min(i - WINDOW // 2, len(words) - WINDOW))
             part = words[start : start + WINDOW]
-            windows.append([ids.get(w, none) for w in part] + [None] * (WINDOW - len(part)))
-            labels.append([int(bool(y) and known[w]) for w in part] + [0] * (WINDOW - len(part)))
-    n, y = len(windows), np.array(labels)
-    real = np.array([[x is not None for x in w] for w in windows])
-    flat = [(r * WINDOW + c, f) for r, w in enumerate(windows) for c, x in enumerate(w) if x for f in x]
-    cell, feat = (np.array([x[i] for x in flat], dtype=np.int64) for i in (0, 1))
+            for c, w in enumerate(part, len(lengths) * WINDOW):
+                if w in ids:
+                    feats.extend(ids[w])
+                    cells.extend([c] * len(ids[w]))
+            labels += bytes(bool(y) and w in known for w in part) + bytes(WINDOW - len(part))
+            lengths.append(len(part))
+    if not lengths:  # no text has a word
+        return model
+    n, y = len(lengths), np.frombuffer(labels, dtype=np.int8).reshape(-1, WINDOW)
+    real = np.arange(WINDOW) < np.frombuffer(lengths, dtype=np.int64)[:, None]
+    cell, feat = np.frombuffer(cells, dtype=np.int64), np.frombuffer(feats, dtype=np.int64)
+    both = real[:, 1:] & real[:, :-1]
+    seen = np.array([[((y[:, :-1] == i) & (y[:, 1:] == j) & both).sum() for j in (0, 1)] for i in (0, 1)])
     w, b, t = np.zeros(len(index)), -3.0, np.zeros((2, 2))
     moments = [np.zeros(len(index) + 5), np.zeros(len(index) + 5)]
     for step in range(1, rounds + 1):
         e = b + np.bincount(cell, weights=w[feat], minlength=n * WINDOW).reshape(n, WINDOW)
         p, pair = _expect(e, t, real)
         miss = np.where(real, p - y, 0.0)
-        both = real[:, 1:] & real[:, :-1]
-        seen = np.array([[((y[:, :-1] == i) & (y[:, 1:] == j) & both).sum() for j in (0, 1)] for i in (0, 1)])
         grad = np.r_[np.bincount(feat, weights=miss.ravel()[cell], minlength=len(index)), miss.sum(), (pair - seen).ravel()] / n
         grad[: len(index)] += 1e-5 * w
         moments[0] = 0.9 * moments[0] + 0.1 * grad
@@ -218,8 +248,14 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 120, seed: int = 7)
         w, b, t = w - move[: len(index)], b - move[len(index)], t - move[len(index) + 1 :].reshape(2, 2)
     model.bias, model.transitions = float(b), t - t[0, 0]
     model.weights = {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-3}
-    evidence = np.stack([model.evidence(n, m) for n, _, m in map(model.marginals, texts)])
-    model.document = _logistic(evidence, toxic.astype(float))
+    evidence = []
+    for text in texts:
+        n, _, m = model.marginals(text)
+        evidence.append(model.evidence(n, m))
+        if len(model.cache) > TRAIN_CACHE:
+            model.cache.clear()
+    model.cache.clear()
+    model.document = _logistic(np.stack(evidence), toxic.astype(float))
     return model
 
 
@@ -272,8 +308,9 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col:
     chosen = parts[0].unionByName(parts[1]).dropDuplicates(["id"])
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
     rows = texts.join(F.broadcast(chosen), "id").groupBy("text").agg(F.min(F.struct("id", "toxic")).alias("one"))
-    rows = rows.select("one.id", "one.toxic", "text").toPandas().sort_values(["id", "text"])
-    model = train(rows["text"].tolist(), rows["toxic"].to_numpy() == 1)
+    rows = rows.select("one.id", "one.toxic", "text").toArrow()
+    order = pc.sort_indices(rows, [("id", "ascending"), ("text", "ascending")]).to_numpy()
+    model = train(Texts(rows["text"], order), rows["toxic"].to_numpy()[order] == 1)
     return documents.sparkSession.sparkContext.broadcast(model)
 
 

@@ -1,11 +1,13 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -306,6 +308,19 @@ def test_components_of_a_path_a_star_and_loops(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_few_links_are_few_pieces_and_join_once(spark, monkeypatch):
+    pieces = []
+    monkeypatch.setattr(components, "checkpoint", lambda df: pieces.append((out := common.checkpoint(df)).rdd.getNumPartitions()) or out)
+    links = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(20, 21)], "a long, b long").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.node: r.root for r in components.connected_components(links).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {**dict.fromkeys(range(10), 0), 20: 20, 21: 20}
+    assert len(pieces) > 4 and set(pieces[1:]) == {1}
+
+
 # --- decontamination
 
 
@@ -387,6 +402,26 @@ def test_chain_marginals_are_those_of_each_step():
     assert [text[a:b] for a, b in model.spans(text)] == ["nastyish", "vile", "nastyly"]
 
 
+def test_training_on_the_driver_holds_little_beside_the_texts():
+    rng = random.Random(3)
+    texts = [" ".join(f"{rng.getrandbits(64):x}" for _ in range(150)) + (" vile nasty" if k % 2 else "") for k in range(600)]
+    toxic = np.arange(600) % 2 == 1
+    column = pa.chunked_array([pa.array(texts)])
+    del texts
+    tracemalloc.start()
+    try:
+        model = toxicity.train(toxicity.Texts(column, np.arange(600)), toxic, rounds=5)
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert not model.cache and "vile" in model.weights
+    assert peak < 16
+
+
+def test_training_without_words():
+    assert toxicity.train(["", "..."], np.array([True, False])).score("a") < 0.5
+
+
 def test_toxicity_of_odd_texts(spark):
     model = spark.sparkContext.broadcast(trained())
     got = rows_of(toxicity.score_toxicity(odd_frame(spark), model))
